@@ -21,31 +21,36 @@ def read_triples(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.schema(string_schema(columns)).parquet(path)
 
 
+def _one_slash(uri: str) -> str:
+    """File listings and row metadata write a URI without authority in two ways."""
+    return uri.replace(":///", ":/")
+
+
 def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The named columns of several Parquet tables, with ``source`` and a unique ``ord``.
 
     ``ord`` grows with the place of the path in the list, then with the file name inside a
     path, then with the row in the file, however the files are split into tasks.
     """
-    schema = string_schema(columns)
+    reader = spark.read.schema(string_schema(columns))
     files = []
     for source, path in enumerate(paths):
-        files += [(name, source) for name in sorted(spark.read.parquet(path).inputFiles())]
+        files += [(_one_slash(name), source) for name in sorted(reader.parquet(path).inputFiles())]
     numbered = spark.createDataFrame(
         [(name, source, number) for number, (name, source) in enumerate(files)],
         "file_path string, source int, file_number long",
     )
-    rows = spark.read.schema(schema).parquet(*[name for name, _ in files])
-    # One short row per file: the scan holds the same listing on the driver already.
-    return (
-        rows.withColumn("file_path", F.col("_metadata.file_path"))
-        .withColumn("row_index", F.col("_metadata.row_index"))
-        .join(F.broadcast(numbered), "file_path")
-        .select(
-            *columns,
-            "source",
-            (F.shiftleft("file_number", FILE_BITS) + F.col("row_index")).alias("ord"),
-        )
+    rows = reader.parquet(*dict.fromkeys(paths)).select(
+        *columns,
+        F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias("file_path"),
+        F.col("_metadata.row_index").alias("row_index"),
+    )
+    # One short row per file, of which the scan keeps a listing on the driver anyway. A path
+    # named twice is scanned once and its rows come out once per mention.
+    return rows.join(F.broadcast(numbered), "file_path").select(
+        *columns,
+        "source",
+        (F.shiftleft("file_number", FILE_BITS) + F.col("row_index")).alias("ord"),
     )
 
 
