@@ -265,19 +265,23 @@ def gemma_turns(spark, sf):
     )
 
 
-def chatml_sql(turns):
+def chatml_turns_sql(turns):
     return rf"""(
-      SELECT conv_id, string_agg(
-        concat('<|im_start|>', role, E'\n',
+      SELECT conv_id, turn, concat('<|im_start|>', role, E'\n',
           CASE WHEN role <> 'assistant' THEN content
                WHEN turn > query AND (turn = last OR reasoning <> '')
                THEN concat(E'<think>\n', trim(reasoning, E'\n'), E'\n</think>\n\n',
                            ltrim(answer, E'\n'))
-               ELSE answer END, E'<|im_end|>\n'), '' ORDER BY turn) AS text
+               ELSE answer END, E'<|im_end|>\n') AS piece
       FROM (SELECT *, {REASONING} AS reasoning, {ANSWER} AS answer,
                    {LAST_QUERY.format(over="OVER (PARTITION BY conv_id)")} AS query,
-                   max(turn) OVER (PARTITION BY conv_id) AS last FROM {turns} t)
-      GROUP BY conv_id)"""
+                   max(turn) OVER (PARTITION BY conv_id) AS last FROM {turns} t))"""
+
+
+def chatml_sql(turns):
+    return f"""(
+      SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS text
+      FROM {chatml_turns_sql(turns)} p GROUP BY conv_id)"""
 
 
 TURN_TAGS = rf"""(
@@ -310,6 +314,11 @@ def render_chatml(spark, sf):
     return conversations.render_chatml(assembled)
 
 
+@query(f"SELECT * FROM {chatml_turns_sql(fx.THINKING_TURNS)} p")
+def render_chatml_turns(spark, sf):
+    return conversations.chatml_turns(fx.thinking_turns(spark, sf))
+
+
 @query(f"SELECT conv_id, text, error FROM {TURN_TAGS} c")
 def render_turn_tags(spark, sf):
     return conversations.render_turn_tags(conversations.assemble(fx.turns(spark, sf)))

@@ -75,7 +75,7 @@ EXACT_NEGATIVES = f"""
 
 def _permutation_values():
     rows = []
-    for n in (95, 100):  # the numbers of concepts in the test tables
+    for n in (85, 90, 95, 100):  # the numbers of concepts in the test tables
         order = np.random.default_rng(42).permutation(n)
         rows += [f"({n}, {rank}, {place})" for rank, place in enumerate(order)]
     return ", ".join(rows)
@@ -370,6 +370,15 @@ def flow_b(spark, sf):
     return flows.flow_b(fx.triples(spark, sf))
 
 
+TEXT_NEGATIVES = EXACT_NEGATIVES.replace(fx.TRIPLES, TEXT_TRIPLES)
+TEXT_PAIRS = pairs_sql(TEXT_TRIPLES, negatives=TEXT_NEGATIVES)
+
+
+@query(f"SELECT * FROM {split_pairs_sql(TEXT_PAIRS, EXACT_RANK.replace(EXACT_PAIRS, TEXT_PAIRS))} s")
+def flow_a_exact(spark, sf):
+    return flows.flow_a(fx.triples(spark, sf), mode="exact")
+
+
 def broken_records(spark, sf):
     """Pair records of which some are refused, for a reason that depends on the event."""
     event, text = F.col("event_id"), F.col("event_type")

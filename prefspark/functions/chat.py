@@ -36,6 +36,11 @@ SYSTEM_FIRST = "a system turn comes first"
 NOT_ALTERNATING = "user and assistant turns do not alternate"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_query(role: Column, content: Column) -> Column:
     """A user turn that asks something, not one that only wraps a tool's answer."""
     wrapped = F.startswith(content, F.lit(TOOL_OPEN)) & F.endswith(content, F.lit(TOOL_CLOSE))
@@ -86,12 +91,22 @@ def chatml_turn(role: Column, content: Column, shows_reasoning: Column, is_last:
 
 
 def chatml(messages: Column) -> Column:
-    last = F.size(messages) - 1
-    query = last_query_index(messages)
-    turns = F.transform(
-        messages, lambda m, i: chatml_turn(m["role"], m["content"], i > query, i == last)
+    def layout(bound: Column) -> Column:
+        turns = F.transform(
+            bound["messages"],
+            lambda m, i: chatml_turn(
+                m["role"], m["content"], i > bound["query"], i == bound["last"]
+            ),
+        )
+        return F.array_join(turns, "")
+
+    # The positions are bound first: a lambda would look for them again at every turn.
+    positions = F.struct(
+        messages.alias("messages"),
+        last_query_index(messages).alias("query"),
+        (F.size(messages) - 1).alias("last"),
     )
-    return F.array_join(turns, "")
+    return bind(positions, layout)
 
 
 def turn_tag_role(role: Column) -> Column:
@@ -170,11 +185,10 @@ def alternation_error(messages: Column) -> Column:
     """Why a conversation does not fit the turn-tag layout; null when it does."""
     first_role = F.get(messages, F.lit(0))["role"]
     flags = F.transform(messages, lambda m, i: breaks_alternation(m["role"], i))
-    return (
-        F.when(content_error(messages).isNotNull(), content_error(messages))
-        .when(first_role == "system", SYSTEM_FIRST)
-        .when(F.exists(flags, lambda f: f), NOT_ALTERNATING)
+    order_error = F.when(first_role == "system", SYSTEM_FIRST).when(
+        F.exists(flags, lambda f: f), NOT_ALTERNATING
     )
+    return F.coalesce(content_error(messages), order_error)
 
 
 def render_for_model(
@@ -182,14 +196,19 @@ def render_for_model(
 ) -> Column:
     """``STRUCT<text, error>``: the layout of the model's family, opened for its answer."""
     qwen, gemma = models.is_qwen_family(model), models.is_gemma_family(model)
-    error = (
-        F.when(qwen, plain_error(messages))
-        .when(gemma, alternation_error(messages))
-        .otherwise(content_error(messages))
-    )
-    text = (
-        F.when(qwen, F.concat(chatml(messages), chatml_suffix(thinking)))
-        .when(gemma, F.concat(turn_tags(messages), turn_tag_suffix()))
-        .otherwise(F.concat(header_ids(messages, date_string), header_suffix()))
-    )
-    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+
+    def layout(bound: Column) -> Column:
+        error = (
+            F.when(qwen, plain_error(bound))
+            .when(gemma, alternation_error(bound))
+            .otherwise(content_error(bound))
+        )
+        text = (
+            F.when(error.isNotNull(), F.lit(None).cast("string"))
+            .when(qwen, F.concat(chatml(bound), chatml_suffix(thinking)))
+            .when(gemma, F.concat(turn_tags(bound), turn_tag_suffix()))
+            .otherwise(F.concat(header_ids(bound, date_string), header_suffix()))
+        )
+        return F.struct(text.alias("text"), error.alias("error"))
+
+    return bind(messages, layout)

@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(strip(text)) == 0
+    return F.ltrim(text, F.lit(WHITESPACE)) == ""
 
 
 def strip_newlines(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Conversations held as one row per turn: order checks, assembly and rendering.
 
-Rendering turns a conversation into one text, so a conversation has to fit in a row; it is
-collected once, with a single shuffle on its id, and laid out by column expressions. The
-checks and ``last_query_turn`` work on the turns themselves and put no bound on them.
+A rendered conversation is one text, so a conversation has to fit in a row. It is collected
+once, with a single shuffle on its id, and laid out by column expressions. The checks,
+``last_query_turn`` and ``chatml_turns`` work on the turns themselves: conversations too
+long for a row go through these, and one may hold any share of the rows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions import chat
 from prefspark.functions.messages import message
+from prefspark.operators.joins import join_grouped
 from prefspark.operators.ranking import with_group_ordinal
 
 
@@ -21,6 +23,21 @@ def last_query_turn(turns: DataFrame) -> DataFrame:
     )
 
 
+def chatml_turns(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, piece)``: the ChatML layout turn by turn, without collecting any.
+
+    The pieces of a conversation in turn order make up the text of ``render_chatml``.
+    """
+    asked = F.max(F.when(chat.is_query(F.col("role"), F.col("content")), F.col("turn")))
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"), asked.alias("_asked"))
+    placed = join_grouped(turns, ends, "conv_id")
+    after_query = F.col("turn") > F.coalesce("_asked", "_last")
+    piece = chat.chatml_turn(
+        F.col("role"), F.col("content"), after_query, F.col("turn") == F.col("_last")
+    )
+    return placed.select("conv_id", "turn", piece.alias("piece"))
+
+
 def alternation_violations(turns: DataFrame) -> DataFrame:
     """Turns that break the user/assistant order, with the reason."""
     placed = with_group_ordinal(turns, ["conv_id"], "turn", "position")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.text import prompt_text
 from prefspark.operators.filters import long_enough
+from prefspark.operators.joins import join_grouped
 from prefspark.operators.ranking import seeded_hash, with_group_ordinal
 from prefspark.schema import TRIPLE_COLUMNS, require_columns
 
@@ -61,7 +62,7 @@ def first_positive(triples: DataFrame) -> DataFrame:
 def inputs_with_negative(triples: DataFrame) -> DataFrame:
     """Rows whose prompt has a negative."""
     pool = negatives(triples).select("input").distinct()
-    return triples.join(pool, "input", "left_semi")
+    return join_grouped(triples, pool, "input", "left_semi").select(*triples.columns)
 
 
 def concepts_without_positive(triples: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def with_group_ordinal(
     up over two levels, so a group of any size is spread over as many tasks as it has blocks.
     """
     keys = list(keys)
-    number = F.coalesce(
-        F.col(order).cast("long"), F.raise_error(F.lit(f"{order} must not be null")).cast("long")
-    )
+    # The last 0 is never reached. It makes the number, and with it the blocks, a column
+    # without nulls; a null test on one use of the block counts would have them made twice.
+    refuse = F.raise_error(F.lit(f"{order} must not be null")).cast("long")
+    number = F.coalesce(F.col(order).cast("long"), refuse, F.lit(0))
     rows = df.withColumn("_block", F.shiftright(number, BLOCK_BITS))
     blocks = (
         rows.groupBy(*keys, "_block")
@@ -79,7 +80,7 @@ def with_hash_rank(
     most whatever the number of keys.
     """
     hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key))).withColumn(
-        "_bucket", F.substring("_hash", 1, HASH_PREFIX)
+        "_bucket", hash_bucket(F.col("_hash"))
     )
     counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = counts.select(
@@ -97,6 +98,15 @@ def with_hash_rank(
     )
 
 
+def hash_bucket(hash_text: Column) -> Column:
+    """The bucket of a hash.
+
+    Never null, so a join on it adds no null test that Spark would push below ``df``, where
+    it could keep apart two uses of one shuffle that are equal otherwise.
+    """
+    return F.coalesce(F.substring(hash_text, 1, HASH_PREFIX), F.lit(""))
+
+
 def seeded_hash(seed: int, *parts: Column) -> Column:
     """``md5('seed|part|part…')`` as hex text, the same in every SQL engine."""
     pieces = [F.lit(str(seed))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefspark.operators.ranking import HASH_PREFIX, seeded_hash, sum_before
+from prefspark.operators.ranking import hash_bucket, seeded_hash, sum_before
 
 # Up to this many rows a sample is kept in a heap per task and merged in one.
 TOP_K_ROWS = 100_000
@@ -43,7 +43,7 @@ def _nth_place(keyed: DataFrame, count: int, ids: list[str]) -> DataFrame:
     The ids are unique, so hashes spread evenly over the prefix buckets. The bucket that
     holds the wanted row is found from the 65,536 bucket sizes at most.
     """
-    bucketed = keyed.withColumn("_bucket", F.substring("_hash", 1, HASH_PREFIX))
+    bucketed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash")))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     bases = counts.select("_bucket", "_rows", sum_before(W.orderBy("_bucket"), "_rows").alias("_base"))
     target = bases.where((F.col("_base") < count) & (F.col("_base") + F.col("_rows") >= count))

@@ -11,7 +11,7 @@ from prefspark.functions.models import supports_system_role
 from prefspark.functions.text import steered_prompt_text
 from prefspark.operators import scoring
 from prefspark.operators.filters import exclude_concept_ids, keep_genre, rename_to_canonical
-from prefspark.operators.pairing import MIN_LEN, build_pairs
+from prefspark.operators.pairing import MIN_LEN, build_pairs, sort_pairs
 from prefspark.operators.preference import pair_records, reverse_preference
 from prefspark.operators.quality import CANONICAL, enforce_pairs
 from prefspark.operators.sampling import limit_sample
@@ -41,12 +41,18 @@ def flow_b(triples: DataFrame, mode: str = "hash", min_len: int = MIN_LEN) -> Da
 
 
 def prepare(
-    spark: SparkSession, paths: Sequence[str], out: str, filtered: bool, mode: str = "hash"
+    spark: SparkSession,
+    paths: Sequence[str],
+    out: str,
+    filtered: bool,
+    mode: str = "hash",
+    ordered: bool = False,
 ) -> DataFrame:
     """Parquet triples to JSON lines per split; returns the staged pairs.
 
     The pairs are used twice, for their concepts and for the output, so they are written to
     the shared folder once and both uses read them from there, also after a lost executor.
+    ``ordered`` sorts the output by prompt and concept, which costs one more shuffle.
     """
     columns = FILTERED_TRIPLE_COLUMNS if filtered else TRIPLE_COLUMNS
     triples = read_ordered(spark, paths, columns)
@@ -55,7 +61,7 @@ def prepare(
     staged = new_table_path(spark, "pairs")
     build_pairs(triples, mode=mode).write.parquet(staged)
     pairs = split_pairs(spark.read.parquet(staged), mode)
-    write_splits(pair_records(pairs, "split"), out)
+    write_splits(pair_records(sort_pairs(pairs) if ordered else pairs, "split"), out)
     return pairs
 
 

@@ -69,3 +69,25 @@ def one(spark):
         return spark.createDataFrame([row], schema).select(column.alias("v")).first().v
 
     return value
+
+
+@pytest.fixture
+def rows_read(spark):
+    """Rows that scans have delivered while a function ran, from Spark's own stage metrics."""
+
+    def stages():
+        context = spark.sparkContext
+        store = context._jsc.sc().statusStore()
+        no_quantiles = context._gateway.new_array(context._jvm.double, 0)
+        every = context._jvm.java.util.ArrayList()
+        found = store.stageList(None, False, False, no_quantiles, every)
+        listed = [found.apply(i) for i in range(found.size())]
+        return {(s.stageId(), s.attemptId()): s.inputRecords() for s in listed}
+
+    def measure(run):
+        before = stages()
+        run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(n for key, n in stages().items() if key not in before)
+
+    return measure

@@ -100,6 +100,17 @@ def test_chatml(turns):
     )
 
 
+def test_pieces_make_up_the_text(spark):
+    from checks import fixtures
+
+    turns = fixtures.thinking_turns(spark, "/root/testdata/sf0.001")
+    texts = {r.conv_id: r.text for r in conv.render_chatml(conv.assemble(turns)).collect()}
+    pieces = {}
+    for r in sorted(conv.chatml_turns(turns).collect(), key=lambda r: r.turn):
+        pieces[r.conv_id] = pieces.get(r.conv_id, "") + r.piece
+    assert pieces == texts
+
+
 def test_chatml_writes_a_null_content_as_nothing(turns):
     df = turns(("user", None))
     assert rendered(conv.render_chatml, df).text == "<|im_start|>user\n<|im_end|>\n"

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefspark.operators import filters, pairing
+from prefspark.operators.joins import join_grouped
+from prefspark.plans import flows
 
 GOOD, OTHER, NO = "good answer one", "good answer two", "negative answer"
 
@@ -158,19 +160,16 @@ def test_pairs_are_sound(event_triples, mode):
     assert pairs.join(pool, ["input", "rejected"], "left_anti").isEmpty()
 
 
-def test_hash_pairing_scans_the_table_once(spark, tmp_path, event_triples):
+@pytest.mark.parametrize("flow", [flows.flow_b, flows.flow_a, pairing.build_pairs])
+def test_hash_mode_reads_every_row_once(spark, tmp_path, rows_read, event_triples, flow):
     path = str(tmp_path / "triples")
     event_triples.write.parquet(path)
-    pairs = pairing.build_pairs(spark.read.parquet(path))
-    pairs.collect()
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final
-    assert final.count("FileScan parquet") == 1
+    table = spark.read.parquet(path)
+    assert rows_read(flow(table).collect) == table.count()
 
 
-def test_hot_prompt_is_split_by_the_join(spark, conf):
-    """A third of all pairs under one prompt: adaptive execution splits its partition."""
+def small_partitions(conf):
+    """Treat tables of a few kilobytes the way large ones are treated."""
     conf(
         adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
         adaptive__advisoryPartitionSizeInBytes="20k",
@@ -179,6 +178,26 @@ def test_hot_prompt_is_split_by_the_join(spark, conf):
         adaptive__autoBroadcastJoinThreshold="-1",
         shuffle__partitions="16",
     )
+
+
+@pytest.mark.parametrize("how, n", [("inner", 12_000), ("left_semi", 12_000)])
+def test_hot_key_is_split_when_joined_with_its_groups(spark, conf, how, n):
+    small_partitions(conf)
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50))
+        .alias("key"),
+        F.md5(F.col("id").cast("string")).alias("text"),
+    )
+    grouped = df.groupBy("key").agg(F.count("*").alias("n"))
+    joined = join_grouped(df, grouped, "key", how)
+    counted = joined.groupBy(F.substring("text", 1, 1)).count()
+    assert sum(r["count"] for r in counted.collect()) == n
+    assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_prompt_is_split_by_the_join(spark, conf):
+    """A third of all pairs under one prompt: adaptive execution splits its partition."""
+    small_partitions(conf)
     n = 12_000
     ids = spark.range(n)
     hot = F.col("id") % 3 == 0
