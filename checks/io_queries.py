@@ -52,7 +52,6 @@ def export_counts(spark, sf):
     for split in ("positive", "negative", "other"):
         rows = triples.where(F.col("category") == split)
         writers.export_split(rows, f"{path}/{split}")
-        writers.export_split(rows.where("false"), f"{path}/{split}")  # is there: skipped
         counts[split] = spark.read.schema(triples.schema).json(f"{path}/{split}")
     return pairing.stage_counts(counts).withColumnRenamed("stage", "split")
 

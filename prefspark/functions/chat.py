@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefspark.functions import models
+from prefspark.functions.messages import bind
 from prefspark.functions.text import (
     lstrip_newlines,
     rstrip_newlines,
@@ -36,11 +37,6 @@ SYSTEM_FIRST = "a system turn comes first"
 NOT_ALTERNATING = "user and assistant turns do not alternate"
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def is_query(role: Column, content: Column) -> Column:
     """A user turn that asks something, not one that only wraps a tool's answer."""
     wrapped = F.startswith(content, F.lit(TOOL_OPEN)) & F.endswith(content, F.lit(TOOL_CLOSE))

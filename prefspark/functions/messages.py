@@ -4,6 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import to_suppressing
+from prefspark.schema import CONVERSATION
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def message(role, content) -> Column:
@@ -65,22 +71,31 @@ def normalise_prompt(prompt: Column) -> Column:
     The prompt is text: a JSON object with role and content, a JSON list of such objects,
     or anything else, which becomes the content of one user message.
     """
-    value = F.try_parse_json(prompt)
-    shape = F.schema_of_variant(value)
-    is_object = F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
-    is_list = F.coalesce(F.startswith(shape, F.lit("ARRAY")), F.lit(False))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    messages = (
-        F.when(is_object, F.array(_variant_message(value)))
-        .when(is_list, F.transform(items, _variant_message))
-        .otherwise(single_message("user", prompt))
-    )
-    error = (
-        F.when(prompt.isNull(), NULL_PROMPT)
-        .when(is_object & ~_has_message_keys(value), BAD_OBJECT)
-        .when(is_list & (F.size(items) == 0), EMPTY_LIST)
-        .when(is_list & ~F.forall(items, _has_message_keys), BAD_ITEM)
-    )
+
+    def normalise(value: Column) -> Column:
+        shape = F.schema_of_variant(value)
+        is_object = F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
+        is_list = F.coalesce(F.startswith(shape, F.lit("ARRAY")), F.lit(False))
+        items = F.try_variant_get(value, "$", "array<variant>")
+        good_list = F.forall(items, _has_message_keys)
+        return (
+            F.when(prompt.isNull(), _put_aside(NULL_PROMPT))
+            .when(is_object & ~_has_message_keys(value), _put_aside(BAD_OBJECT))
+            .when(is_object, _accepted(F.array(_variant_message(value))))
+            .when(~is_list, _accepted(single_message("user", prompt)))
+            .when(F.size(items) == 0, _put_aside(EMPTY_LIST))
+            .when(good_list, _accepted(F.transform(items, _variant_message)))
+            .otherwise(_put_aside(BAD_ITEM))
+        )
+
+    return bind(F.try_parse_json(prompt), normalise)
+
+
+def _accepted(messages: Column) -> Column:
+    return F.struct(messages.alias("messages"), F.lit(None).cast("string").alias("error"))
+
+
+def _put_aside(reason: str) -> Column:
     return F.struct(
-        F.when(error.isNull(), messages).alias("messages"), error.alias("error")
+        F.lit(None).cast(CONVERSATION).alias("messages"), F.lit(reason).alias("error")
     )

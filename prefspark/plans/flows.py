@@ -47,8 +47,8 @@ def prepare(
     filtered: bool,
     mode: str = "hash",
     ordered: bool = False,
-) -> DataFrame:
-    """Parquet triples to JSON lines per split; returns the staged pairs.
+) -> tuple[DataFrame, dict[str, int]]:
+    """Parquet triples to JSON lines per split; returns the staged pairs and the counts.
 
     The pairs are used twice, for their concepts and for the output, so they are written to
     the shared folder once and both uses read them from there, also after a lost executor.
@@ -61,8 +61,8 @@ def prepare(
     staged = new_table_path(spark, "pairs")
     build_pairs(triples, mode=mode).write.parquet(staged)
     pairs = split_pairs(spark.read.parquet(staged), mode)
-    write_splits(pair_records(sort_pairs(pairs) if ordered else pairs, "split"), out)
-    return pairs
+    counts = write_splits(pair_records(sort_pairs(pairs) if ordered else pairs, "split"), out)
+    return pairs, counts
 
 
 def assemble_split(

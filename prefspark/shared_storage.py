@@ -24,3 +24,9 @@ def ensure_checkpoint_dir(spark):
 def new_table_path(spark, name):
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark, path):
+    """Whether a file or folder exists, in whatever file system the path names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -15,6 +15,9 @@ FORMAT_OF_SUFFIX = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet"
 # ``ord`` of a row is its file's number times 2**40 plus its place in the file.
 FILE_BITS = 40
 
+# Up to this many files their numbers are broadcast; a listing has some 200 bytes per file.
+BROADCAST_FILES = 500_000
+
 
 def read_triples(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Only the named columns of a Parquet table, all declared as text."""
@@ -45,9 +48,11 @@ def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
         F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias("file_path"),
         F.col("_metadata.row_index").alias("row_index"),
     )
-    # One short row per file, of which the scan keeps a listing on the driver anyway. A path
-    # named twice is scanned once and its rows come out once per mention.
-    return rows.join(F.broadcast(numbered), "file_path").select(
+    # Beyond the limit Spark chooses the join, and adaptive execution splits large files. A
+    # path named twice is scanned once and its rows come out once per mention.
+    if len(files) <= BROADCAST_FILES:
+        numbered = F.broadcast(numbered)
+    return rows.join(numbered, "file_path").select(
         *columns,
         "source",
         (F.shiftleft("file_number", FILE_BITS) + F.col("row_index")).alias("ord"),

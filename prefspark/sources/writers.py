@@ -1,19 +1,29 @@
 """Writers: pair records per split, dataset exports, metric logs, reports."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prefspark.operators.metrics import log_records
+from prefspark.operators.splits import SPLITS
+from prefspark.shared_storage import path_exists
 
 
-def write_splits(records: DataFrame, path: str) -> None:
-    """JSON lines, one folder per split, replacing what is there. Null fields are kept."""
+def write_splits(records: DataFrame, path: str) -> dict[str, int]:
+    """JSON lines, one folder per split, replacing what is there. Null fields are kept.
+
+    Returns the number of records per split, counted while they are written.
+    """
+    counts = Observation()
+    counted = records.observe(
+        counts, *[F.count_if(F.col("split") == name).alias(name) for name in SPLITS]
+    )
     (
-        records.write.mode("overwrite")
+        counted.write.mode("overwrite")
         .option("ignoreNullFields", False)
         .partitionBy("split")
         .json(path)
     )
+    return {name: counts.get[name] for name in SPLITS}
 
 
 def write_pairs_csv(records: DataFrame, path: str) -> None:
@@ -25,9 +35,17 @@ def write_pairs_csv(records: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def export_split(df: DataFrame, path: str) -> None:
-    """JSON lines of one source split; what exists already is left as it is."""
-    df.write.mode("ignore").option("ignoreNullFields", False).json(path)
+def export_split(df: DataFrame, path: str) -> int | None:
+    """JSON lines of one source split, and their number.
+
+    What exists already is left as it is, without running ``df``: the result is then None.
+    """
+    if path_exists(df.sparkSession, path):
+        return None
+    count = Observation()
+    counted = df.observe(count, F.count(F.lit(1)).alias("n_rows"))
+    counted.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+    return count.get["n_rows"]
 
 
 def append_metrics(records: DataFrame, path: str, experiment: str) -> None:

@@ -120,7 +120,7 @@ def test_split_writer_keeps_text_keys_and_nulls(spark, records, tmp_path):
     path = str(tmp_path / "out")
     rows = records(record("naïve ☃", "yes", None)).withColumn("split", F.lit("train"))
     writers.write_splits(rows, path)
-    writers.write_splits(rows, path)  # replaces
+    assert writers.write_splits(rows, path) == {"train": 1, "valid": 0, "test": 0}  # replaces
     lines = [r.value for r in spark.read.text(f"{path}/split=train").collect()]
     assert len(lines) == 1 and "naïve ☃" in lines[0]
     parsed = json.loads(lines[0])
@@ -130,8 +130,8 @@ def test_split_writer_keeps_text_keys_and_nulls(spark, records, tmp_path):
 
 def test_export_leaves_what_is_there(spark, tmp_path):
     path = str(tmp_path / "export")
-    writers.export_split(spark.range(3), path)
-    writers.export_split(spark.range(9), path)
+    assert writers.export_split(spark.range(3), path) == 3
+    assert writers.export_split(spark.range(9), path) is None
     assert spark.read.json(path).count() == 3
 
 
@@ -279,19 +279,35 @@ def test_training_set_with_other_column_names(spark, records, tmp_path):
 
 
 def test_prepare_writes_every_split(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     from checks import fixtures
 
     path = str(tmp_path / "triples")
     fixtures.triples(spark, "/root/testdata/sf0.001").coalesce(1).drop("ord").write.parquet(path)
     out = str(tmp_path / "out")
-    pairs = flows.prepare(spark, [path], out, filtered=True)
+    pairs, counts = flows.prepare(spark, [path], out, filtered=True)
     assert (pairs.count(), pairs.select("output_concept").distinct().count()) == (320, 85)
     assert {d for d in os.listdir(out) if d.startswith("split=")} == {
         "split=train", "split=valid", "split=test",
     }
-    assert spark.read.json(out).count() == 320
-    assert events.count() == 1000
+    written = {r.split: r["count"] for r in spark.read.json(out).groupBy("split").count().collect()}
+    assert written == counts and sum(counts.values()) == 320
+
+
+def test_prepare_in_output_order(spark, tmp_path):
+    from checks import fixtures
+
+    path = str(tmp_path / "triples")
+    fixtures.triples(spark, "/root/testdata/sf0.001").coalesce(1).drop("ord").write.parquet(path)
+    out = str(tmp_path / "out")
+    pairs, _ = flows.prepare(spark, [path], out, filtered=False, mode="exact", ordered=True)
+    prompts = [
+        json.loads(line)["prompt"][0]["content"]
+        for name in sorted(os.listdir(f"{out}/split=train")) if name.endswith(".json")
+        for line in open(f"{out}/split=train/{name}", encoding="utf-8")
+    ]
+    train = pairs.where("split = 'train'").collect()
+    expected = [r.prompt for r in sorted(train, key=lambda r: (r.input, r.output_concept))]
+    assert prompts == expected and len(prompts) == 270
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):
