@@ -73,7 +73,9 @@ def thinking_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns with think tags in assistant turns and tool wrappers around some user turns."""
     text, kind = F.col("text"), (F.col("conv_id") + F.col("turn")) % 5
     tagged = (
-        F.when(kind == 0, F.concat(F.lit("<think>\n"), text, F.lit("\n</think>\n\nAnswer "), "turn"))
+        F.when(
+            kind == 0, F.concat(F.lit("<think>\n"), text, F.lit("\n</think>\n\nAnswer "), "turn")
+        )
         .when(kind == 1, F.concat(F.lit("<think>\n\n</think>\n\n"), text))
         .when(
             kind == 2,

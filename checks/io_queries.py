@@ -175,7 +175,8 @@ def report_roundtrip(spark, sf):
         F.col("event_id").cast("string").alias("output"),
     )
     writers.write_report(rows, samples, path)
-    report = spark.read.schema(T.StructType([*REPORT.fields, T.StructField("step", T.LongType())])).json(f"{path}/metrics")
+    schema = T.StructType([*REPORT.fields, T.StructField("step", T.LongType())])
+    report = spark.read.schema(schema).json(f"{path}/metrics")
     outputs = spark.read.schema("output string, step long").json(f"{path}/samples")
     return report.join(outputs, "step").select(
         "step",

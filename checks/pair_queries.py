@@ -349,6 +349,19 @@ def split_coverage(spark, sf):
     return splits.split_coverage(flows.flow_a(triples), triples)
 
 
+@query(f"""
+  SELECT coalesce(s.output_concept, u.output_concept) AS output_concept,
+         coalesce(n, 0) AS n_splits,
+         CASE WHEN n > 1 THEN 'leaks' WHEN n IS NULL THEN 'missing' ELSE 'unexpected' END
+           AS problem
+  FROM (SELECT output_concept, count(DISTINCT split) AS n FROM {LEAKY} l GROUP BY 1) s
+  FULL JOIN {TEXT_CONCEPTS} u ON s.output_concept = u.output_concept
+  WHERE n > 1 OR n IS NULL OR u.output_concept IS NULL""")
+def split_audit(spark, sf):
+    triples = fx.triples(spark, sf)
+    return splits.split_audit(_leaky(spark, sf), flows.flow_a(triples))
+
+
 # ---------------------------------------------------------------- samples and flows
 
 
@@ -374,7 +387,10 @@ TEXT_NEGATIVES = EXACT_NEGATIVES.replace(fx.TRIPLES, TEXT_TRIPLES)
 TEXT_PAIRS = pairs_sql(TEXT_TRIPLES, negatives=TEXT_NEGATIVES)
 
 
-@query(f"SELECT * FROM {split_pairs_sql(TEXT_PAIRS, EXACT_RANK.replace(EXACT_PAIRS, TEXT_PAIRS))} s")
+TEXT_RANK = EXACT_RANK.replace(EXACT_PAIRS, TEXT_PAIRS)
+
+
+@query(f"SELECT * FROM {split_pairs_sql(TEXT_PAIRS, TEXT_RANK)} s")
 def flow_a_exact(spark, sf):
     return flows.flow_a(fx.triples(spark, sf), mode="exact")
 

@@ -45,7 +45,8 @@ def _nth_place(keyed: DataFrame, count: int, ids: list[str]) -> DataFrame:
     """
     bucketed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash")))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    bases = counts.select("_bucket", "_rows", sum_before(W.orderBy("_bucket"), "_rows").alias("_base"))
+    base = sum_before(W.orderBy("_bucket"), "_rows")
+    bases = counts.select("_bucket", "_rows", base.alias("_base"))
     target = bases.where((F.col("_base") < count) & (F.col("_base") + F.col("_rows") >= count))
     within = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", *ids))
     return (

@@ -82,7 +82,7 @@ def split_concepts(
     train: float = TRAIN_FRACTION,
     valid: float = VALID_FRACTION,
 ) -> DataFrame:
-    """``(output_concept, split)``: the first fraction trains, the next validates, the rest tests."""
+    """``(output_concept, split)``: a first part trains, a second validates, the rest tests."""
     ranked = concept_rank(pairs, mode, seed)
     return ranked.select(
         "output_concept", _cut(F.col("rank"), F.col("n"), train, valid).alias("split")
@@ -120,7 +120,9 @@ def split_pairs(
         seeded_hash(seed, F.col("output_concept")).alias("hash"), F.col("output_concept")
     )
     split = (
-        F.when(place <= cut["train"], "train").when(place <= cut["valid"], "valid").otherwise("test")
+        F.when(place <= cut["train"], "train")
+        .when(place <= cut["valid"], "valid")
+        .otherwise("test")
     )
     return pairs.withColumn("split", split)
 
@@ -157,3 +159,23 @@ def split_coverage(split: DataFrame, universe: DataFrame) -> DataFrame:
     missing = wanted.exceptAll(covered).withColumn("problem", F.lit("missing"))
     unexpected = covered.exceptAll(wanted).withColumn("problem", F.lit("unexpected"))
     return missing.unionByName(unexpected)
+
+
+def split_audit(split: DataFrame, universe: DataFrame) -> DataFrame:
+    """Both audits in one aggregate: every concept with a problem, and its number of splits."""
+    assigned = split.select("output_concept", "split", F.lit(False).alias("wanted")).distinct()
+    wanted = universe.select(
+        "output_concept", F.lit(None).cast("string").alias("split"), F.lit(True).alias("wanted")
+    ).distinct()
+    problem = (
+        F.when(F.col("n_splits") > 1, "leaks")
+        .when(F.col("n_splits") == 0, "missing")
+        .when(~F.col("wanted"), "unexpected")
+    )
+    return (
+        assigned.unionByName(wanted)
+        .groupBy("output_concept")
+        .agg(F.count("split").alias("n_splits"), F.max("wanted").alias("wanted"))
+        .select("output_concept", "n_splits", problem.alias("problem"))
+        .where(F.col("problem").isNotNull())
+    )

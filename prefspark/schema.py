@@ -50,11 +50,6 @@ REPORT = T.StructType(
 )
 
 
-def string_schema(columns):
-    """An all-string schema, the declared type of every triple column."""
-    return T.StructType([T.StructField(name, T.StringType()) for name in columns])
-
-
 def require_columns(df, columns, what="table"):
     """Fail before any job when ``df`` lacks one of ``columns``; name every one missing."""
     missing = [name for name in columns if name not in df.columns]

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.schema import CONVERSATION, PAIR, PAIR_COLUMNS, REPORT, string_schema
+from prefspark.operators.filters import union_parts
+from prefspark.schema import CONVERSATION, PAIR, PAIR_COLUMNS, REPORT
 
 # The suffixes that name a format.
 FORMAT_OF_SUFFIX = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet"}
@@ -19,9 +20,14 @@ FILE_BITS = 40
 BROADCAST_FILES = 500_000
 
 
+def _as_text(columns: Sequence[str]) -> list:
+    # Ids may be stored as numbers. Casting text to text vanishes from the plan.
+    return [F.col(name).cast("string").alias(name) for name in columns]
+
+
 def read_triples(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Only the named columns of a Parquet table, all declared as text."""
-    return spark.read.schema(string_schema(columns)).parquet(path)
+    """Only the named columns of a Parquet table, as text."""
+    return spark.read.parquet(path).select(_as_text(columns))
 
 
 def _one_slash(uri: str) -> str:
@@ -30,33 +36,36 @@ def _one_slash(uri: str) -> str:
 
 
 def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The named columns of several Parquet tables, with ``source`` and a unique ``ord``.
+    """The named columns of several Parquet tables as text, with ``source`` and a unique ``ord``.
 
     ``ord`` grows with the place of the path in the list, then with the file name inside a
     path, then with the row in the file, however the files are split into tasks.
     """
-    reader = spark.read.schema(string_schema(columns))
-    files = []
+    parts, numbered_files = [], 0
     for source, path in enumerate(paths):
-        files += [(_one_slash(name), source) for name in sorted(reader.parquet(path).inputFiles())]
-    numbered = spark.createDataFrame(
-        [(name, source, number) for number, (name, source) in enumerate(files)],
-        "file_path string, source int, file_number long",
-    )
-    rows = reader.parquet(*dict.fromkeys(paths)).select(
-        *columns,
-        F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias("file_path"),
-        F.col("_metadata.row_index").alias("row_index"),
-    )
-    # Beyond the limit Spark chooses the join, and adaptive execution splits large files. A
-    # path named twice is scanned once and its rows come out once per mention.
-    if len(files) <= BROADCAST_FILES:
-        numbered = F.broadcast(numbered)
-    return rows.join(numbered, "file_path").select(
-        *columns,
-        "source",
-        (F.shiftleft("file_number", FILE_BITS) + F.col("row_index")).alias("ord"),
-    )
+        table = spark.read.parquet(path)
+        files = sorted(_one_slash(name) for name in table.inputFiles())
+        numbered = spark.createDataFrame(
+            [(name, numbered_files + i) for i, name in enumerate(files)],
+            "file_path string, file_number long",
+        )
+        numbered_files += len(files)
+        # Beyond the limit Spark picks the join, and adaptive execution splits large files.
+        if len(files) <= BROADCAST_FILES:
+            numbered = F.broadcast(numbered)
+        file_path = F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/"))
+        rows = table.select(
+            *_as_text(columns),
+            file_path.alias("file_path"),
+            F.col("_metadata.row_index").alias("row_index"),
+        )
+        ordinal = F.shiftleft("file_number", FILE_BITS) + F.col("row_index")
+        parts.append(
+            rows.join(numbered, "file_path").select(
+                *columns, F.lit(source).alias("source"), ordinal.alias("ord")
+            )
+        )
+    return union_parts(parts)
 
 
 def _read_json(spark, path, schema):

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,13 @@ def test_drawn_positions(spark):
     assert [drawn[n] for n in range(1, 33)] == DRAWN
 
 
+@pytest.mark.parametrize("n", [1, 2, 33, 64, 1000, 12_345])
+def test_drawn_position_is_that_of_pandas(n):
+    frame = pd.DataFrame({"place": range(n)})
+    drawn = frame.sample(n=1, random_state=pairing.NEGATIVE_SEED).place.iloc[0]
+    assert pairing.drawn_position(n, pairing.NEGATIVE_SEED) == drawn
+
+
 def test_exact_sample_takes_the_drawn_row(triples):
     pool = [("a", f"{NO} {i}", None, "negative") for i in range(9)]
     df = triples(("a", GOOD, "c", "positive"), *pool)
@@ -153,6 +162,29 @@ def test_result_does_not_depend_on_partitions_or_row_order(
     assert got == expected
 
 
+def test_exact_pairs_and_splits_equal_brute_force(event_triples):
+    """Plain dictionaries filled in row order, and the generators themselves."""
+    firsts, pools = {}, {}
+    for r in sorted(event_triples.collect(), key=lambda r: r.ord):
+        if r.category == "positive":
+            firsts.setdefault((r.input, r.output_concept), r.output)
+        elif r.category == "negative":
+            pools.setdefault(r.input, []).append(r.output)
+    picks = {
+        who: pd.Series(pool).sample(1, random_state=44).iloc[0] for who, pool in pools.items()
+    }
+    expected = {
+        key: (text, picks[key[0]]) for key, text in sorted(firsts.items()) if key[0] in picks
+    }
+    concepts = list({concept: None for _, concept in expected})
+    place = {concepts[i]: p for p, i in enumerate(np.random.default_rng(42).permutation(95))}
+    got = flows.flow_b(event_triples, "exact").collect()
+    assert {(r.input, r.output_concept): (r.chosen, r.rejected) for r in got} == expected
+    for r in got:
+        p = place[r.output_concept]
+        assert r.split == ("train" if p < 71 else "valid" if p < 80 else "test")
+
+
 def test_pairs_are_sound(event_triples, mode):
     pairs = pairing.build_pairs(event_triples, mode)
     assert pairs.groupBy("input", "output_concept").count().where("count > 1").isEmpty()

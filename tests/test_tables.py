@@ -78,6 +78,31 @@ def test_paths_with_special_characters_and_twice(spark, tmp_path):
     assert [r.input for r in df.orderBy("ord").collect()] == ["x", "y", "x", "y"]
 
 
+@pytest.mark.parametrize("limit", [0, 10])
+def test_numbered_ids_and_files_beyond_the_broadcast(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(readers, "BROADCAST_FILES", limit)
+    paths = [str(tmp_path / "numbers"), str(tmp_path / "texts")]
+    ids = spark.range(0, 4, 1, 2)
+    ids.withColumnRenamed("id", "concept_id").write.parquet(paths[0])
+    ids.select(F.concat(F.lit("c"), "id").alias("concept_id")).write.parquet(paths[1])
+    df = readers.read_ordered(spark, paths, ["concept_id"])
+    rows = df.orderBy("ord").collect()
+    assert [r.concept_id for r in rows] == ["0", "1", "2", "3", "c0", "c1", "c2", "c3"]
+
+
+def test_flow_a_reads_four_columns_and_pushes_the_genre(spark, tmp_path):
+    from checks import fixtures
+
+    path = str(tmp_path / "triples")
+    triples = fixtures.triples(spark, "/root/testdata/sf0.001").drop("ord")
+    triples.withColumn("unread", F.lit("x")).write.parquet(path)
+    columns = [c for c in triples.columns]
+    df = flows.text_triples(readers.read_ordered(spark, [path, path], columns))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "unread" not in plan
+    assert plan.count("EqualTo(concept_genre,text)") == 2
+
+
 def test_json_that_does_not_fit_fails(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text('{"prompt": "not a list"}\n')
@@ -289,8 +314,8 @@ def test_prepare_writes_every_split(spark, tmp_path):
     assert {d for d in os.listdir(out) if d.startswith("split=")} == {
         "split=train", "split=valid", "split=test",
     }
-    written = {r.split: r["count"] for r in spark.read.json(out).groupBy("split").count().collect()}
-    assert written == counts and sum(counts.values()) == 320
+    written = spark.read.json(out).groupBy("split").agg(F.count("*").alias("n")).collect()
+    assert {r.split: r.n for r in written} == counts and sum(counts.values()) == 320
 
 
 def test_prepare_in_output_order(spark, tmp_path):
@@ -310,5 +335,20 @@ def test_prepare_in_output_order(spark, tmp_path):
     assert prompts == expected and len(prompts) == 270
 
 
+def test_row_wise_operators_run_on_a_stream(spark, records, tmp_path):
+    path = str(tmp_path / "in")
+    records(record()).write.json(path)
+    stream = preference.reverse_preference(spark.readStream.schema(PAIR).json(path))
+    run = stream.writeStream.format("memory").queryName("reversed_pairs").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    row = spark.table("reversed_pairs").first()
+    assert (row.prompt[0].content, row.chosen[0].content) == (
+        "### Suppressing Direction\nx", "no",
+    )
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
