@@ -6,8 +6,7 @@ from checks import fixtures as fx
 from checks.pair_queries import PAIRS
 from checks.registry import query
 from prefspark.functions import chat, messages, models, text
-from prefspark.operators import conversations, pairing
-from prefspark.operators.preference import pair_records, reverse_preference
+from prefspark.operators import conversations, pairing, preference
 from prefspark.plans import flows
 
 # ---------------------------------------------------------------- models and prompts
@@ -101,17 +100,17 @@ def flat_records_sql(pairs, keep, reverse=False):
 
 
 @query(flat_records_sql(PAIRS, "input, output_concept, "))
-def pair_records_flat(spark, sf):
+def pair_records(spark, sf):
     pairs = pairing.build_pairs(fx.triples(spark, sf))
     return flat_records(
-        pair_records(pairs, "input", "output_concept"), "input", "output_concept"
+        preference.pair_records(pairs, "input", "output_concept"), "input", "output_concept"
     )
 
 
 @query(flat_records_sql(PAIRS, "input, output_concept, ", reverse=True))
 def reverse_pairs(spark, sf):
     pairs = pairing.build_pairs(fx.triples(spark, sf))
-    records = reverse_preference(pair_records(pairs, "input", "output_concept"))
+    records = preference.reverse_preference(preference.pair_records(pairs, "input", "output_concept"))
     return flat_records(records, "input", "output_concept")
 
 

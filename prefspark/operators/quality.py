@@ -44,7 +44,8 @@ def enforce_pairs(
 ) -> DataFrame:
     """The same rows, failing the job that reads them at the first refused message list.
 
-    The check travels with the plan, so it covers every row without a pass of its own.
+    The check travels with the plan, so it covers every row without a pass of its own. Like
+    any column, one that the job does not read is not computed and so not checked.
     """
     require_columns(records, columns.values(), what)
     checked = {}

@@ -19,7 +19,7 @@ from prefspark.operators.splits import split_pairs
 from prefspark.schema import FILTERED_TRIPLE_COLUMNS, TRIPLE_COLUMNS
 from prefspark.shared_storage import new_table_path
 from prefspark.sources.readers import load_split, read_ordered
-from prefspark.sources.writers import write_splits
+from prefspark.sources.writers import write_report, write_splits
 
 
 def text_triples(triples: DataFrame) -> DataFrame:
@@ -124,3 +124,23 @@ def score_run(
 ) -> tuple[DataFrame, DataFrame]:
     """(one row of scores over all outputs, samples side by side)."""
     return scoring.score(outputs, aggregates), scoring.zip_samples(prompts, rendered, outputs)
+
+
+def report_run(
+    prompts: DataFrame,
+    rendered: DataFrame,
+    outputs: DataFrame,
+    path: str,
+    checkpoint: str,
+    loaded_model: str,
+    step: int,
+    aggregates: Mapping[str, Column] | None = None,
+) -> None:
+    """Score the outputs of one checkpoint and write its report under its step."""
+    scores, samples = score_run(prompts, rendered, outputs, aggregates)
+    at_step = F.lit(step).cast("long")
+    write_report(
+        scoring.report(scores, checkpoint, loaded_model).withColumn("step", at_step),
+        samples.withColumn("step", at_step),
+        path,
+    )

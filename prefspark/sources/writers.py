@@ -56,7 +56,13 @@ def append_metrics(records: DataFrame, path: str, experiment: str) -> None:
 def write_report(metrics: DataFrame, samples: DataFrame, path: str) -> None:
     """Reports as two datasets below ``path``, one folder per ``step`` in each.
 
-    The samples stay a table of their own: a report has as many as there are prompts.
+    Replaces the steps that are written and no others. The samples stay a table of their
+    own: a report has as many as there are prompts.
     """
     for name, df in (("metrics", metrics), ("samples", samples)):
-        df.write.mode("overwrite").partitionBy("step").json(f"{path}/{name}")
+        (
+            df.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("step")
+            .json(f"{path}/{name}")
+        )

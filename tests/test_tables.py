@@ -260,6 +260,24 @@ def test_report_metrics(spark):
     assert row.metrics == {"mean_output_characters": 3.0, "nonempty_fraction": 1.0}
 
 
+def test_reports_of_a_run(spark, tmp_path):
+    path = str(tmp_path / "report")
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "prompt_id long, prompt string")
+    rendered = spark.createDataFrame(
+        [(1, "A"), (2, "B"), (3, "C")], "prompt_id long, rendered_prompt string"
+    )
+    for step, text in ((10, "old"), (20, "four"), (10, "longer")):
+        outputs = spark.createDataFrame([(2, text), (1, "")], "prompt_id long, output string")
+        flows.report_run(prompts, rendered, outputs, path, f"checkpoint-{step}", "m", step)
+    rows = spark.read.json(f"{path}/metrics").orderBy("step").collect()
+    assert [(r.step, r.checkpoint, r.metrics.mean_output_characters) for r in rows] == [
+        (10, "checkpoint-10", 3.0), (20, "checkpoint-20", 2.0),
+    ]
+    samples = spark.read.json(f"{path}/samples").where("step = 10").orderBy("prompt_id")
+    got = [(r.prompt, r.rendered_prompt, r.output) for r in samples.collect()]
+    assert got == [("a", "A", ""), ("b", "B", "longer")]
+
+
 @pytest.mark.parametrize(
     "interval, enabled, kept",
     [(2, True, [2, 4]), (0, True, []), (-1, True, []), (2, False, []), (1, True, [1, 2, 3, 4])],
