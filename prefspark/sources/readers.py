@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefspark.operators.filters import union_parts
-from prefspark.schema import CONVERSATION, PAIR, PAIR_COLUMNS, REPORT
+from prefspark.schema import CONVERSATION, PAIR, PAIR_COLUMNS, REPORT, require_columns
 
 # The suffixes that name a format.
 FORMAT_OF_SUFFIX = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet"}
@@ -68,39 +68,40 @@ def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
     return union_parts(parts)
 
 
-def _read_json(spark, path, schema):
-    reader = spark.read.option("mode", "FAILFAST")
+def _read_json(spark, path, schema, multi_line):
+    """JSON lines, or with ``multi_line`` files that hold one document or list each."""
+    reader = spark.read.option("mode", "FAILFAST").option("multiLine", bool(multi_line))
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def _read_parquet(spark, path, schema):
+def _read_parquet(spark, path, schema, multi_line):
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def _read_csv(spark, path, schema):
-    """Nested columns are JSON text in a CSV file."""
-    reader = (
+def _read_csv(spark, path, schema, multi_line):
+    """Columns by the names in the header, nested ones from JSON text.
+
+    Values may hold line breaks unless ``multi_line`` is false, which lets Spark split files.
+    """
+    table = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line is not False)
         .option("escape", '"')
         .option("mode", "FAILFAST")
+        .csv(path)
     )
     if schema is None:
-        return reader.csv(path)
+        return table
+    require_columns(table, schema.fieldNames(), path)
     nested = (T.ArrayType, T.StructType, T.MapType)
-    flat = T.StructType(
-        [
-            T.StructField(f.name, T.StringType() if isinstance(f.dataType, nested) else f.dataType)
+    return table.select(
+        *[
+            F.from_json(f.name, f.dataType, {"mode": "FAILFAST"}).alias(f.name)
+            if isinstance(f.dataType, nested)
+            else F.col(f.name).cast(f.dataType).alias(f.name)
             for f in schema.fields
         ]
     )
-    parsed = [
-        F.from_json(f.name, f.dataType, {"mode": "FAILFAST"}).alias(f.name)
-        if isinstance(f.dataType, nested)
-        else F.col(f.name)
-        for f in schema.fields
-    ]
-    return reader.schema(flat).csv(path).select(*parsed)
 
 
 _READERS = {"json": _read_json, "csv": _read_csv, "parquet": _read_parquet}
@@ -115,25 +116,27 @@ def format_of(path: str, fmt: str | None = None) -> str:
 
 
 def read_any(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = PAIR
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    schema: T.StructType | None = PAIR,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """A table in any of the formats. Without a schema Spark infers one from the file."""
-    return _READERS[format_of(path, fmt)](spark, path, schema)
+    """A table in any of the formats. Without a schema the file tells its own."""
+    return _READERS[format_of(path, fmt)](spark, path, schema, multi_line)
 
 
-def load_split(
-    spark: SparkSession,
-    data: Mapping,
-    split: str,
-    schema: T.StructType | None = None,
-) -> DataFrame | None:
+def load_split(spark: SparkSession, data: Mapping, split: str) -> DataFrame | None:
     """A split as configured: ``{split}_path`` first, else the rows of table ``dataset_name``
     whose ``split`` is ``{split}_split``; None when neither is set."""
     path, name, wanted = (
         data.get(f"{split}_path"), data.get("dataset_name"), data.get(f"{split}_split")
     )
     if path:
-        return read_any(spark, path, data.get("format"), schema or pair_schema(data.get("columns")))
+        fmt = format_of(path, data.get("format"))
+        # A Parquet file knows its columns; a declared schema would hide that one is missing.
+        schema = None if fmt == "parquet" else pair_schema(data.get("columns"))
+        return read_any(spark, path, fmt, schema)
     if name and wanted:
         return spark.table(name).where(F.col("split") == wanted).drop("split")
     return None

@@ -27,9 +27,13 @@ def write_splits(records: DataFrame, path: str) -> dict[str, int]:
 
 
 def write_pairs_csv(records: DataFrame, path: str) -> None:
-    """CSV with the message lists as JSON text."""
+    """CSV with the message lists, and whatever else is nested, as JSON text."""
     options = {"ignoreNullFields": "false"}
-    text = [F.to_json(F.col(c), options).alias(c) for c in records.columns]
+    nested = ("array", "struct", "map")
+    text = [
+        F.to_json(F.col(c), options).alias(c) if kind.startswith(nested) else F.col(c)
+        for c, kind in records.dtypes
+    ]
     records.select(*text).write.mode("overwrite").option("header", True).option(
         "escape", '"'
     ).csv(path)

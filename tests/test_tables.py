@@ -123,6 +123,31 @@ def test_csv_keeps_quotes_and_newlines(spark, records, tmp_path):
     assert readers.read_any(spark, path).collect() == rows.collect()
 
 
+def test_csv_columns_go_by_name(spark, records, tmp_path):
+    path = str(tmp_path / "t.csv")
+    rows = records(record()).withColumn("extra", F.lit(1))
+    writers.write_pairs_csv(rows.select("extra", "rejected", "prompt", "chosen"), path)
+    assert readers.read_any(spark, path).collect() == records(record()).collect()
+    short = str(tmp_path / "short.csv")
+    writers.write_pairs_csv(rows.select("prompt"), short)
+    with pytest.raises(ValueError, match=r"\['chosen', 'rejected'\]"):
+        readers.read_any(spark, short)
+
+
+def test_json_list_of_records(spark, records, tmp_path):
+    message = [{"role": "user", "content": "x"}]
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps([{"prompt": message, "chosen": message, "rejected": message}] * 2))
+    assert readers.read_any(spark, str(path), multi_line=True).count() == 2
+
+
+def test_parquet_split_without_a_column(spark, records, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    records(record()).drop("chosen").write.parquet(path)
+    with pytest.raises(ValueError, match=r"train is missing columns: \['chosen'\]"):
+        flows.assemble_training_set(spark, {"train_path": path})
+
+
 def test_reports_are_one_document_per_file(spark, tmp_path):
     for step in (1, 2):
         document = {
