@@ -110,8 +110,8 @@ def pair_records(spark, sf):
 @query(flat_records_sql(PAIRS, "input, output_concept, ", reverse=True))
 def reverse_pairs(spark, sf):
     pairs = pairing.build_pairs(fx.triples(spark, sf))
-    records = preference.reverse_preference(preference.pair_records(pairs, "input", "output_concept"))
-    return flat_records(records, "input", "output_concept")
+    records = preference.pair_records(pairs, "input", "output_concept")
+    return flat_records(preference.reverse_preference(records), "input", "output_concept")
 
 
 @query(rf"""
@@ -162,12 +162,12 @@ PROMPT_SHAPES = """(
     FROM (SELECT *, unnest(range(json_array_length(doc)::BIGINT)) AS i FROM p WHERE shape = 'ARRAY')
     WHERE json_exists(doc, '$[0].content')
     UNION ALL
-    SELECT conv_id, turn, NULL, NULL, NULL, 'prompt object lacks role or content'
+    SELECT conv_id, turn, -1, NULL, NULL, 'prompt object lacks role or content'
     FROM p WHERE shape = 'OBJECT' AND NOT json_exists(doc, '$.content')
     UNION ALL
-    SELECT conv_id, turn, NULL, NULL, NULL, 'prompt list is empty' FROM p WHERE prompt = '[]'
+    SELECT conv_id, turn, -1, NULL, NULL, 'prompt list is empty' FROM p WHERE prompt = '[]'
     UNION ALL
-    SELECT conv_id, turn, NULL, NULL, NULL, 'prompt list holds an item without role and content'
+    SELECT conv_id, turn, -1, NULL, NULL, 'prompt list holds an item without role and content'
     FROM p WHERE shape = 'ARRAY' AND json_array_length(doc) > 0
                  AND NOT json_exists(doc, '$[0].content'))
   SELECT * FROM m""")
@@ -192,9 +192,8 @@ def normalise_prompts(spark, sf):
     exploded = prompts.select(
         "conv_id", "turn", F.col("p.error").alias("error"), F.posexplode_outer("p.messages")
     )
-    return exploded.select(
-        "conv_id", "turn", F.col("pos").alias("position"), "col.role", "col.content", "error"
-    )
+    position = F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("position")
+    return exploded.select("conv_id", "turn", position, "col.role", "col.content", "error")
 
 
 # ---------------------------------------------------------------- conversations
@@ -306,11 +305,10 @@ HEADER_IDS = rf"""(
 
 
 @query(f"""
-  SELECT conv_id, text, CAST(NULL AS VARCHAR) AS error
-  FROM {chatml_sql(fx.THINKING_TURNS)} c""")
+  SELECT conv_id, text FROM {chatml_sql(fx.THINKING_TURNS)} c""")
 def render_chatml(spark, sf):
     assembled = conversations.assemble(fx.thinking_turns(spark, sf))
-    return conversations.render_chatml(assembled)
+    return conversations.render_chatml(assembled).select("conv_id", "text")
 
 
 @query(f"SELECT * FROM {chatml_turns_sql(fx.THINKING_TURNS)} p")
@@ -323,9 +321,10 @@ def render_turn_tags(spark, sf):
     return conversations.render_turn_tags(conversations.assemble(fx.turns(spark, sf)))
 
 
-@query(f"SELECT conv_id, text, CAST(NULL AS VARCHAR) AS error FROM {HEADER_IDS} c")
+@query(f"SELECT conv_id, text FROM {HEADER_IDS} c")
 def render_header_ids(spark, sf):
-    return conversations.render_header_ids(conversations.assemble(fx.turns(spark, sf)))
+    rendered = conversations.render_header_ids(conversations.assemble(fx.turns(spark, sf)))
+    return rendered.select("conv_id", "text")
 
 
 @query(rf"""
@@ -349,7 +348,7 @@ def render_generation_prompt(spark, sf):
 
 
 STEERED_PROMPTS = rf"""(
-  SELECT doc_id, CAST(NULL AS VARCHAR) AS error, CASE
+  SELECT doc_id, CASE
     WHEN qwen THEN concat(
       CASE WHEN system <> '' THEN concat(E'<|im_start|>system\n', system, E'<|im_end|>\n')
            ELSE '' END,
@@ -374,4 +373,4 @@ STEERED_PROMPTS = rf"""(
 def steered_prompts(spark, sf):
     thinking = models.thinking_flag(F.col("override"), F.col("configured"), F.col("model"))
     rendered = flows.steered_prompts(fx.requests(spark, sf), F.col("system"), thinking)
-    return rendered.select("doc_id", "rendered", "error")
+    return rendered.select("doc_id", "rendered")

@@ -231,7 +231,7 @@ def score_outputs(spark, sf):
   FROM {OUTPUTS} o""")
 def score_custom(spark, sf):
     own = {
-        "longest": F.max(F.length("output")),
+        "longest": F.max(F.length("output")).cast("long"),
         "distinct_share": F.countDistinct("output") / F.count(F.lit(1)),
     }
     return scoring.score(_outputs(spark, sf), own)

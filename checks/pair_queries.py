@@ -277,7 +277,9 @@ def concept_rank(spark, sf):
     return splits.concept_rank(pairing.build_pairs(fx.triples(spark, sf)))
 
 
-@query(f"SELECT output_concept, rank, n FROM {EXACT_RANK} r")
+@query(f"""
+  SELECT output_concept, CAST(rank AS BIGINT) AS rank, CAST(n AS BIGINT) AS n
+  FROM {EXACT_RANK} r""")
 def concept_rank_exact(spark, sf):
     pairs = pairing.build_pairs(fx.triples(spark, sf), mode="exact")
     return splits.concept_rank(pairs, mode="exact")

@@ -48,3 +48,11 @@ def report(scores: DataFrame, checkpoint: str, loaded_model: str) -> DataFrame:
         F.lit(loaded_model).alias("loaded_model"),
         F.create_map(*pairs).alias("metrics"),
     )
+
+
+def zip_shortest(**arrays: Column) -> Column:
+    """Named arrays side by side as one array of structs, as long as the shortest of them."""
+    sizes = [F.size(a) for a in arrays.values()]
+    shortest = F.array_min(F.array(*sizes))
+    cut = [F.slice(a, F.lit(1), shortest).alias(name) for name, a in arrays.items()]
+    return F.arrays_zip(*cut)

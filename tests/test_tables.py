@@ -279,6 +279,16 @@ def test_scores_of_nothing_are_zero(spark):
     assert (row.mean_output_characters, row.nonempty_fraction) == (0.0, 0.0)
 
 
+def test_zip_stops_at_the_shortest(spark):
+    df = spark.createDataFrame([(["p", "q"], ["P", "Q"], ["o"]), (["p"], [], ["o"])],
+                               "a array<string>, b array<string>, c array<string>")
+    zipped = df.select(
+        scoring.zip_shortest(prompt=F.col("a"), rendered=F.col("b"), output=F.col("c")).alias("z")
+    )
+    assert [[tuple(s) for s in r.z] for r in zipped.collect()] == [[("p", "P", "o")], []]
+    assert zipped.select("z.output").first().output == ["o"]
+
+
 def test_report_metrics(spark):
     df = spark.createDataFrame([("abc",)], "output string")
     row = scoring.report(scoring.score(df), "c", "m").first()
