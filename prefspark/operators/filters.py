@@ -50,8 +50,15 @@ def long_enough(min_len: int, *columns: str) -> Column:
 
 
 def rename_to_canonical(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Rename source columns to the canonical names they stand for (canonical -> source)."""
-    return df.withColumnsRenamed({source: name for name, source in columns.items()})
+    """Rename source columns to the canonical names they stand for (canonical -> source).
+
+    All at once, so names may be swapped; two columns of one name are refused.
+    """
+    canonical = {source: name for name, source in columns.items()}
+    names = [canonical.get(name, name) for name in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"renaming gives columns of the same name: {names}")
+    return df.toDF(*names)
 
 
 def split_blank(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -190,8 +190,12 @@ def build_pairs(
 
 
 def sort_pairs(pairs: DataFrame) -> DataFrame:
-    """Output order: by prompt, then concept, in code-point order. Only worth it for writing."""
-    return pairs.orderBy("input", "output_concept")
+    """Output order: by prompt, then concept, in code-point order. Only worth it for writing.
+
+    Split pairs are sorted by split first, the order in which a writer of splits wants them.
+    """
+    split = ["split"] if "split" in pairs.columns else []
+    return pairs.orderBy(*split, "input", "output_concept")
 
 
 def distinct_inputs(triples: DataFrame) -> DataFrame:

@@ -65,9 +65,15 @@ def with_group_ordinal(
         *keys, "_block", (F.col("_super_base") + F.col("_block_base")).alias("_base"), "_size"
     )
     within = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(order)) - 1
-    ranked = rows.withColumn("_within", within).join(bases, [*keys, "_block"])
+    rows = rows.withColumn("_within", within)
+    if size:
+        ranked = rows.join(bases, [*keys, "_block"])
+    else:
+        # Most groups have one block, which starts at 0 and needs no row here.
+        ranked = rows.join(bases.where(F.col("_base") > 0), [*keys, "_block"], "left")
+    position = F.coalesce("_base", F.lit(0)) + F.col("_within")
     extra = [F.col("_size").alias(size)] if size else []
-    return ranked.select(*df.columns, (F.col("_base") + F.col("_within")).alias(ordinal), *extra)
+    return ranked.select(*df.columns, position.cast("long").alias(ordinal), *extra)
 
 
 def with_hash_rank(

@@ -21,6 +21,8 @@ def test_group_ordinal_equals_a_window(spark, monkeypatch, bits):
     )
     got = ranking.with_group_ordinal(df, ["key"], "ord", "ordinal", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    bare = ranking.with_group_ordinal(df, ["key"], "ord", "ordinal").collect()
+    assert sorted(map(tuple, bare)) == sorted(map(tuple, expected.drop("n").collect()))
 
 
 def test_group_ordinal_refuses_a_null_order(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prefspark import shared_storage
 from prefspark.operators import metrics, preference, quality, scoring
+from prefspark.operators.filters import rename_to_canonical
 from prefspark.plans import flows
 from prefspark.schema import PAIR, require_columns
 from prefspark.sources import readers, writers
@@ -201,6 +202,14 @@ def test_missing_columns_are_all_named(records):
         require_columns(records(record()), ["prompt", "a", "b"])
 
 
+def test_renaming_may_swap_names_but_not_merge_them(spark):
+    df = spark.createDataFrame([("p", "c")], "prompt string, chosen string")
+    swapped = rename_to_canonical(df, {"prompt": "chosen", "chosen": "prompt"})
+    assert swapped.first().asDict() == {"chosen": "p", "prompt": "c"}
+    with pytest.raises(ValueError, match="same name"):
+        rename_to_canonical(df, {"prompt": "chosen"})
+
+
 def test_violations_beyond_the_first_twenty_rows(spark, records):
     df = records(*[record()] * 30, record(None)).coalesce(1).withColumn(
         "id", F.monotonically_increasing_id()
