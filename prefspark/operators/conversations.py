@@ -2,8 +2,8 @@
 
 A rendered conversation is one text, so a conversation has to fit in a row. It is collected
 once, with a single shuffle on its id, and laid out by column expressions. The checks,
-``last_query_turn`` and ``chatml_turns`` work on the turns themselves: conversations too
-long for a row go through these, and one may hold any share of the rows.
+``last_query_turn`` and the functions named ``…_turns`` work on the turns themselves:
+conversations too long for a row go through these, and one may hold any share of the rows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -23,19 +23,44 @@ def last_query_turn(turns: DataFrame) -> DataFrame:
     )
 
 
+def _with_ends(turns: DataFrame) -> DataFrame:
+    """Each turn with the first, the last and the last asking turn of its conversation."""
+    asked = F.max(F.when(chat.is_query(F.col("role"), F.col("content")), F.col("turn")))
+    ends = turns.groupBy("conv_id").agg(
+        F.min("turn").alias("_first"), F.max("turn").alias("_last"), asked.alias("_asked")
+    )
+    return join_grouped(turns, ends, "conv_id")
+
+
 def chatml_turns(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, piece)``: the ChatML layout turn by turn, without collecting any.
 
     The pieces of a conversation in turn order make up the text of ``render_chatml``.
     """
-    asked = F.max(F.when(chat.is_query(F.col("role"), F.col("content")), F.col("turn")))
-    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"), asked.alias("_asked"))
-    placed = join_grouped(turns, ends, "conv_id")
     after_query = F.col("turn") > F.coalesce("_asked", "_last")
     piece = chat.chatml_turn(
         F.col("role"), F.col("content"), after_query, F.col("turn") == F.col("_last")
     )
-    return placed.select("conv_id", "turn", piece.alias("piece"))
+    return _with_ends(turns).select("conv_id", "turn", piece.alias("piece"))
+
+
+def turn_tag_turns(turns: DataFrame) -> DataFrame:
+    """The same for the turn-tag layout; ``alternation_violations`` tells what breaks it."""
+    opening = F.when(F.col("turn") == F.col("_first"), chat.TAG_BOS).otherwise("")
+    piece = F.concat(opening, chat.turn_tag_turn(F.col("role"), F.col("content")))
+    return _with_ends(turns).select("conv_id", "turn", piece.alias("piece"))
+
+
+def header_turns(turns: DataFrame, date_string: str = chat.DEFAULT_DATE) -> DataFrame:
+    """The same for the header layout; the first piece holds the system turn."""
+    role, content = F.col("role"), F.col("content")
+    is_first = F.col("turn") == F.col("_first")
+    is_system = is_first & (role == "system")
+    system = chat.header_system_turn(F.when(is_system, content).otherwise(""), date_string)
+    opening = F.when(is_first, F.concat(F.lit(chat.HEADER_BOS), system)).otherwise("")
+    turn = F.when(is_system, "").otherwise(chat.header_turn(role, content))
+    piece = F.concat(opening, turn)
+    return _with_ends(turns).select("conv_id", "turn", piece.alias("piece"))
 
 
 def alternation_violations(turns: DataFrame) -> DataFrame:

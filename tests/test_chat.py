@@ -100,15 +100,23 @@ def test_chatml(turns):
     )
 
 
-def test_pieces_make_up_the_text(spark):
+@pytest.mark.parametrize(
+    "render, pieces_of",
+    [
+        (conv.render_chatml, conv.chatml_turns),
+        (conv.render_turn_tags, conv.turn_tag_turns),
+        (conv.render_header_ids, conv.header_turns),
+    ],
+)
+def test_pieces_make_up_the_text(spark, render, pieces_of):
     from checks import fixtures
 
     turns = fixtures.thinking_turns(spark, "/root/testdata/sf0.001")
-    texts = {r.conv_id: r.text for r in conv.render_chatml(conv.assemble(turns)).collect()}
+    texts = {r.conv_id: r.text for r in render(conv.assemble(turns)).collect() if r.text}
     pieces = {}
-    for r in sorted(conv.chatml_turns(turns).collect(), key=lambda r: r.turn):
+    for r in sorted(pieces_of(turns).collect(), key=lambda r: r.turn):
         pieces[r.conv_id] = pieces.get(r.conv_id, "") + r.piece
-    assert pieces == texts
+    assert texts and {c: pieces[c] for c in texts} == texts
 
 
 def test_chatml_writes_a_null_content_as_nothing(turns):
