@@ -8,7 +8,8 @@ import __spark_entry__ as registered
 from checks.compare import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES = {n: q for n, q in registered.queries().items() if n not in registered.LLM_QUERIES}
+SQL = {n: s for n, s in registered.oracle_sql().items() if n not in registered.LLM_SQL}
 
 
 @pytest.fixture(scope="module")
