@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from prefspark.shared_storage import new_table_path
@@ -10,8 +11,8 @@ from prefspark.shared_storage import new_table_path
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-# Text that Python works on at once, in characters. Batches are cut, documents never.
-SLICE_CHARS = 2_000_000
+# Text that Python works on at once, in UTF-8 bytes. Batches are cut, documents never.
+SLICE_BYTES = 2_000_000
 
 
 def split_words(text):
@@ -39,22 +40,14 @@ def staged(df, name):
 
 
 def slices(batches, text_field):
-    """Cuts Arrow batches into lists of columns that hold some SLICE_CHARS of text each.
-
-    Yields a dict of Python lists; a longer text makes a slice of its own.
-    """
+    """Cuts Arrow batches where the texts add up to SLICE_BYTES; a longer one stands alone."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text_field)).to_pylist()
-        low, chars = 0, 0
-        for row, text in enumerate(texts):
-            size = len(text) if text else 0
-            if row > low and chars + size > SLICE_CHARS:
-                yield _columns(batch, low, row)
-                low, chars = row, 0
-            chars += size
-        if texts:
-            yield _columns(batch, low, len(texts))
-
-
-def _columns(batch, low, high):
-    return batch.slice(low, high - low).to_pydict()
+        sizes = pc.binary_length(batch.column(text_field)).fill_null(0).to_pylist()
+        low, total = 0, 0
+        for row, size in enumerate(sizes):
+            if row > low and total + size > SLICE_BYTES:
+                yield batch.slice(low, row - low)
+                low, total = row, 0
+            total += size
+        if sizes:
+            yield batch.slice(low)

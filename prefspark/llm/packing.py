@@ -92,7 +92,8 @@ def token_pieces(docs, tokenizer, capacity=1024, end_id=2, with_ids=False):
         from pyspark import TaskContext
 
         row, encode = TaskContext.get().partitionId() << 40, byte_bpe(tokenizer).encode_all
-        for columns in slices(batches, "text"):
+        for part in slices(batches, "text"):
+            columns = part.to_pydict()
             out = {name: [] for name in names}
             for doc_id, ids in zip(columns["doc_id"], encode(columns["text"])):
                 ids += end
@@ -102,15 +103,15 @@ def token_pieces(docs, tokenizer, capacity=1024, end_id=2, with_ids=False):
                 for piece in range(pieces):
                     start = first + (piece - 1) * capacity if piece else 0
                     length = capacity if piece else first
-                    part = ids[4 * start : 4 * (start + length)]
+                    cut = ids[4 * start : 4 * (start + length)]
                     out["doc_id"].append(doc_id)
                     out["piece"].append(piece)
                     out["start"].append(start)
                     out["length"].append(length)
-                    out["ids_crc32"].append(zlib.crc32(part))
+                    out["ids_crc32"].append(zlib.crc32(cut))
                     out["row"].append(row)
                     if with_ids:
-                        out["ids"].append(pa.array(memoryview(part).cast("I"), pa.int32()))
+                        out["ids"].append(pa.array(memoryview(cut).cast("I"), pa.int32()))
                     row += 1
             yield _batch(out)
 

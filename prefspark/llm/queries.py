@@ -1,8 +1,9 @@
 """One query for each operator, over its whole table."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from prefspark.llm import packing
+from prefspark.llm import language_id, packing
 
 QUERIES, SQL = {}, {}
 
@@ -21,6 +22,20 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus):
+    """Column: crc32 of the doc_id as text, by ``modulus``; it sets rows aside for tests."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(_remainder(4) != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
+
+
 @query()
 def op2_best_fit_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
