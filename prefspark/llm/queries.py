@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefspark.llm import language_id, packing
+from prefspark.llm import language_id, line_quality, packing, sharding
 
 QUERIES, SQL = {}, {}
 
@@ -40,3 +40,15 @@ def op1_language_id(spark, sf_dir):
 def op2_best_fit_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op3_hash_ring_sharding(spark, sf_dir):
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+@query(line_quality.QUALITY_SQL)
+def op10_line_quality(spark, sf_dir):
+    return line_quality.quality(_table(spark, sf_dir, "documents"))
