@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefspark.llm import language_id, line_quality, packing, sharding
+from prefspark.llm import language_id, line_quality, mixing, packing, sharding
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +52,8 @@ def op3_hash_ring_sharding(spark, sf_dir):
 @query(line_quality.QUALITY_SQL)
 def op10_line_quality(spark, sf_dir):
     return line_quality.quality(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_source_mixing(spark, sf_dir):
+    return mixing.taken_words(_table(spark, sf_dir, "documents"))
