@@ -3,7 +3,16 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefspark.llm import language_id, line_quality, mixing, packing, sharding
+from prefspark.llm import (
+    language_id,
+    line_quality,
+    mixing,
+    packing,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from prefspark.shared_storage import new_table_path
 
 QUERIES, SQL = {}, {}
 
@@ -57,3 +66,31 @@ def op10_line_quality(spark, sf_dir):
 @query()
 def op8_source_mixing(spark, sf_dir):
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", "predicted")
+
+
+@query()
+def op7_token_counts(spark, sf_dir):
+    """Totals after three batches: all documents; revised and deleted ones; that batch again.
+
+    The second batch moves each eleventh doc_id to another source with its text doubled, and
+    deletes each seventh of the others.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    versions = {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"), "utf8_bytes": None}
+    ledger = token_counts.Ledger(spark, new_table_path(spark, "token-ledger"))
+    ledger.commit(1, token_counts.count_tokens(docs, versions))
+    moved = docs.where("doc_id % 11 = 0").withColumn("source", F.lit("revised"))
+    moved = moved.withColumn("text", F.concat("text", F.lit("\n"), "text"))
+    deleted = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 0")
+    for _ in range(2):
+        ledger.commit(2, token_counts.count_tokens(moved, versions), deleted)
+    return ledger.totals()
