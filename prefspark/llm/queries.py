@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from prefspark.llm import (
+    embedding_join,
     language_id,
     line_quality,
     mixing,
@@ -94,3 +95,8 @@ def op7_token_counts(spark, sf_dir):
     for _ in range(2):
         ledger.commit(2, token_counts.count_tokens(moved, versions), deleted)
     return ledger.totals()
+
+
+@query()
+def op5_embedding_join(spark, sf_dir):
+    return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))

@@ -18,13 +18,14 @@ from pyspark.sql.types import StructType
 from prefspark.llm.common import slices
 
 DIMENSIONS = 1 << 20
-# Bounds of the sample that is fitted: about so many rows of a label, in texts of so many bytes.
+# Bounds of the sample that is fitted: about so many toxic rows, so many others for each of
+# them, and texts of so many bytes.
 SAMPLE_TOXIC = 6_000
-SAMPLE_CLEAN = 12_000
+CLEAN_PER_TOXIC = 3
 SAMPLE_DOC_BYTES = 32_768
 
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.1
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 ADDED = ("score", "predicted")
 
 _TOKEN = re.compile(r"\w+")
@@ -88,7 +89,7 @@ def _weights(z, n):
     return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
 
-def fit(docs, labels, label="toxic", limits=(SAMPLE_CLEAN, SAMPLE_TOXIC)):
+def fit(docs, labels, label="toxic", sample_toxic=SAMPLE_TOXIC):
     """A model of ``label`` (0 or 1) in ``labels`` (doc_id, label) for ``docs`` (doc_id, text).
 
     Rows without a label or a doc_id teach nothing; of repeated labels the largest counts.
@@ -97,8 +98,10 @@ def fit(docs, labels, label="toxic", limits=(SAMPLE_CLEAN, SAMPLE_TOXIC)):
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     counts = known.groupBy(label).agg(F.count("*").alias("n")).collect()
-    share = {r[label]: limits[r[label]] / r["n"] for r in counts}
-    limit = F.when(F.col(label) == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    rows = {r[label]: r["n"] for r in counts}
+    toxic = min(sample_toxic, rows.get(1, 0))
+    share = [CLEAN_PER_TOXIC * toxic / rows.get(0, 1), toxic / rows.get(1, 1)]
+    limit = F.when(F.col(label) == 1, share[1]).otherwise(share[0])
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.where(uniform < limit).groupBy("doc_id").agg(F.max(label).alias("_label"))
     texts = docs.where(F.octet_length("text") <= SAMPLE_DOC_BYTES).select("doc_id", "text")
