@@ -215,9 +215,11 @@ def mix(docs, source="source", block_words=BLOCK_WORDS, weights=WEIGHTS, max_epo
     place = (F.col("nth") % F.col("_blocks")).alias("place")
     drawn = slots(goal, seed).join(goal.select("_sid", "_blocks"), "_sid")
     times = drawn.groupBy("_sid", place).agg(F.count("*").alias("times"))
-    blocks = permutation(goal, seed).join(times, ["_sid", "place"])
+    # The planner doesn't see how many rows an exploded sequence has, and would broadcast them.
+    blocks = permutation(goal, seed).join(times.hint("merge"), ["_sid", "place"])
     parts = block_parts(documents, goal, block_words)
-    taken = parts.join(blocks, ["_sid", "index"]).select("_row", "low", "words", "times")
+    taken = parts.join(blocks.hint("merge"), ["_sid", "index"])
+    taken = taken.select("_row", "low", "words", "times")
     return documents, goal, taken
 
 
