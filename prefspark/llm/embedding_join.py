@@ -51,7 +51,7 @@ def _unlinked(vectors):
         "vec_id",
         F.lit(0).cast("long").alias("n_links"),
         F.col("vec_id").alias("component_id"),
-        F.col("vec_id").isNotNull().alias("kept"),
+        F.lit(True).alias("kept"),
     )
 
 
@@ -285,8 +285,8 @@ def near_duplicates(vectors, cosine=COSINE):
 
     Returns vec_id, n_links, component_id and kept, one row for each vector. Equal vectors are
     linked. Vectors that are null, zero or hold a null or a number that is not finite are
-    linked with nothing, and so are those without a vec_id, whose component_id is null and
-    which are not kept. Shorter vectors count as filled up with zeros. Rows with the same
+    linked with nothing, and so are those without a vec_id, whose component_id is null; they
+    are kept. Shorter vectors count as filled up with zeros. Rows with the same
     vec_id are different vectors; other columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession

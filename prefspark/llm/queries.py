@@ -8,6 +8,7 @@ from prefspark.llm import (
     language_id,
     line_quality,
     mixing,
+    near_dup,
     packing,
     sharding,
     token_counts,
@@ -100,3 +101,8 @@ def op7_token_counts(spark, sf_dir):
 @query()
 def op5_embedding_join(spark, sf_dir):
     return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
