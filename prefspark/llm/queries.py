@@ -11,6 +11,7 @@ from prefspark.llm import (
     near_dup,
     packing,
     sharding,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -106,3 +107,8 @@ def op5_embedding_join(spark, sf_dir):
 @query()
 def op9_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+@query()
+def op6_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_words(_table(spark, sf_dir, "documents"))
