@@ -1,11 +1,68 @@
-"""From raw documents to packed sequences: the corpus operators, one after the other."""
+"""From raw documents to packed sequences: five corpus operators, one after the other.
 
+Each stage is written as Parquet, and the next one reads what it wrote. All but the last
+return the columns of ``documents``.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from prefspark.llm import language_id, mixing, near_dup, packing, substring_dedup
+from prefspark.shared_storage import new_table_path
+
+SIMILARITY_PERCENT = 80
+# Words of a block of the mixture: long enough to keep most documents whole or nearly so.
+BLOCK_WORDS = 1024
+
+# No SQL for scores, samples and packing; the stages are tested one by one.
 ORACLE_SQL = None
-STAGES = []
+
+
+def identify_languages(spark, docs, sf_dir):
+    """Drops documents without a language: those with no text or no letter in it."""
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    found = language_id.identify(docs, language_id.fit(learned))
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the smallest doc_id of each group of near-duplicates.
+
+    Of rows with the same doc_id all stay or none: they are one document to this stage.
+    """
+    found = near_dup.near_duplicates(docs, SIMILARITY_PERCENT)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark, docs, sf_dir):
+    """Cuts passages of 50 words and more that an earlier document has, too."""
+    return substring_dedup.without_repeats(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Takes each source as often as its target weight asks for, in blocks."""
+    return mixing.mixed_documents(docs, block_words=BLOCK_WORDS)
+
+
+def pack(spark, docs, sf_dir):
+    """Packs what is left into sequences of 1024 tokens: a row for each piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack),
+]
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = new_table_path(spark, f"corpus-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
