@@ -1,0 +1,104 @@
+"""PPM code lengths against a plain walk down the contexts, and held-out accuracy."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from prefspark.llm import language_id as L
+
+
+def counted(samples):
+    """Counts as the Spark job gives them, from {lang: [bytes]}."""
+    rows = Counter()
+    for lang, texts in samples.items():
+        for text in texts:
+            padded = L._PAD + text
+            for i in range(L.ORDER, len(padded)):
+                for order in range(L.ORDER + 1):
+                    rows[lang, order, int.from_bytes(padded[i - order : i + 1])] += 1
+    return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["lang", "context_bytes", "gram", "n"])
+
+
+def plain_bits(samples, text):
+    """Bits of a text by walking from the longest known context to the shortest."""
+    counts = Counter()
+    for sample in samples:
+        padded = L._PAD + sample
+        for i in range(L.ORDER, len(padded)):
+            for order in range(L.ORDER + 1):
+                counts[padded[i - order : i], padded[i]] += 1
+    contexts = {}
+    for (context, symbol), n in counts.items():
+        contexts.setdefault(context, {})[symbol] = n
+    padded, bits = L._PAD + text, 0.0
+    for i in range(L.ORDER, len(padded)):
+        for order in range(L.ORDER, -1, -1):
+            seen = contexts.get(padded[i - order : i])
+            if seen is None:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if padded[i] in seen:
+                bits -= math.log2(seen[padded[i]] / total)
+                break
+            bits -= math.log2(len(seen) / total)
+        else:
+            bits += 8
+    return bits
+
+
+SAMPLES = {
+    "aa": [b"banana bandana", b"an anagram", b"\x00\xff zero"],
+    "zz": [b"zigzag zoo buzz", b"fizz", "größe".encode()],
+}
+
+
+@pytest.fixture(scope="module")
+def model():
+    return L.compile_model(counted(SAMPLES))
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 1 << 19])
+def test_code_lengths(model, monkeypatch, chunk):
+    monkeypatch.setattr(L, "_CHUNK", chunk)
+    texts = [b"banana", b"zoo", b"an", b"x", b"buzz banana \x00", b"qqqqqqqqqqqqq", "größer".encode()]
+    found = model.code_lengths(texts)
+    expected = [[plain_bits(SAMPLES[lang], t) for lang in model.languages] for t in texts]
+    assert np.allclose(found, expected, rtol=1e-5)
+
+
+def test_lookup_finds_all_and_only_its_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 5000, 2000, np.uint64))
+    table, every = L.Lookup(keys), np.arange(6000, dtype=np.uint64)
+    place = table.find(every)
+    assert (keys[place[place >= 0]] == every[place >= 0]).all()
+    assert (place >= 0).sum() == len(keys)
+
+
+def test_odd_rows(spark, docs, model):
+    rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, "banana"), (4, "banana"), (None, "zoo buzz"), (5, "n" * 3_000_000)]
+    table = docs(rows).withColumnRenamed("lang", "score")
+    found = L.identify(table, model)
+    assert found.columns == ["doc_id", "text", "source", "n_chars", "lang_pred", "score", "bits_per_byte"]
+    got = [(r["doc_id"], r["lang_pred"]) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(1, "und"), (2, "und"), (3, "und"), (4, "aa"), (4, "aa"), (None, "zz"), (5, "aa")], key=repr
+    )
+    assert all(0 <= r["score"] <= 1 for r in found.collect())
+
+
+def test_nothing_to_learn_from(docs):
+    for rows in ([], [(1, "text", None), (2, None, "en"), (3, "12", "en")]):
+        model = L.fit(docs(rows))
+        assert {r["lang_pred"] for r in L.identify(docs([(9, "some text")]), model).collect()} == {"und"}
+
+
+def test_held_out_accuracy(spark):
+    from prefspark.llm.queries import op1_language_id
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    found = op1_language_id(spark, sf_dir).join(docs, "doc_id").where("held_out").toPandas()
+    assert len(found) > 150 and (found["lang_pred"] == found["lang"]).mean() > 0.98
