@@ -107,10 +107,11 @@ def goals(documents, block_words, weights, max_epochs):
     sizes = documents.groupBy("_source").agg(F.sum("size").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.least(
-        F.round(F.col("target") * F.col("_blocks") / F.col("source_size")), max_epochs * F.col("_blocks")
+        F.round(F.try_divide(F.col("target") * F.col("_blocks"), "source_size")),
+        max_epochs * F.col("_blocks"),
     )
     upto = W.orderBy("_sid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    high = F.sum("target").over(upto) / F.sum("target").over(W.partitionBy())
+    high = F.try_divide(F.sum("target").over(upto), F.sum("target").over(W.partitionBy()))
     found = targets(sizes, weights, max_epochs).withColumn("_blocks", blocks)
     found = found.withColumn("_quota", F.coalesce(quota, F.lit(0)).cast("long"))
     found = found.withColumn("_high", high)
