@@ -331,8 +331,11 @@ def _changes(docs, with_text):
     blocks = max(1, math.ceil(suspects.count() / BLOCK_DOCS))
     block = F.pmod(F.xxhash64("id", "text_key"), F.lit(blocks)).cast("int").alias("block")
     listed = passages.select("first", "start", F.explode("anchors").alias("anchor"))
+    # Blocks, not documents, ask for passages: a common one meets each block once.
     wanted = places.select(block, "id", F.explode("anchors").alias("anchor"))
-    needed = wanted.join(listed, "anchor").where("first < id").select("block", "first", "start").distinct()
+    wanted = wanted.groupBy("block", "anchor").agg(F.max("id").alias("last"))
+    needed = wanted.join(listed, "anchor").where("first < last")
+    needed = needed.select("block", "first", "start").distinct()
     phrases = needed.join(passages.select("first", "start", "text"), ["first", "start"]).select(
         "block", F.lit(0).alias("role"), F.col("first").alias("id"), F.lit(None).cast("long").alias("text_key"), "text"
     )
