@@ -4,16 +4,21 @@ A document is the set of its word shingles. One pass over the texts makes a shor
 each: MinHash samples folded into bands, and the same samples folded into an odd sketch, a
 bitmap in which each sample flips one bit. Where two sets are alike, most flips cancel: the
 population count of the XOR of two sketches tells how much they differ, most exactly for high
-similarities. Documents with equal sets are one from then on.
+similarities. A second odd sketch has a flip for every shingle: its count is never more than
+the shingles that only one of the sets has, so what it drops is dropped for certain; it tells
+most about short documents. Documents with equal sets are one from then on.
 
 Documents that share a band are candidates. They are not paired all with all: each is paired
-with the first of its band, pairs whose sketches are too far apart are dropped, and the rest
-is confirmed on the full sets. Only where a band still holds different components after that
-are the others paired, again through their sketches. So no link between different components
-is left out, and a group of thousands of copies costs a link for each.
+with the one of its band that shares most bands with others, pairs whose sketches are too far
+apart are dropped, and the rest is confirmed on the full sets. Only where a band still holds
+different components after that are the others compared, within the join and by their
+sketches. So no link between different components is left out, and a group of thousands of
+copies costs a link for each.
 """
 
+import functools
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,16 @@ BAND_ROWS = 5
 # Chance that a pair at the limit shares no band.
 MISS = 1e-6
 SKETCH_BITS = 512
+SET_SKETCH_BITS = 2048
 # Standard deviations by which a sketch may be off before its pair is dropped.
 SKETCH_SIGMAS = 6
 
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 64 + 4096, np.uint64) | np.uint64(1)
 _CHUNK = 1 << 16
-_PROFILE = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>"
+_ARRAYS = ("bands", "sketch", "set_sketch")
+_PROFILE = "doc_id long, n_shingles long, key1 long, key2 long, " + ", ".join(
+    f"{name} array<long>" for name in _ARRAYS
+)
 
 
 def mixed(numbers):
@@ -109,6 +118,12 @@ def odd_sketches(samples):
     return np.packbits(flips, axis=1, bitorder="little").view(np.int64)
 
 
+def set_sketches(sets):
+    """The parity bitmap of each set with a flip for every element."""
+    flips = [np.bincount(s % np.uint64(SET_SKETCH_BITS), minlength=SET_SKETCH_BITS) & 1 for s in sets]
+    return np.packbits(np.array(flips, np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def _profile(settings):
     def profile(batches):
         for part in slices(batches, "text"):
@@ -117,10 +132,10 @@ def _profile(settings):
             digests = [xxhash.xxh3_128_digest(s) for s in sets]
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             place = np.cumsum([len(s) > 0 for s in sets]) - 1
-            bands = sketches = np.empty((0, 0), np.int64)
+            tables = ()
             if some:
                 samples = min_hashes(some, settings.samples)
-                bands, sketches = bands_of(samples), odd_sketches(samples)
+                tables = bands_of(samples), odd_sketches(samples), set_sketches(some)
             none = np.array([], np.int64)
             columns = [
                 part.column("doc_id"),
@@ -129,7 +144,7 @@ def _profile(settings):
                 pa.array(keys[:, 1]),
                 *(
                     pa.array([t[p] if len(s) else none for s, p in zip(sets, place)], pa.list_(pa.int64()))
-                    for t in (bands, sketches)
+                    for t in tables or [none] * len(_ARRAYS)
                 ),
             ]
             names = [f.split()[0] for f in _PROFILE.split(", ")]
@@ -158,6 +173,12 @@ def _full_sets(settings):
     return full
 
 
+def _flipped(one, other, bits):
+    """Column: population count of the XOR of the first bits of two bitmaps."""
+    words = [F.bit_count(F.get(one, i).bitwiseXOR(F.get(other, i))) for i in range(bits // 64)]
+    return functools.reduce(operator.add, words)
+
+
 class _Groups:
     """Groups of documents with equal sets, and what is asked of pairs of them."""
 
@@ -167,27 +188,66 @@ class _Groups:
         grouped = grouped.agg(
             F.min("doc_id").alias("least"),
             F.first("n_shingles").alias("n"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
+            *(F.first(name).alias(name) for name in _ARRAYS),
         )
         self.rows = staged(grouped.withColumn("gid", F.monotonically_increasing_id()), "sets")
-        self.buckets = self.rows.select("gid", F.explode("bands").alias("bucket"))
+        buckets = self.rows.select("gid", F.explode("bands").alias("bucket"))
+        counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        self.shared = staged(buckets.join(counts, "bucket"), "bands")
+        weights = self.shared.groupBy("gid").agg(F.sum("n").alias("weight"))
+        central = F.max_by("gid", "weight").alias("central")
+        self.centres = staged(
+            self.shared.join(weights, "gid").groupBy("bucket").agg(central), "centres"
+        )
 
-    def like(self, pairs):
-        """Pairs (a, b) whose sizes and odd sketches leave the limit within reach."""
-        for end in ("a", "b"):
-            own = self.rows.select(
-                F.col("gid").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")
-            )
-            pairs = pairs.join(own, end)
-        flipped = F.aggregate(
-            F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-            F.lit(0),
-            lambda total, bits: total + bits,
+    def _sketched(self, end):
+        """The groups with what ``_alike`` asks for, as the end a or b of a pair."""
+        columns = {"gid": end, "n": f"n_{end}"} | {c: f"{c}_{end}" for c in _ARRAYS[1:]}
+        return self.rows.select(*(F.col(c).alias(name) for c, name in columns.items()))
+
+    def _alike(self):
+        """Column: whether the sizes and sketches of a pair leave the limit within reach."""
+        percent = self.settings.percent
+        sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        apart = (F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)
+        # A part of the bitmap, too, shows no more than the difference, and mostly enough.
+        parts = [
+            _flipped("set_sketch_a", "set_sketch_b", bits) <= apart
+            for bits in (SET_SKETCH_BITS // 8, SET_SKETCH_BITS // 2, SET_SKETCH_BITS)
+        ]
+        flipped = _flipped("sketch_a", "sketch_b", SKETCH_BITS) <= self.settings.most_flipped
+        return functools.reduce(operator.and_, [sized, parts[0], flipped, *parts[1:]])
+
+    def first_pairs(self):
+        """Each group of a bucket with the central one, if they may be alike."""
+        paired = self.shared.join(self.centres, "bucket").where("gid <> central")
+        pairs = paired.select(F.col("central").alias("a"), F.col("gid").alias("b")).distinct()
+        pairs = pairs.join(self._sketched("a"), "a").join(self._sketched("b"), "b")
+        return pairs.where(self._alike()).select("a", "b")
+
+    def open_pairs(self, roots):
+        """Groups of a bucket in different components that may be alike.
+
+        One of them is not in the central one's component. Pairs with the central one are not
+        among them; they have been looked at.
+        """
+        rooted = self.shared.join(roots, F.col("gid") == F.col("id"), "left")
+        rooted = rooted.select("bucket", "gid", F.coalesce("root", "gid").alias("root"))
+        span = rooted.groupBy("bucket").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
         )
-        smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        sized = 100 * smaller >= self.settings.percent * larger
-        return pairs.where(sized & (flipped <= self.settings.most_flipped)).select("a", "b")
+        some = span.where("low <> high and n > 2").select("bucket").join(self.centres, "bucket")
+        members = staged(rooted.join(some, "bucket"), "open-bands")
+        centres = members.where("gid = central").select("bucket", F.col("root").alias("central_root"))
+        rest = members.where("gid <> central").select("bucket", "gid", "root")
+        others = rest.join(centres, "bucket").where("root <> central_root")
+        others = others.select("bucket", F.col("gid").alias("a"), F.col("root").alias("root_a"))
+        rest = rest.select("bucket", F.col("gid").alias("b"), F.col("root").alias("root_b"))
+        others = others.join(self._sketched("a"), "a")
+        rest = rest.join(self._sketched("b"), "b")
+        same = (others["bucket"] == rest["bucket"]) & (F.col("root_a") != F.col("root_b"))
+        across = others.join(rest.hint("merge"), same & self._alike())
+        return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirmed(self, pairs):
         """The written pairs (a, b) whose full sets are as similar as asked."""
@@ -202,31 +262,6 @@ class _Groups:
         every = F.size("set_a") + F.size("set_b") - shared
         return pairs.where(100 * shared >= self.settings.percent * every).select("a", "b")
 
-    def first_pairs(self):
-        """Each group of a bucket with the first one of the bucket."""
-        first = self.buckets.groupBy("bucket").agg(F.min("gid").alias("a"), F.count("*").alias("n"))
-        paired = self.buckets.join(first.where("n > 1"), "bucket").where("gid <> a")
-        return paired.select("a", F.col("gid").alias("b")).distinct()
-
-    def open_pairs(self, roots):
-        """Groups of a bucket in different components, one of them not in the first one's.
-
-        Pairs with the first of a bucket are not among them; they have been looked at.
-        """
-        rooted = self.buckets.join(roots, F.col("gid") == F.col("id"), "left")
-        rooted = rooted.select("bucket", "gid", F.coalesce("root", "gid").alias("root"))
-        span = rooted.groupBy("bucket").agg(
-            F.min("gid").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
-        )
-        span = span.where("low <> high and n > 2").select("bucket", "first")
-        members = staged(rooted.join(span, "bucket"), "open-buckets")
-        firsts = members.where("gid = first").select("bucket", F.col("root").alias("first_root"))
-        others = members.where("gid <> first").join(firsts, "bucket").where("root <> first_root")
-        others = others.select("bucket", F.col("gid").alias("a"), F.col("root").alias("root_a"))
-        rest = members.where("gid <> first").select("bucket", F.col("gid").alias("b"), F.col("root").alias("root_b"))
-        across = others.join(rest, "bucket").where("root_a <> root_b")
-        return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
 
 def near_duplicates(docs, percent=80, shingle_words=SHINGLE_WORDS):
     """Links of ``docs`` (doc_id, text) whose shingle sets are similar to ``percent``.
@@ -244,9 +279,9 @@ def near_duplicates(docs, percent=80, shingle_words=SHINGLE_WORDS):
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     profiles = staged(docs.mapInArrow(_profile(settings), _PROFILE), "profiles")
     groups = _Groups(docs, profiles, settings)
-    links = staged(groups.confirmed(staged(groups.like(groups.first_pairs()), "pairs")), "confirmed")
+    links = staged(groups.confirmed(staged(groups.first_pairs(), "pairs")), "confirmed")
     roots = staged(components(links), "roots")
-    more = staged(groups.like(groups.open_pairs(roots)), "open-pairs")
+    more = staged(groups.open_pairs(roots), "open-pairs")
     if not more.isEmpty():
         roots = components(links.unionByName(groups.confirmed(more)))
     rooted = groups.rows.join(roots, F.col("gid") == F.col("id"), "left")
