@@ -8,6 +8,7 @@ from checks.registry import query
 from prefspark.operators import filters, pairing, quality, sampling, splits
 from prefspark.operators.ranking import with_sorted_ordinal
 from prefspark.plans import flows
+from prefspark.shared_storage import staged
 from prefspark.sources import readers
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -257,11 +258,8 @@ def distinct_inputs(spark, sf):
   UNION ALL SELECT 'filtered', count(*) FROM {TEXT_TRIPLES} t
   UNION ALL SELECT 'pairs', count(*) FROM {pairs_sql(TEXT_TRIPLES)} p""")
 def stage_counts(spark, sf):
-    triples = fx.triples(spark, sf)
-    filtered = flows.text_triples(triples)
-    return pairing.stage_counts(
-        {"triples": triples, "filtered": filtered, "pairs": pairing.build_pairs(filtered)}
-    )
+    steps = {"filtered": flows.text_triples, "pairs": pairing.build_pairs}
+    return pairing.observed_counts(fx.triples(spark, sf), steps, "triples")
 
 
 # ---------------------------------------------------------------- splits
@@ -292,7 +290,7 @@ def split_concepts(spark, sf):
 
 @query(f"SELECT * FROM {split_pairs_sql(PAIRS)} s")
 def split_pairs(spark, sf):
-    return splits.split_pairs(pairing.build_pairs(fx.triples(spark, sf)))
+    return splits.split_pairs(staged(pairing.build_pairs(fx.triples(spark, sf)), "pairs"))
 
 
 @query(f"SELECT * FROM {split_pairs_sql(EXACT_PAIRS, EXACT_RANK)} s")
@@ -375,6 +373,39 @@ def limit_sample(spark, sf):
     return sampling.limit_sample(docs, 500, 42, ["doc_id"])
 
 
+# Repeated keys, of which some are null; a sample of more than half of them.
+KEYS = """(SELECT CASE WHEN event_id % 5 > 0 THEN event_id // 3 END AS k FROM events)"""
+MOST = "(SELECT count(*) * 3 // 5 FROM events)"
+
+
+def _keys(spark, sf):
+    key = F.when(F.col("event_id") % 5 > 0, F.expr("event_id div 3"))
+    return fx.table(spark, sf, "events").select(key.alias("k"))
+
+
+@query(f"""
+  SELECT 'keyed' AS way, k FROM {KEYS} a
+  QUALIFY row_number() OVER (ORDER BY md5(concat('42|', coalesce(k::VARCHAR, '\\N')))) <= {MOST}
+  UNION ALL
+  SELECT 'whole row', k FROM {KEYS} b
+  QUALIFY row_number() OVER (
+    ORDER BY md5(concat('42|{{', '"k":' || k, '}}'))) <= {MOST}""")
+def limit_sample_large(spark, sf):
+    keys = _keys(spark, sf)
+    count = keys.count() * 3 // 5
+    ways = {"keyed": ["k"], "whole row": []}
+    parts = [
+        sampling.limit_sample(keys, count, 42, ids).withColumn("way", F.lit(way))
+        for way, ids in ways.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT k FROM {KEYS} a")
+def limit_sample_all(spark, sf):
+    return sampling.limit_sample(_keys(spark, sf), 1 << 40, 42, ["k"])
+
+
 @query(f"SELECT * FROM {split_pairs_sql(pairs_sql(TEXT_TRIPLES))} s")
 def flow_a(spark, sf):
     return flows.flow_a(fx.triples(spark, sf))

@@ -29,7 +29,7 @@ def _with_ends(turns: DataFrame) -> DataFrame:
     ends = turns.groupBy("conv_id").agg(
         F.min("turn").alias("_first"), F.max("turn").alias("_last"), asked.alias("_asked")
     )
-    return join_grouped(turns, ends, "conv_id")
+    return join_grouped(turns, ends, "conv_id", null_key=True)
 
 
 def chatml_turns(turns: DataFrame) -> DataFrame:

@@ -4,16 +4,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_grouped(df: DataFrame, grouped: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_grouped(
+    df: DataFrame, grouped: DataFrame, key: str, how: str = "inner", null_key: bool = False
+) -> DataFrame:
     """Join ``df`` with a table that was grouped by ``key``, so that hot keys can be split.
 
+    With ``null_key`` rows without a key are joined with the group without one.
+
     A grouped table is partitioned by its key already, and adaptive execution cannot split
     a partition that runs through an aggregate into a join. Joining on a hash of the key as
     well makes Spark shuffle both sides for the join alone; what a hot key brings into one
     partition of ``df`` is then split, and its one row of ``grouped`` repeated.
     """
-    return (
-        df.withColumn("_hash", F.xxhash64(key))
-        .join(grouped.withColumn("_hash", F.xxhash64(key)), [key, "_hash"], how)
-        .drop("_hash")
-    )
+    left = df.withColumn("_hash", F.xxhash64(key))
+    if not null_key:
+        right = grouped.withColumn("_hash", F.xxhash64(key))
+        return left.join(right, [key, "_hash"], how).drop("_hash")
+    right = grouped.withColumn("_hash2", F.xxhash64(key)).withColumnRenamed(key, "_key2")
+    same = F.col(key).eqNullSafe(F.col("_key2")) & (F.col("_hash") == F.col("_hash2"))
+    return left.join(right, same, how).drop("_hash", "_hash2", "_key2")

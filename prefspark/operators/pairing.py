@@ -9,17 +9,17 @@ negatives. ``exact`` takes the row that a seeded numpy generator would, which de
 nothing but the number of negatives of the prompt.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prefspark.functions.text import prompt_text
 from prefspark.operators.filters import long_enough
 from prefspark.operators.joins import join_grouped
 from prefspark.operators.ranking import seeded_hash, with_group_ordinal
+from prefspark.operators.replay import first_of_shuffle
 from prefspark.schema import TRIPLE_COLUMNS, require_columns
 
 # Fixed values of the pairing.
@@ -27,12 +27,12 @@ POSITIVE, NEGATIVE = "positive", "negative"
 MIN_LEN = 10
 NEGATIVE_SEED = 44
 
-# The exact mode replays a generator over a pool's positions inside one task: 8 bytes each.
-EXACT_POOL_LIMIT = 100_000_000
-
 
 def _ordered(triples: DataFrame) -> DataFrame:
-    return require_columns(triples, (*TRIPLE_COLUMNS, "ord"), "triple table")
+    """The triples, failing the job that meets a row without its ``ord``."""
+    require_columns(triples, (*TRIPLE_COLUMNS, "ord"), "triple table")
+    refuse = F.raise_error(F.lit("ord must not be null")).cast(triples.schema["ord"].dataType)
+    return triples.withColumn("ord", F.coalesce("ord", refuse))
 
 
 def positives(triples: DataFrame) -> DataFrame:
@@ -94,15 +94,6 @@ def sample_negative_hash(triples: DataFrame, seed: int = NEGATIVE_SEED) -> DataF
     )
 
 
-def drawn_position(pool_size: int, seed: int) -> int:
-    """The position numpy's legacy generator draws from ``pool_size`` rows."""
-    if pool_size > EXACT_POOL_LIMIT:
-        raise ValueError(
-            f"a pool of {pool_size} negatives is too large to replay; use the hash mode"
-        )
-    return int(np.random.RandomState(seed).choice(pool_size, 1, replace=False)[0])
-
-
 def drawn_positions(sizes: DataFrame, seed: int = NEGATIVE_SEED) -> DataFrame:
     """``(pool_size, drawn)`` for each distinct pool size.
 
@@ -112,7 +103,7 @@ def drawn_positions(sizes: DataFrame, seed: int = NEGATIVE_SEED) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(drawn=[drawn_position(int(n), seed) for n in batch["pool_size"]])
+            yield batch.assign(drawn=[first_of_shuffle(int(n), seed) for n in batch["pool_size"]])
 
     return sizes.distinct().mapInPandas(draw, "pool_size long, drawn long")
 
@@ -121,11 +112,11 @@ def sample_negative_exact(triples: DataFrame, seed: int = NEGATIVE_SEED) -> Data
     """One negative output per prompt: the one the seeded generator draws."""
     sizes = negatives(triples).groupBy("input").agg(F.count(F.lit(1)).alias("pool_size"))
     drawn = drawn_positions(sizes.select("pool_size"), seed)
-    # Broadcast: one row per distinct pool size, a number bounded as said above. A shuffle on
-    # the size would send the pools of a common size to one task.
+    # One row per distinct pool size, so Spark will mostly broadcast it. If not, adaptive
+    # execution splits the pools of a common size.
     return (
         negative_ordinals(triples)
-        .join(F.broadcast(drawn), "pool_size")
+        .join(drawn, "pool_size")
         .where(F.col("ordinal") == F.col("drawn"))
         .select("input", F.col("output").alias("rejected"))
     )
@@ -204,7 +195,7 @@ def distinct_inputs(triples: DataFrame) -> DataFrame:
 
 
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """Row counts after each named stage, as ``(stage, n_rows)``."""
+    """Row counts of named tables that have nothing to do with one another."""
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
         for name, df in stages.items()
@@ -213,3 +204,17 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     for count in counts[1:]:
         whole = whole.unionByName(count)
     return whole
+
+
+def observed_counts(
+    start: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]], name: str = "start"
+) -> DataFrame:
+    """``(stage, n_rows)`` of a chain of steps, counted on the way of a single run."""
+    seen, df = {name: Observation()}, start
+    df = df.observe(seen[name], F.count(F.lit(1)).alias("n_rows"))
+    for stage, step in steps.items():
+        seen[stage] = Observation()
+        df = step(df).observe(seen[stage], F.count(F.lit(1)).alias("n_rows"))
+    df.write.format("noop").mode("overwrite").save()
+    rows = [(stage, found.get["n_rows"]) for stage, found in seen.items()]
+    return start.sparkSession.createDataFrame(rows, "stage string, n_rows long")

@@ -2,59 +2,89 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefspark.operators.ranking import hash_bucket, seeded_hash, sum_before
 
-# Up to this many rows a sample is kept in a heap per task and merged in one.
-TOP_K_ROWS = 100_000
-
 # The number of rows a prefix check looks at.
 PREFIX_ROWS = 20
 
+_SPAN = 1 << 16
+
 
 def limit_sample(
     df: DataFrame, count: int | None, seed: int = 42, ids: Sequence[str] = ()
 ) -> DataFrame:
     """``count`` rows in a seeded random choice; all rows when count is null, 0 or too large.
 
-    Rows are ordered by ``md5('seed|id…')``. Without ``ids`` the whole row is hashed: equal
-    rows then tie, which cannot be told apart in the result. The choice depends on neither
-    the order nor the partitioning of the rows, and is not that of any shuffling library.
+    Rows are ordered by ``md5('seed|id…')``, nulls written as ``\\N``; rows whose ids are
+    equal, and all rows without ``ids``, by the hash of the whole row. Rows that are equal in
+    every column cannot be told apart: the one at the border is repeated as often as needed.
+    The choice depends on neither the order nor the partitioning of the rows, and is not that
+    of any shuffling library.
+
+    There is one way for every count. The hash of the last row is found from the sizes of
+    65,536 buckets and of one bucket's hashes; rows are compared with it where they are read.
     """
     if count is None or count <= 0:
         return df
-    parts = [F.col(c) for c in ids] if ids else [F.to_json(F.struct(*df.columns))]
+    whole = F.to_json(F.struct(*df.columns))
+    parts = [_coded(c) for c in ids] if ids else [whole]
     keyed = df.withColumn("_hash", seeded_hash(seed, *parts))
-    if count <= TOP_K_ROWS:
-        return keyed.orderBy("_hash", *ids).limit(count).drop("_hash")
+    border = _border(keyed, "_hash", F.lit(count)).scalar()
+    kept = keyed.where(border.isNull() | (F.col("_hash") < border["hash"]))
+    tied = keyed.where(F.col("_hash") == border["hash"])
     if not ids:
-        raise ValueError(f"a sample of more than {TOP_K_ROWS} rows needs unique id columns")
-    place = F.struct("_hash", *ids)
-    last = _nth_place(keyed.select("_hash", *ids), count, list(ids)).scalar()
-    return keyed.where(last.isNull() | (place <= last)).drop("_hash")
+        return kept.select(*df.columns).unionByName(_repeated(tied, border["left"], df.columns))
+    tied = tied.withColumn("_row", seeded_hash(seed, whole))
+    inner = _border(tied, "_row", border["left"]).scalar()
+    within = tied.where(inner.isNull() | (F.col("_row") < inner["hash"]))
+    last = _repeated(tied.where(F.col("_row") == inner["hash"]), inner["left"], df.columns)
+    return kept.select(*df.columns).unionByName(within.select(*df.columns)).unionByName(last)
+
+
+def _coded(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("\\N"))
 
 
-def _nth_place(keyed: DataFrame, count: int, ids: list[str]) -> DataFrame:
-    """One row: the ``count``-th smallest (hash, ids), null when there are fewer rows.
+def _border(keyed: DataFrame, column: str, target: Column) -> DataFrame:
+    """One row: the hash of the ``target``-th row and how many rows with it are ``left`` to take.
 
-    The ids are unique, so hashes spread evenly over the prefix buckets. The bucket that
-    holds the wanted row is found from the 65,536 bucket sizes at most.
+    Null when there are no more rows than that. Equal hashes are counted before they are
+    shuffled, so repeated rows do not crowd a bucket.
     """
-    bucketed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash")))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    base = sum_before(W.orderBy("_bucket"), "_rows")
-    bases = counts.select("_bucket", "_rows", base.alias("_base"))
-    target = bases.where((F.col("_base") < count) & (F.col("_base") + F.col("_rows") >= count))
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", *ids))
-    return (
-        bucketed.join(F.broadcast(target), "_bucket")
-        .withColumn("_within", within)
-        .where(F.col("_base") + F.col("_within") == count)
-        .agg(F.max(F.struct("_hash", *ids)).alias("place"))
+    hashed = keyed.select(F.col(column).alias("_place"))
+    counts = hashed.groupBy("_place").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.withColumn("_bucket", hash_bucket(F.col("_place")))
+    buckets = (
+        hashed.groupBy(hash_bucket(F.col("_place")).alias("_bucket"))
+        .agg(F.count(F.lit(1)).alias("_bucket_rows"))
+        .select("_bucket", "_bucket_rows", sum_before(W.orderBy("_bucket"), "_bucket_rows").alias("_base"))
+        .where((F.col("_base") < target) & (F.col("_base") + F.col("_bucket_rows") >= target))
     )
+    within = sum_before(W.partitionBy("_bucket").orderBy("_place"), "_rows")
+    placed = counts.join(F.broadcast(buckets), "_bucket").withColumn(
+        "_before", F.col("_base") + within
+    )
+    reached = placed.where(
+        (F.col("_before") < target) & (F.col("_before") + F.col("_rows") >= target)
+    )
+    left = (target - F.col("_before")).alias("left")
+    return reached.select(F.struct(F.col("_place").alias("hash"), left).alias("border")).agg(
+        F.max("border").alias("border")
+    )
+
+
+def _repeated(equal: DataFrame, times: Column, columns: Sequence[str]) -> DataFrame:
+    """``times`` copies of the one row that all rows of ``equal`` are, made in two steps."""
+    one = equal.agg(F.first(F.struct(*columns)).alias("_one")).where(F.col("_one").isNotNull())
+    spans = F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / _SPAN).cast("long"))
+    spread = one.select("_one", F.explode(spans).alias("_part")).repartition("_part")
+    size = F.least(times - F.col("_part") * _SPAN, F.lit(_SPAN))
+    copies = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+    return copies.select(*(F.col(f"_one.{c}").alias(c) for c in columns))
 
 
 def prefix(df: DataFrame, order: str, count: int = PREFIX_ROWS) -> DataFrame:

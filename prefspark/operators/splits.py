@@ -19,9 +19,6 @@ SPLIT_SEED = 42
 TRAIN_FRACTION, VALID_FRACTION = 0.75, 0.10
 SPLITS = ("train", "valid", "test")
 
-# The exact order holds one permutation of the concepts in a task: 8 bytes each.
-EXACT_CONCEPT_LIMIT = 50_000_000
-
 
 def distinct_concepts(pairs: DataFrame) -> DataFrame:
     """The concepts of the pairs with the smallest prompt each appears with."""
@@ -40,13 +37,14 @@ def concept_rank(pairs: DataFrame, mode: str = "hash", seed: int = SPLIT_SEED) -
 
 
 def permutation(sizes: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """``(rank, appearance, n)`` of a seeded permutation, from a table with one row ``n``."""
+    """``(rank, appearance, n)`` of a seeded permutation, from a table with one row ``n``.
+
+    The permutation is one sequential algorithm: one task holds it, 8 bytes for each concept.
+    """
 
     def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for n in batch["n"]:
-                if n > EXACT_CONCEPT_LIMIT:
-                    raise ValueError(f"{n} concepts are too many to permute; use the hash mode")
                 order = np.random.default_rng(seed).permutation(int(n))
                 for start in range(0, int(n), 1_000_000):
                     part = order[start : start + 1_000_000]

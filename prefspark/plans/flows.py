@@ -17,7 +17,7 @@ from prefspark.operators.quality import CANONICAL, enforce_pairs
 from prefspark.operators.sampling import limit_sample
 from prefspark.operators.splits import split_pairs
 from prefspark.schema import FILTERED_TRIPLE_COLUMNS, TRIPLE_COLUMNS
-from prefspark.shared_storage import new_table_path
+from prefspark.shared_storage import staged
 from prefspark.sources.readers import load_split, read_ordered
 from prefspark.sources.writers import write_report, write_splits
 
@@ -36,8 +36,11 @@ def flow_a(triples: DataFrame, mode: str = "hash", min_len: int = MIN_LEN) -> Da
 
 
 def flow_b(triples: DataFrame, mode: str = "hash", min_len: int = MIN_LEN) -> DataFrame:
-    """All triples to pairs with their split."""
-    return split_pairs(build_pairs(triples, mode=mode, min_len=min_len), mode)
+    """All triples to pairs with their split.
+
+    The pairs are staged, since they are used twice: for their concepts and for the result.
+    """
+    return split_pairs(staged(build_pairs(triples, mode=mode, min_len=min_len), "pairs"), mode)
 
 
 def prepare(
@@ -58,9 +61,7 @@ def prepare(
     triples = read_ordered(spark, paths, columns)
     if filtered:
         triples = text_triples(triples)
-    staged = new_table_path(spark, "pairs")
-    build_pairs(triples, mode=mode).write.parquet(staged)
-    pairs = split_pairs(spark.read.parquet(staged), mode)
+    pairs = flow_b(triples, mode)
     counts = write_splits(pair_records(sort_pairs(pairs) if ordered else pairs, "split"), out)
     return pairs, counts
 
@@ -81,7 +82,11 @@ def assemble_split(
 
 
 def assemble_training_set(
-    spark: SparkSession, data: Mapping, seed: int = 42, reverse: bool = False
+    spark: SparkSession,
+    data: Mapping,
+    seed: int = 42,
+    reverse: bool = False,
+    ids: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """The splits that ``data`` configures. Validation and test may be sampled, train is not."""
     columns = data.get("columns") or CANONICAL
@@ -90,7 +95,7 @@ def assemble_training_set(
         records = load_split(spark, data, split)
         if records is not None:
             max_rows = None if split == "train" else data.get(f"{split}_max_samples")
-            splits[split] = assemble_split(records, split, columns, max_rows, seed, reverse)
+            splits[split] = assemble_split(records, split, columns, max_rows, seed, reverse, ids)
     if "train" not in splits:
         raise ValueError("set train_path, or dataset_name and train_split")
     return splits

@@ -30,3 +30,25 @@ def path_exists(spark, path):
     """Whether a file or folder exists, in whatever file system the path names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+_STAGED = []
+
+
+def staged(df, name):
+    """``df`` as a table in the shared folder: computed once, kept when executors are lost.
+
+    ``drop_staged`` removes what a session has staged.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark):
+    """Remove the tables staged so far. Results that still read them can't be used after."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,9 +16,6 @@ FORMAT_OF_SUFFIX = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet"
 # ``ord`` of a row is its file's number times 2**40 plus its place in the file.
 FILE_BITS = 40
 
-# Up to this many files their numbers are broadcast; a listing has some 200 bytes per file.
-BROADCAST_FILES = 500_000
-
 
 def _as_text(columns: Sequence[str]) -> list:
     # Ids may be stored as numbers. Casting text to text vanishes from the plan.
@@ -50,9 +47,6 @@ def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
             "file_path string, file_number long",
         )
         numbered_files += len(files)
-        # Beyond the limit Spark picks the join, and adaptive execution splits large files.
-        if len(files) <= BROADCAST_FILES:
-            numbered = F.broadcast(numbered)
         file_path = F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/"))
         rows = table.select(
             *_as_text(columns),
@@ -81,10 +75,14 @@ def _read_parquet(spark, path, schema, multi_line):
 def _read_csv(spark, path, schema, multi_line):
     """Columns by the names in the header, nested ones from JSON text.
 
-    Values may hold line breaks unless ``multi_line`` is false, which lets Spark split files.
+    All files need the same header; one that differs fails the job instead of giving its
+    values to other columns. An empty field is null, a quoted empty one an empty text. Values
+    may hold line breaks unless ``multi_line`` is false, which lets Spark split files.
     """
     table = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("nullValue", _NO_TEXT)
         .option("multiLine", multi_line is not False)
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -104,6 +102,9 @@ def _read_csv(spark, path, schema, multi_line):
     )
 
 
+# Stands for an empty field while a file is read, so that a quoted empty text is not null.
+_NO_TEXT = "\x00null\x00"
+
 _READERS = {"json": _read_json, "csv": _read_csv, "parquet": _read_parquet}
 
 
@@ -136,7 +137,7 @@ def load_split(spark: SparkSession, data: Mapping, split: str) -> DataFrame | No
         fmt = format_of(path, data.get("format"))
         # A Parquet file knows its columns; a declared schema would hide that one is missing.
         schema = None if fmt == "parquet" else pair_schema(data.get("columns"))
-        return read_any(spark, path, fmt, schema)
+        return read_any(spark, path, fmt, schema, data.get("multi_line"))
     if name and wanted:
         return spark.table(name).where(F.col("split") == wanted).drop("split")
     return None

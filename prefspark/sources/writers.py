@@ -11,9 +11,13 @@ from prefspark.shared_storage import path_exists
 def write_splits(records: DataFrame, path: str) -> dict[str, int]:
     """JSON lines, one folder per split, replacing what is there. Null fields are kept.
 
-    Returns the number of records per split, counted while they are written.
+    Returns the number of records per split, counted while they are written. Records of any
+    other split are refused, since nothing would count them.
     """
     counts = Observation()
+    known = F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("unknown split "), F.coalesce("split", F.lit("null"))))
+    records = records.withColumn("split", F.when(known, F.col("split")).otherwise(refuse.cast("string")))
     counted = records.observe(
         counts, *[F.count_if(F.col("split") == name).alias(name) for name in SPLITS]
     )
@@ -34,9 +38,10 @@ def write_pairs_csv(records: DataFrame, path: str) -> None:
         F.to_json(F.col(c), options).alias(c) if kind.startswith(nested) else F.col(c)
         for c, kind in records.dtypes
     ]
-    records.select(*text).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    writer = records.select(*text).write.mode("overwrite").option("header", True)
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
+    writer.option("escape", '"').csv(path)
 
 
 def export_split(df: DataFrame, path: str) -> int | None:

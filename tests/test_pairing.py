@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prefspark.operators import filters, pairing
+from prefspark.operators import filters, pairing, replay
 from prefspark.operators.joins import join_grouped
 from prefspark.plans import flows
 
@@ -127,7 +127,16 @@ def test_drawn_positions(spark):
 def test_drawn_position_is_that_of_pandas(n):
     frame = pd.DataFrame({"place": range(n)})
     drawn = frame.sample(n=1, random_state=pairing.NEGATIVE_SEED).place.iloc[0]
-    assert pairing.drawn_position(n, pairing.NEGATIVE_SEED) == drawn
+    assert replay.first_of_shuffle(n, pairing.NEGATIVE_SEED) == drawn
+
+
+@pytest.mark.parametrize("steps", [1, 7, 64])
+def test_drawn_position_does_not_hang_on_the_chunks(monkeypatch, steps):
+    monkeypatch.setattr(replay, "STEPS", steps)
+    for n in [*range(1, 70), 255, 256, 257, 1023, 1025]:
+        for seed in (0, 44):
+            whole = np.random.RandomState(seed).permutation(n)[0]
+            assert replay.first_of_shuffle(n, seed) == whole, (n, seed)
 
 
 def test_exact_sample_takes_the_drawn_row(triples):
@@ -136,10 +145,12 @@ def test_exact_sample_takes_the_drawn_row(triples):
     assert rows(pairing.build_pairs(df, "exact"), "rejected") == [(f"{NO} 6",)]
 
 
-def test_pool_too_large_to_replay(monkeypatch):
-    monkeypatch.setattr(pairing, "EXACT_POOL_LIMIT", 3)
-    with pytest.raises(ValueError, match="hash mode"):
-        pairing.drawn_position(4, 44)
+def test_pairing_refuses_a_row_without_its_order(spark):
+    rows = [("a", GOOD, "c", "positive", 1), ("a", NO, None, "negative", None)]
+    df = spark.createDataFrame(rows, "input string, output string, output_concept string, category string, ord long")
+    for mode in ("hash", "exact"):
+        with pytest.raises(Exception, match="must not be null"):
+            pairing.build_pairs(df, mode).collect()
 
 
 @pytest.fixture
@@ -197,7 +208,8 @@ def test_hash_mode_reads_every_row_once(spark, tmp_path, rows_read, event_triple
     path = str(tmp_path / "triples")
     event_triples.write.parquet(path)
     table = spark.read.parquet(path)
-    assert rows_read(flow(table).collect) == table.count()
+    run = flow(table).collect if flow is pairing.build_pairs else lambda: flow(table)
+    assert rows_read(run) == table.count()
 
 
 def small_partitions(conf):

@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,16 +72,31 @@ def test_sample_without_ids_hashes_the_row(spark):
 
 
 @pytest.mark.parametrize("count", [1, 37, 999, 1000, 1500])
-def test_large_sample_equals_the_small_way(spark, monkeypatch, count):
+def test_sample_takes_the_smallest_hashes(spark, count):
     df = spark.range(1000).withColumn("t", F.lit("x"))
-    small = {r.id for r in sampling.limit_sample(df, count, 5, ["id"]).collect()}
-    monkeypatch.setattr(sampling, "TOP_K_ROWS", 0)
-    large = sampling.limit_sample(df, count, 5, ["id"])
-    assert {r.id for r in large.collect()} == small
-    assert large.columns == df.columns
-
-
-def test_large_sample_needs_ids(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "TOP_K_ROWS", 0)
-    with pytest.raises(ValueError, match="id columns"):
-        sampling.limit_sample(spark.range(5), 2)
+    found = sampling.limit_sample(df, count, 5, ["id"])
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"5|{i}".encode()).hexdigest())
+    assert sorted(r.id for r in found.collect()) == sorted(order[:count])
+    assert found.columns == df.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
+
+
+@pytest.mark.parametrize("count", [1, 4, 7, 12, 19, 40])
+def test_sample_of_rows_with_equal_and_null_ids(spark, count):
+    rows = [(None, i % 3) for i in range(10)] + [(1, i) for i in range(6)] + [(2, 0)] * 4
+    df = spark.createDataFrame(rows, "id int, v int")
+    found = [tuple(r) for r in sampling.limit_sample(df, count, 3, ["id"]).collect()]
+    assert len(found) == min(count, len(rows))
+    assert not Counter(found) - Counter(rows)
+    code = {None: "\\N"}
+    rank = {k: hashlib.md5(f"3|{code.get(k, k)}".encode()).hexdigest() for k in (None, 1, 2)}
+    taken = sorted((rank[r[0]] for r in rows))[:count]
+    assert sorted(rank[r[0]] for r in found) == taken
+    again = sampling.limit_sample(df.repartition(3), count, 3, ["id"]).collect()
+    assert Counter(found) == Counter(map(tuple, again))
+
+
+def test_large_counts_are_no_limit(spark):
+    assert sampling.limit_sample(spark.range(10), 1_000_000).count() == 10
+    assert sampling.limit_sample(spark.range(200_000), 150_001).count() == 150_001

@@ -41,12 +41,6 @@ def test_exact_order_starts_from_the_appearance_in_sorted_pairs(spark, n):
     assert {r.output_concept: r.split for r in got} == dict(zip(expected, names))
 
 
-def test_too_many_concepts_to_permute(spark, monkeypatch):
-    monkeypatch.setattr(splits, "EXACT_CONCEPT_LIMIT", 3)
-    with pytest.raises(Exception, match="hash mode"):
-        splits.permutation(spark.createDataFrame([(4,)], "n long")).collect()
-
-
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(min_size=1, max_size=6), min_size=1, max_size=40))
 def test_hash_split_is_sound(spark, concepts):

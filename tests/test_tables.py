@@ -79,9 +79,7 @@ def test_paths_with_special_characters_and_twice(spark, tmp_path):
     assert [r.input for r in df.orderBy("ord").collect()] == ["x", "y", "x", "y"]
 
 
-@pytest.mark.parametrize("limit", [0, 10])
-def test_numbered_ids_and_files_beyond_the_broadcast(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(readers, "BROADCAST_FILES", limit)
+def test_numbered_ids_and_files(spark, tmp_path):
     paths = [str(tmp_path / "numbers"), str(tmp_path / "texts")]
     ids = spark.range(0, 4, 1, 2)
     ids.withColumnRenamed("id", "concept_id").write.parquet(paths[0])
@@ -414,3 +412,26 @@ def test_row_wise_operators_run_on_a_stream(spark, records, tmp_path):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_csv_keeps_padded_empty_and_missing_text(spark, tmp_path):
+    path = str(tmp_path / "out.csv")
+    rows = [(" lead", "a"), ("trail ", "b"), ("", "c"), (None, "d"), ("two\nlines", "e"), ('"q"', "f")]
+    writers.write_pairs_csv(spark.createDataFrame(rows, "id string, v string"), path)
+    schema = spark.createDataFrame([], "v string, id string").schema
+    found = readers.read_any(spark, path, "csv", schema).collect()
+    assert sorted([(r.v, r.id) for r in found]) == [(v, i) for i, v in rows]
+
+
+def test_csv_files_with_different_headers_fail(spark, tmp_path):
+    for name, text in (("1.csv", "a,b\n1,2\n"), ("2.csv", "b,a\n2,1\n")):
+        (tmp_path / name).write_text(text)
+    schema = spark.createDataFrame([], "a string, b string").schema
+    with pytest.raises(Exception, match="CSV header"):
+        readers.read_any(spark, str(tmp_path), "csv", schema).collect()
+
+
+def test_records_of_an_unknown_split_are_refused(spark, tmp_path):
+    records = spark.createDataFrame([("train", 1), ("dev", 2)], "split string, v int")
+    with pytest.raises(Exception, match="unknown split dev"):
+        writers.write_splits(records, str(tmp_path / "out"))
