@@ -5,7 +5,7 @@ import re
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from prefspark.shared_storage import new_table_path
+from prefspark.shared_storage import staged  # noqa: F401
 
 # A word is a run of characters other than these, in Python and in Spark expressions alike.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,14 +31,6 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def staged(df, name):
-    """``df`` as a table in the shared folder: computed once, kept when executors are lost."""
-    spark = df.sparkSession
-    path = new_table_path(spark, f"llm-{name}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, text_field):
     """Cuts Arrow batches where the texts add up to SLICE_BYTES; a longer one stands alone."""
     for batch in batches:
