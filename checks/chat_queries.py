@@ -321,6 +321,31 @@ def render_turn_tags(spark, sf):
     return conversations.render_turn_tags(conversations.assemble(fx.turns(spark, sf)))
 
 
+@query(rf"""
+  SELECT conv_id, turn, concat(
+    CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '<bos>' ELSE '' END,
+    '<start_of_turn>', CASE WHEN role = 'assistant' THEN 'model' ELSE role END,
+    E'\n', trim(content, E' \t\n'), E'<end_of_turn>\n') AS piece
+  FROM {fx.TURNS} t""")
+def render_turn_tag_turns(spark, sf):
+    return conversations.turn_tag_turns(fx.turns(spark, sf))
+
+
+@query(rf"""
+  SELECT conv_id, turn, concat(
+    CASE WHEN first THEN concat(
+      '<|begin_of_text|><|start_header_id|>system<|end_header_id|>', E'\n\n',
+      E'Cutting Knowledge Date: December 2023\nToday Date: 26 Jul 2024\n\n',
+      CASE WHEN role = 'system' THEN trim(content, E' \t\n') ELSE '' END, '<|eot_id|>')
+    ELSE '' END,
+    CASE WHEN first AND role = 'system' THEN '' ELSE concat(
+      '<|start_header_id|>', role, E'<|end_header_id|>\n\n', trim(content, E' \t\n'),
+      '<|eot_id|>') END) AS piece
+  FROM (SELECT *, turn = min(turn) OVER (PARTITION BY conv_id) AS first FROM {fx.TURNS} t)""")
+def render_header_turns(spark, sf):
+    return conversations.header_turns(fx.turns(spark, sf))
+
+
 @query(f"SELECT conv_id, text FROM {HEADER_IDS} c")
 def render_header_ids(spark, sf):
     rendered = conversations.render_header_ids(conversations.assemble(fx.turns(spark, sf)))

@@ -27,6 +27,37 @@ def pairs_jsonl_roundtrip(spark, sf):
     return flat_records(readers.read_any(spark, path, "json", schema), "split")
 
 
+# The triples as they are read back from files of FILE_ROWS rows each.
+FILE_ROWS = 4000
+FILED_TRIPLES = f"""(
+  SELECT * REPLACE ((ord // {FILE_ROWS}) * 1099511627776 + ord % {FILE_ROWS} AS ord)
+  FROM {fx.TRIPLES} r)"""
+FILED_TEXT_TRIPLES = TEXT_TRIPLES.replace(fx.TRIPLES, FILED_TRIPLES)
+
+
+def _prepared(spark, sf, filtered):
+    """The whole flow from files to files: triples written in order, prepared, read back."""
+    triples, path = fx.triples(spark, sf), new_table_path(spark, "prepare")
+    files = triples.agg(F.max("ord")).first()[0] // FILE_ROWS + 1
+    paths = [f"{path}/triples-{i:05d}" for i in range(files)]
+    for i, target in enumerate(paths):
+        part = triples.where((F.col("ord") >= i * FILE_ROWS) & (F.col("ord") < (i + 1) * FILE_ROWS))
+        part.coalesce(1).sortWithinPartitions("ord").drop("ord").write.parquet(target)
+    flows.prepare(spark, paths, f"{path}/out", filtered, ordered=True)
+    schema = T.StructType([*PAIR.fields, T.StructField("split", T.StringType())])
+    return flat_records(readers.read_any(spark, f"{path}/out", "json", schema), "split")
+
+
+@query(flat_records_sql(split_pairs_sql(pairs_sql(FILED_TEXT_TRIPLES)), "split, "))
+def prepare_a(spark, sf):
+    return _prepared(spark, sf, filtered=True)
+
+
+@query(flat_records_sql(split_pairs_sql(pairs_sql(FILED_TRIPLES)), "split, "))
+def prepare_b(spark, sf):
+    return _prepared(spark, sf, filtered=False)
+
+
 DOC_PAIRS = pairs_sql(fx.DOC_TRIPLES)
 
 
