@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +11,6 @@ from prefspark.operators.ranking import hash_bucket, seeded_hash, sum_before
 # The number of rows a prefix check looks at.
 PREFIX_ROWS = 20
 
-_SPAN = 1 << 16
-
 
 def limit_sample(
     df: DataFrame, count: int | None, seed: int = 42, ids: Sequence[str] = ()
@@ -25,66 +23,63 @@ def limit_sample(
     The choice depends on neither the order nor the partitioning of the rows, and is not that
     of any shuffling library.
 
-    There is one way for every count. The hash of the last row is found from the sizes of
-    65,536 buckets and of one bucket's hashes; rows are compared with it where they are read.
+    There is one way for every count. Two small jobs find the hash of the last row, from the
+    sizes of 65,536 buckets and of one bucket's hashes; the result compares rows with it where
+    they are read, and only rows that share it, but are not all wanted, are looked at again.
     """
     if count is None or count <= 0:
         return df
     whole = F.to_json(F.struct(*df.columns))
     parts = [_coded(c) for c in ids] if ids else [whole]
     keyed = df.withColumn("_hash", seeded_hash(seed, *parts))
-    border = _border(keyed, "_hash", F.lit(count)).scalar()
-    kept = keyed.where(border.isNull() | (F.col("_hash") < border["hash"]))
-    tied = keyed.where(F.col("_hash") == border["hash"])
-    if not ids:
-        return kept.select(*df.columns).unionByName(_repeated(tied, border["left"], df.columns))
-    tied = tied.withColumn("_row", seeded_hash(seed, whole))
-    inner = _border(tied, "_row", border["left"]).scalar()
-    within = tied.where(inner.isNull() | (F.col("_row") < inner["hash"]))
-    last = _repeated(tied.where(F.col("_row") == inner["hash"]), inner["left"], df.columns)
-    return kept.select(*df.columns).unionByName(within.select(*df.columns)).unionByName(last)
+    border = _border(keyed, "_hash", count)
+    if border is None:
+        return df
+    last, left, rows = border
+    if left == rows:
+        return keyed.where(F.col("_hash") <= last).drop("_hash")
+    kept = keyed.where(F.col("_hash") < last).drop("_hash")
+    tied = keyed.where(F.col("_hash") == last).drop("_hash")
+    if ids:
+        tied = tied.withColumn("_row", seeded_hash(seed, whole))
+        last, left, _ = _border(tied, "_row", left)
+        kept = kept.unionByName(tied.where(F.col("_row") < last).drop("_row"))
+        tied = tied.where(F.col("_row") == last).drop("_row")
+    return kept.unionByName(_repeated(tied, left))
 
 
 def _coded(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("\\N"))
 
 
-def _border(keyed: DataFrame, column: str, target: Column) -> DataFrame:
-    """One row: the hash of the ``target``-th row and how many rows with it are ``left`` to take.
+def _border(keyed: DataFrame, column: str, target: int) -> tuple[str, int, int] | None:
+    """Hash of the ``target``-th row, how many rows with it are wanted, and how many there are.
 
-    Null when there are no more rows than that. Equal hashes are counted before they are
-    shuffled, so repeated rows do not crowd a bucket.
+    None when there are no more than ``target`` rows. Equal hashes are counted before they
+    are shuffled, so repeated rows do not crowd a bucket.
     """
-    hashed = keyed.select(F.col(column).alias("_place"))
-    counts = hashed.groupBy("_place").agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumn("_bucket", hash_bucket(F.col("_place")))
-    buckets = (
-        hashed.groupBy(hash_bucket(F.col("_place")).alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_bucket_rows"))
-        .select("_bucket", "_bucket_rows", sum_before(W.orderBy("_bucket"), "_bucket_rows").alias("_base"))
-        .where((F.col("_base") < target) & (F.col("_base") + F.col("_bucket_rows") >= target))
-    )
-    within = sum_before(W.partitionBy("_bucket").orderBy("_place"), "_rows")
-    placed = counts.join(F.broadcast(buckets), "_bucket").withColumn(
-        "_before", F.col("_base") + within
-    )
-    reached = placed.where(
-        (F.col("_before") < target) & (F.col("_before") + F.col("_rows") >= target)
-    )
-    left = (target - F.col("_before")).alias("left")
-    return reached.select(F.struct(F.col("_place").alias("hash"), left).alias("border")).agg(
-        F.max("border").alias("border")
-    )
-
-
-def _repeated(equal: DataFrame, times: Column, columns: Sequence[str]) -> DataFrame:
-    """``times`` copies of the one row that all rows of ``equal`` are, made in two steps."""
-    one = equal.agg(F.first(F.struct(*columns)).alias("_one")).where(F.col("_one").isNotNull())
-    spans = F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / _SPAN).cast("long"))
-    spread = one.select("_one", F.explode(spans).alias("_part")).repartition("_part")
-    size = F.least(times - F.col("_part") * _SPAN, F.lit(_SPAN))
-    copies = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size)))
-    return copies.select(*(F.col(f"_one.{c}").alias(c) for c in columns))
+    bucket = hash_bucket(F.col(column))
+    found = _reached(keyed.groupBy(bucket.alias("_place")), target)
+    if found is None:
+        return None
+    inside = keyed.where(bucket == found["_place"]).groupBy(F.col(column).alias("_place"))
+    last = _reached(inside, target - found["_before"])
+    return last["_place"], target - found["_before"] - last["_before"], last["_rows"]
+
+
+def _reached(places: GroupedData, target: int) -> Row | None:
+    """The place in which the ``target``-th row lies, with its rows and those before it."""
+    counts = places.agg(F.count(F.lit(1)).alias("_rows"))
+    placed = counts.withColumn("_before", sum_before(W.orderBy("_place"), "_rows"))
+    before = F.col("_before")
+    return placed.where((before < target) & (before + F.col("_rows") >= target)).first()
+
+
+def _repeated(equal: DataFrame, times: int) -> DataFrame:
+    """``times`` copies of the one row that all rows of ``equal`` are."""
+    one = equal.agg(F.first(F.struct(*equal.columns)).alias("_one"))
+    copies = equal.sparkSession.range(times).select(one.scalar().alias("_one"))
+    return copies.select("_one.*")
 
 
 def prefix(df: DataFrame, order: str, count: int = PREFIX_ROWS) -> DataFrame:
