@@ -9,6 +9,7 @@ from prefspark.llm import (
     line_quality,
     mixing,
     near_dup,
+    oracles,
     packing,
     sharding,
     substring_dedup,
@@ -99,16 +100,16 @@ def op7_token_counts(spark, sf_dir):
     return ledger.totals()
 
 
-@query()
+@query(oracles.EMBEDDING_JOIN)
 def op5_embedding_join(spark, sf_dir):
     return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(oracles.NEAR_DUPLICATES)
 def op9_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-@query()
+@query(oracles.SUBSTRING_DEDUP)
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_words(_table(spark, sf_dir, "documents"))

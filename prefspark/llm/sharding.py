@@ -142,7 +142,7 @@ def moves(cells):
     current = [F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("cell", "_start", "shard")]
     total = leaving.agg(F.sum("out").alias("_total"))
     ends = F.lead("_from").over(W.orderBy("_from")).alias("_next")
-    laid = marks.select("_from", ends, *current).crossJoin(F.broadcast(total))
+    laid = marks.select("_from", ends, *current, total.scalar().alias("_total"))
     return laid.select(
         "cell",
         (F.col("_from") - F.col("_start")).alias("low"),
