@@ -80,7 +80,8 @@ def _located(points, value, intervals, width):
     cells = F.sequence(cell(F.col("_low")), cell(F.col("_high")))
     spread = intervals.where("_high > _low").withColumn("_cell", F.explode(cells))
     inside = (F.col("_low") <= F.col(value)) & (F.col(value) < F.col("_high"))
-    return points.withColumn("_cell", cell(F.col(value))).join(spread, "_cell").where(inside).drop("_cell")
+    placed = points.withColumn("_cell", cell(F.col(value)))
+    return placed.join(spread, "_cell").where(inside).drop("_cell")
 
 
 def sized(docs, source="source"):
@@ -146,7 +147,12 @@ def slots(goal, seed=SEED, shard_slots=SHARD_SLOTS):
     short = F.greatest(F.col("_quota") - F.col("_got"), F.lit(0))
     order = W.orderBy("_sid")
     got = staged(
-        got.select("*", _before(over, order).alias("_over"), _before(short, order).alias("_low"), short.alias("_lack")),
+        got.select(
+            "*",
+            _before(over, order).alias("_over"),
+            _before(short, order).alias("_low"),
+            short.alias("_lack"),
+        ),
         "quotas",
     )
     whole = drawn.join(got.select("_sid", "_quota", "_over"), "_sid")

@@ -257,7 +257,8 @@ class _Groups:
         sets = texts.mapInArrow(_full_sets(self.settings), "gid long, shingles array<long>")
         sets = staged(sets.dropDuplicates(["gid"]), "full-sets")
         for end in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("gid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+            own = sets.select(F.col("gid").alias(end), F.col("shingles").alias(f"set_{end}"))
+            pairs = pairs.join(own, end)
         shared = F.size(F.array_intersect("set_a", "set_b"))
         every = F.size("set_a") + F.size("set_b") - shared
         return pairs.where(100 * shared >= self.settings.percent * every).select("a", "b")

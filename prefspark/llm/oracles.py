@@ -3,6 +3,7 @@
 import string
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 # The smallest id that links (a, b) lead to from each id; for small groups.
 REACHED = """
@@ -46,7 +47,7 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, {WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS w FROM documents
+  SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWERED)} AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)

@@ -133,8 +133,11 @@ def moves(cells):
     """
     leaving = cells.where("out > 0").withColumn("_from", _before("out", W.orderBy("cell")))
     rooms = _taken_rooms(cells).withColumn("_from", _before("taken", W.orderBy("lap", "cell")))
-    marks = leaving.select("_from", "cell", F.col("_from").alias("_start"), F.lit(None).cast("int").alias("shard"))
-    marks = marks.unionByName(rooms.select("_from", F.col("node").alias("shard")), allowMissingColumns=True)
+    nowhere = F.lit(None).cast("int").alias("shard")
+    marks = leaving.select("_from", "cell", F.col("_from").alias("_start"), nowhere)
+    marks = marks.unionByName(
+        rooms.select("_from", F.col("node").alias("shard")), allowMissingColumns=True
+    )
     marks = marks.groupBy("_from").agg(
         F.max("cell").alias("cell"), F.max("_start").alias("_start"), F.max("shard").alias("shard")
     )
@@ -160,11 +163,17 @@ def placement(counts, shards, virtual_nodes=VIRTUAL_NODES):
     owned = ring(spark, shards, virtual_nodes).join(counts, "cell", "left")
     owned = staged(owned.withColumn("rows", F.coalesce("rows", F.lit(0))), "ring")
     cells = staged(flows(owned, shards), "ring-flows")
+    stay = F.col("rows") - F.col("out")
     staying = cells.select(
-        "cell", F.lit(0).alias("low"), (F.col("rows") - F.col("out")).alias("high"), F.col("owner").alias("shard")
+        "cell", F.lit(0).alias("low"), stay.alias("high"), F.col("owner").alias("shard")
+    )
+    going = moves(cells).join(cells.select("cell", stay.alias("_stay")), "cell")
+    going = going.select(
+        "cell",
+        (F.col("low") + F.col("_stay")).alias("low"),
+        (F.col("high") + F.col("_stay")).alias("high"),
+        "shard",
     )
-    going = moves(cells).join(cells.select("cell", (F.col("rows") - F.col("out")).alias("_stay")), "cell")
-    going = going.select("cell", (F.col("low") + F.col("_stay")).alias("low"), (F.col("high") + F.col("_stay")).alias("high"), "shard")
     parts = staying.unionByName(going).where("high > low")
     slot = _before(F.col("high") - F.col("low"), W.partitionBy("shard").orderBy("cell", "low"))
     return parts.withColumn("slot", slot)

@@ -259,7 +259,8 @@ def _without(text, removed):
 
 def _clean(with_text):
     """Streams sorted rows: of each block first its passages, then its documents."""
-    kinds = {"id": _LONG, "text_key": _LONG, "n_removed": _LONG, "kept_sha256": pa.string(), "text": pa.string()}
+    kinds = {f.split()[0]: _LONG for f in _RESULT.split(", ")}
+    kinds |= {"kept_sha256": pa.string(), "text": pa.string()}
 
     def clean(batches):
         block, passages, automata = None, [], None
@@ -337,7 +338,11 @@ def _changes(docs, with_text):
     needed = wanted.join(listed, "anchor").where("first < last")
     needed = needed.select("block", "first", "start").distinct()
     phrases = needed.join(passages.select("first", "start", "text"), ["first", "start"]).select(
-        "block", F.lit(0).alias("role"), F.col("first").alias("id"), F.lit(None).cast("long").alias("text_key"), "text"
+        "block",
+        F.lit(0).alias("role"),
+        F.col("first").alias("id"),
+        F.lit(None).cast("long").alias("text_key"),
+        "text",
     )
     readers = suspects.select(block, F.lit(1).alias("role"), "id", "text_key", "text")
     together = phrases.unionByName(readers).repartition("block").sortWithinPartitions("block", "role")
@@ -373,7 +378,9 @@ def without_repeats(docs):
     keyed = docs.withColumns(
         {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), "_key": F.xxhash64("text")}
     )
-    new = changed.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("text").alias("_text"))
+    new = changed.select(
+        F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("text").alias("_text")
+    )
     joined = keyed.join(new, ["_id", "_key"], "left")
     if "n_chars" in names:
         length = F.length("_text").cast(docs.schema["n_chars"].dataType)

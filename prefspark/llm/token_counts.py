@@ -100,14 +100,22 @@ class Ledger:
             gone = F.coalesce("_gone", F.lit(False))
         touched = F.col("_new").isNotNull() | (gone & F.col("_old").isNotNull())
         changes = staged(both.where(touched).select("doc_id", "tokenizer", "_old", "_new"), "changes")
+        number = F.lit(batch).cast("long").alias("batch")
         state = changes.select(
-            "doc_id", "_new.source", "_new.lang", "tokenizer", "_new.tokens", F.lit(batch).cast("long").alias("batch")
+            "doc_id", "_new.source", "_new.lang", "tokenizer", "_new.tokens", number
         )
         state.write.mode("overwrite").parquet(self._folder("documents", batch))
-        signed = changes.select("tokenizer", F.explode(F.array(
-            F.struct("_new.source", "_new.lang", F.col("_new.tokens").alias("tokens"), F.lit(1).alias("docs")),
-            F.struct("_old.source", "_old.lang", (-F.col("_old.tokens")).alias("tokens"), F.lit(-1).alias("docs")),
-        )).alias("_sign")).where("_sign.tokens is not null")
+        signs = [
+            F.struct(
+                f"{side}.source",
+                f"{side}.lang",
+                (sign * F.col(f"{side}.tokens")).alias("tokens"),
+                F.lit(sign).alias("docs"),
+            )
+            for side, sign in (("_new", 1), ("_old", -1))
+        ]
+        signed = changes.select("tokenizer", F.explode(F.array(*signs)).alias("_sign"))
+        signed = signed.where("_sign.tokens is not null")
         deltas = signed.select("tokenizer", "_sign.*").groupBy(*KEYS).agg(
             F.sum("docs").cast("long").alias("docs"), F.sum("tokens").alias("tokens")
         )
