@@ -65,6 +65,17 @@ class Lookup:
         return place
 
 
+class SortedLookup:
+    """The same for sorted keys, without tables of its own: slower, for the driver."""
+
+    def __init__(self, keys):
+        self.keys = keys
+
+    def find(self, keys):
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 @dataclass
 class Model:
     """Code lengths in bits, a column for each language.
@@ -186,12 +197,13 @@ def fit(docs, sample_docs=SAMPLE_DOCS, sample_doc_bytes=SAMPLE_DOC_BYTES):
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    return compile_model(counted)
+    return compile_model(counted.astype({"lang": "category"}))
 
 
 def compile_model(counted):
     """Turns counts (lang, context_bytes, gram, n) into code lengths, shortest contexts first."""
     model = Model(sorted(counted["lang"].unique()))
+    model.__dict__["_tables"] = tables = [], []
     for order in range(ORDER + 1 if model.languages else 0):
         level = counted[counted["context_bytes"] == order]
         grams = np.unique(level["gram"].to_numpy(np.uint64))
@@ -216,6 +228,9 @@ def compile_model(counted):
         model.costs.append(costs)
         model.contexts.append(contexts)
         model.escapes.append(escapes)
+        tables[0].append(SortedLookup(grams))
+        tables[1].append(SortedLookup(contexts))
+    del model.__dict__["_tables"]  # workers build faster ones
     return model
 
 
