@@ -86,17 +86,17 @@ def op7_token_counts(spark, sf_dir):
     """Totals after three batches: all documents; revised and deleted ones; that batch again.
 
     The second batch moves each eleventh doc_id to another source with its text doubled, and
-    deletes each seventh of the others.
+    deletes each seventh of the others. Rows without a doc_id and repeated ones all count.
     """
     docs = _table(spark, sf_dir, "documents")
     versions = {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"), "utf8_bytes": None}
     ledger = token_counts.Ledger(spark, new_table_path(spark, "token-ledger"))
-    ledger.commit(1, token_counts.count_tokens(docs, versions))
+    ledger.commit(1, token_counts.count_tokens(docs, versions), unique=False)
     moved = docs.where("doc_id % 11 = 0").withColumn("source", F.lit("revised"))
     moved = moved.withColumn("text", F.concat("text", F.lit("\n"), "text"))
     deleted = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 0")
     for _ in range(2):
-        ledger.commit(2, token_counts.count_tokens(moved, versions), deleted)
+        ledger.commit(2, token_counts.count_tokens(moved, versions), deleted, unique=False)
     return ledger.totals()
 
 

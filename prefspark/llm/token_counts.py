@@ -21,7 +21,10 @@ from prefspark.llm.tokens import byte_bpe
 from prefspark.shared_storage import path_exists
 
 KEYS = ("source", "lang", "tokenizer")
-STATE = "doc_id long, source string, lang string, tokenizer string, tokens long, batch long"
+STATE = (
+    "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch long"
+)
+_COUNTS = "doc_id long, source string, lang string, tokenizer string, tokens long"
 
 
 def count_tokens(docs, tokenizers):
@@ -50,9 +53,19 @@ def count_tokens(docs, tokenizers):
                     names=["doc_id", *KEYS, "tokens"],
                 )
 
-    shape = STATE.removesuffix(", batch long")
     texts = docs.select(F.col("doc_id").cast("long"), "source", "lang", "text")
-    return texts.mapInArrow(count, shape)
+    return texts.mapInArrow(count, _COUNTS)
+
+
+def _refusing(counts):
+    """``counts``, failing where a doc_id is null or comes with the same tokenizer twice."""
+    guarded = counts.groupBy("doc_id", "tokenizer").agg(
+        F.count("*").alias("_times"),
+        *(F.first(c).alias(c) for c in ("source", "lang", "tokens")),
+    )
+    fault = F.raise_error(F.lit("a doc_id is null or occurs twice in a batch"))
+    fine = F.col("doc_id").isNotNull() & (F.col("_times") == 1)
+    return guarded.withColumn("doc_id", F.when(fine, F.col("doc_id")).otherwise(fault).cast("long"))
 
 
 class Ledger:
@@ -69,63 +82,54 @@ class Ledger:
         rows = self.spark.read.schema(f"{schema}, number long").parquet(f"{self.path}/{table}")
         return (rows if before is None else rows.where(F.col("number") < before)).drop("number")
 
-    def commit(self, batch, counts, deleted=None):
+    def commit(self, batch, counts, deleted=None, unique=True):
         """Adds a batch: ``counts`` as of ``count_tokens`` replace a document's counts for the
         same tokenizer, ``deleted`` (doc_id) takes documents away for every tokenizer.
 
-        A document whose doc_id is null or which comes with the same tokenizer twice in
-        a batch is refused, as its next revision would not say which one it means. One that
-        is in both tables is deleted first and stays with its new counts. Deleting what is
-        not there does nothing. An empty batch is a batch.
+        Where ``unique``, a document whose doc_id is null or which comes with the same
+        tokenizer twice in a batch is refused. Otherwise all rows count: those of one doc_id
+        add up, and a batch that has the doc_id again, or deletes it, replaces all of them.
+        Rows without a doc_id add up, too, and are new documents in every batch, since
+        nothing tells which ones they would revise; they are never replaced or deleted.
+
+        One that is in both tables is deleted first and stays with its new counts. Deleting
+        what is not there does nothing. An empty batch is a batch.
         """
-        guarded = counts.groupBy("doc_id", "tokenizer").agg(
-            F.count("*").alias("_times"),
-            *(F.first(c).alias(c) for c in ("source", "lang", "tokens")),
+        rows = _refusing(counts) if unique else counts
+        new = rows.groupBy("doc_id", *KEYS).agg(
+            F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")
         )
-        fault = F.raise_error(F.lit("a doc_id is null or occurs twice in a batch"))
-        fine = F.col("doc_id").isNotNull() & (F.col("_times") == 1)
-        new = guarded.select(
-            F.when(fine, F.col("doc_id")).otherwise(fault).cast("long").alias("doc_id"),
-            "tokenizer",
-            F.struct("source", "lang", "tokens").alias("_new"),
+        new = staged(new, "new-counts")
+        old = self.documents(before=batch).where("doc_id is not null")
+        revised = new.where("doc_id is not null").select(
+            F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_by"), F.lit(True).alias("_revised")
         )
-        old = self.documents(before=batch).select(
-            "doc_id", "tokenizer", F.struct("source", "lang", "tokens").alias("_old")
-        )
-        both = old.join(new, ["doc_id", "tokenizer"], "full")
-        gone = F.lit(False)
+        same = (F.col("doc_id") == F.col("_id")) & F.col("tokenizer").eqNullSafe(F.col("_by"))
+        old = old.join(revised.distinct(), same, "left").drop("_id", "_by")
+        touched = F.col("_revised").isNotNull()
         if deleted is not None:
             ids = deleted.select("doc_id").where("doc_id is not null").distinct()
-            both = both.join(ids.withColumn("_gone", F.lit(True)), "doc_id", "left")
-            gone = F.coalesce("_gone", F.lit(False))
-        touched = F.col("_new").isNotNull() | (gone & F.col("_old").isNotNull())
-        changes = staged(both.where(touched).select("doc_id", "tokenizer", "_old", "_new"), "changes")
+            old = old.join(ids.withColumn("_gone", F.lit(True)), "doc_id", "left")
+            touched |= F.col("_gone").isNotNull()
+        replaced = staged(old.where(touched).select("doc_id", *KEYS, "docs", "tokens", "_revised"), "replaced")
+        gone = replaced.where("_revised is null").select("doc_id", "tokenizer").distinct()
         number = F.lit(batch).cast("long").alias("batch")
-        state = changes.select(
-            "doc_id", "_new.source", "_new.lang", "tokenizer", "_new.tokens", number
-        )
+        state = new.unionByName(gone, allowMissingColumns=True).select("*", number)
         state.write.mode("overwrite").parquet(self._folder("documents", batch))
-        signs = [
-            F.struct(
-                f"{side}.source",
-                f"{side}.lang",
-                (sign * F.col(f"{side}.tokens")).alias("tokens"),
-                F.lit(sign).alias("docs"),
-            )
-            for side, sign in (("_new", 1), ("_old", -1))
-        ]
-        signed = changes.select("tokenizer", F.explode(F.array(*signs)).alias("_sign"))
-        signed = signed.where("_sign.tokens is not null")
-        deltas = signed.select("tokenizer", "_sign.*").groupBy(*KEYS).agg(
-            F.sum("docs").cast("long").alias("docs"), F.sum("tokens").alias("tokens")
-        )
+        taken = replaced.select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+        signed = new.select(*KEYS, "docs", "tokens").unionByName(taken)
+        deltas = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         deltas.write.mode("overwrite").parquet(self._folder("deltas", batch))
 
     def documents(self, before=None):
-        """The counts of each document that is there after the batches, or those before one."""
+        """The counts of each document that is there after the batches, or those before one: a
+        row for each doc_id, tokenizer, source and language, ``docs`` telling of how many."""
         rows = self._read("documents", STATE, before)
-        latest = F.row_number().over(W.partitionBy("doc_id", "tokenizer").orderBy(F.desc("batch")))
+        # Rows without a doc_id follow one another in no order; each is its own latest.
+        apart = F.when(F.col("doc_id").isNull(), F.struct("source", "lang", "batch"))
+        latest = F.rank().over(W.partitionBy("doc_id", "tokenizer", apart).orderBy(F.desc("batch")))
         current = rows.withColumn("_nth", latest).where("_nth = 1 and tokens is not null")
+        current = current.withColumn("docs", F.coalesce("docs", F.lit(1).cast("long")))
         return current.drop("_nth", "batch")
 
     def totals(self):

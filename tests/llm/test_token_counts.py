@@ -86,3 +86,39 @@ def test_query_equals_a_recount(spark):
         state[r["doc_id"], "byte_bpe_50k"] = (source, r["lang"], len(ids))
     found = {tuple(r)[:3]: tuple(r)[3:] for r in op7_token_counts(spark, sf_dir).collect()}
     assert found == recount(state)
+
+
+def test_repeated_and_null_ids_add_up(spark):
+    random.seed(9)
+    ledger, state, unnamed = C.Ledger(spark, new_table_path(spark, "ledger")), {}, []
+    for batch in range(1, 5):
+        rows = [
+            (random.choice([None, *range(6)]), random.choice(["s", "r", None]), "en", t, random.randint(0, 9))
+            for _ in range(8) for t in ("a", "b")
+        ]
+        rows += random.sample(rows, 4)
+        gone = random.sample(range(8), 2)
+        deleted = spark.createDataFrame([(i,) for i in [*gone, None]], "doc_id long")
+        for _ in range(2):
+            ledger.commit(batch, spark.createDataFrame(rows, SHAPE), deleted, unique=False)
+        named = {(i, t) for i, _, _, t, _ in rows if i is not None}
+        state = {k: v for k, v in state.items() if k[0] not in gone and k not in named}
+        for i, s, l, t, n in rows:
+            (unnamed if i is None else state.setdefault((i, t), [])).append((s, l, t, n))
+        docs, tokens = Counter(), Counter()
+        for s, l, t, n in [*unnamed, *(r for some in state.values() for r in some)]:
+            docs[s, l, t] += 1
+            tokens[s, l, t] += n
+        assert totals(ledger) == {k: (n, tokens[k]) for k, n in docs.items()}
+        assert sum(r["docs"] for r in ledger.documents().collect()) == sum(docs.values())
+
+
+def test_query_counts_rows_with_null_and_repeated_ids(spark, docs, tmp_path):
+    from prefspark.llm.queries import op7_token_counts
+
+    rows = [(1, "ab", "en", "s"), (1, "ab", "en", "s"), (None, "abc", "en", "s"), (None, None, None, None)]
+    rows += [(11, "x", "en", "s"), (11, "x", "en", "s"), (7, "gone", "en", "s"), (7, "gone", "de", "s")]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in op7_token_counts(spark, str(tmp_path)).collect()}
+    bytes_only = {k[:2]: v for k, v in found.items() if k[2] == "utf8_bytes"}
+    assert bytes_only == {("s", "en"): (3, 7), (None, None): (1, 0), ("revised", "en"): (2, 6)}
