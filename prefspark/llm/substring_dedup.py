@@ -10,11 +10,12 @@ also starts in a document with a smaller doc_id.
    documents are the places to look at.
 3. The windows of these places are counted by hash: the ones that recur are confirmed, and the
    document they occur in first is known. Consecutive ones form the passages of a document.
-4. Documents are dealt into blocks. Each gets the passages that share an anchor with one of
-   its documents, and compiles them into Aho-Corasick automata: every SEED_STEP-th run of
-   SEED_WORDS words of a passage is a phrase, so each window holds a whole one. All documents
-   of the block stream through; where a phrase is found, the words to its left and right are
-   compared with the passage, and runs of a window or more are removed.
+4. Documents are dealt into blocks. Each gets the passages that hold a confirmed window of one
+   of its documents. They stream past the documents of the block, compiled into one
+   Aho-Corasick automaton after the other: every SEED_STEP-th run of SEED_WORDS words of a
+   passage is a phrase, so each window holds a whole one. Where a phrase is found, the words
+   to its left and right are compared with the passage, and runs of a window or more are
+   removed.
 
 In 3 windows are told apart by 64-bit hashes, in 4 by their words, so nothing is removed that
 does not recur. Only texts with a recurring anchor are shuffled as texts.
@@ -35,9 +36,13 @@ WINDOW = 50
 ANCHOR_WORDS = 12
 SEED_WORDS = 25
 SEED_STEP = WINDOW - SEED_WORDS + 1
+# Documents of a block, and characters of them, on average; a task holds one block.
 BLOCK_DOCS = 256
-# Words of passages in one automaton; a block compiles as many as it needs.
+BLOCK_CHARS = 16_000_000
+# Words of passages in one automaton; a block compiles as many as it needs, one at a time.
 AUTOMATON_WORDS = 400_000
+# Windows of a block that are sorted at once.
+SORTED_WINDOWS = 2_000_000
 _LAST_ID = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -118,23 +123,42 @@ def _profile(batches):
         yield _batch(out, kinds)
 
 
+def _spans(block, found):
+    """For each window of some documents (id, windows) of a block the least and largest id."""
+    windows = np.concatenate([w for _, w in found]) if found else []
+    if not len(windows):
+        return
+    ids = np.repeat(np.array([n for n, _ in found], np.int64), [len(w) for _, w in found])
+    order = np.lexsort((ids, windows))
+    windows, ids = windows[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])
+    lasts = np.r_[starts[1:], len(ids)] - 1
+    columns = [windows[starts], np.full(len(starts), block, np.int32), ids[starts], ids[lasts]]
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["window", "block", "low", "high"])
+
+
 def _recurring_windows(batches):
-    """(window, id): the hashes of a document's windows that have one of its listed anchors."""
+    """(window, block, low, high): the hashes of the windows of a block that have an anchor
+    listed for their document, with the least and largest id. Rows come sorted by block."""
+    block, found, held = None, [], 0
     for part in slices(batches, "text"):
         columns = part.to_pydict()
-        for number, text, anchors in zip(columns["id"], columns["text"], columns["anchors"]):
+        names = ("block", "id", "text", "anchors")
+        for own, number, text, anchors in zip(*map(columns.get, names)):
+            if own != block or held > SORTED_WINDOWS:
+                yield from _spans(block, found)
+                block, found, held = own, [], 0
             words = words_of(text)
             at = np.isin(window_anchors(words), anchors)
             windows = np.unique(gram_hashes(words, WINDOW)[at]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(windows), pa.array(np.full(len(windows), number, np.int64))],
-                names=["window", "id"],
-            )
+            found.append((number, windows))
+            held += len(windows)
+    yield from _spans(block, found)
 
 
 def _passages(batches):
     """The longest runs of a document in which every window is listed."""
-    kinds = {"first": _LONG, "start": _LONG, "text": pa.string(), "anchors": _LONGS}
+    kinds = {"first": _LONG, "start": _LONG, "text": pa.string(), "windows": _LONGS}
     for part in slices(batches, "text"):
         columns = part.to_pydict()
         out = {name: [] for name in kinds}
@@ -142,14 +166,14 @@ def _passages(batches):
             words = words_of(text)
             if len(words) < WINDOW:
                 continue
-            at = np.isin(gram_hashes(words, WINDOW).view(np.int64), windows)
+            hashes = gram_hashes(words, WINDOW).view(np.int64)
+            at = np.isin(hashes, windows)
             edges = np.flatnonzero(np.diff(np.r_[False, at, False].astype(np.int8)))
-            anchors = window_anchors(words)
             for low, high in edges.reshape(-1, 2).tolist():
                 out["first"].append(number)
                 out["start"].append(low)
                 out["text"].append(b" ".join(words[low : high + WINDOW - 1]).decode())
-                out["anchors"].append(np.unique(anchors[low:high]))
+                out["windows"].append(np.unique(hashes[low:high]))
         yield _batch(out, kinds)
 
 
@@ -232,20 +256,6 @@ def _common_back(text, a, other, b):
     return size
 
 
-def _automata(passages):
-    """Automata of passages (first, text), of some AUTOMATON_WORDS each."""
-    some, size = [], 0
-    for first, text in passages:
-        words = words_of(text)
-        if some and size + len(words) > AUTOMATON_WORDS:
-            yield Automaton(some)
-            some, size = [], 0
-        some.append((first, words))
-        size += len(words)
-    if some:
-        yield Automaton(some)
-
-
 def _without(text, removed):
     """The text without the words marked and the white space after them."""
     starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
@@ -258,40 +268,58 @@ def _without(text, removed):
 
 
 def _clean(with_text):
-    """Streams sorted rows: of each block first its passages, then its documents."""
+    """Streams sorted rows: of each block first its documents, then its passages. Held are the
+    documents of one block and the passages of one automaton."""
     kinds = {f.split()[0]: _LONG for f in _RESULT.split(", ")}
     kinds |= {"kept_sha256": pa.string(), "text": pa.string()}
 
+    def mark(documents, passages):
+        automaton = Automaton(passages)
+        for number, _, text, repeated in documents:
+            if not repeated.all():
+                automaton.mark(number, words_of(text), repeated)
+
+    def results(documents):
+        out = {name: [] for name in kinds}
+        for number, text_key, text, repeated in documents:
+            if not repeated.any():
+                continue
+            words = words_of(text)
+            starts = np.zeros(len(words) + 1, np.int32)
+            np.add.at(starts, np.flatnonzero(repeated), 1)
+            np.add.at(starts, np.flatnonzero(repeated) + WINDOW, -1)
+            removed = np.cumsum(starts[:-1]) > 0
+            out["id"].append(number)
+            out["text_key"].append(text_key)
+            out["n_removed"].append(int(removed.sum()))
+            out["kept_sha256"].append(_sha256([w for w, r in zip(words, removed) if not r]))
+            out["text"].append(_without(text, removed) if with_text else None)
+        return _batch(out, kinds)
+
     def clean(batches):
-        block, passages, automata = None, [], None
+        block, documents, passages, size = None, [], [], 0
         for part in slices(batches, "text"):
             columns = part.to_pydict()
-            out = {name: [] for name in kinds}
-            for i, own in enumerate(columns["block"]):
+            names = ("block", "role", "id", "text_key", "text")
+            for own, role, number, text_key, text in zip(*map(columns.get, names)):
                 if own != block:
-                    block, passages, automata = own, [], None
-                number, text = columns["id"][i], columns["text"][i]
-                if columns["role"][i] == 0:
-                    passages.append((number, text))
-                    continue
-                if automata is None:
-                    automata = list(_automata(passages))
+                    if passages:
+                        mark(documents, passages)
+                        yield results(documents)
+                    block, documents, passages, size = own, [], [], 0
                 words = words_of(text)
-                repeated = np.zeros(max(0, len(words) - WINDOW + 1), bool)
-                for automaton in automata:
-                    automaton.mark(number, words, repeated)
-                if not repeated.any():
+                if role == 0:
+                    repeated = np.zeros(max(0, len(words) - WINDOW + 1), bool)
+                    documents.append((number, text_key, text, repeated))
                     continue
-                starts = np.zeros(len(words) + 1, np.int32)
-                np.add.at(starts, np.flatnonzero(repeated), 1)
-                np.add.at(starts, np.flatnonzero(repeated) + WINDOW, -1)
-                removed = np.cumsum(starts[:-1]) > 0
-                out["id"].append(number)
-                out["text_key"].append(columns["text_key"][i])
-                out["n_removed"].append(int(removed.sum()))
-                out["kept_sha256"].append(_sha256([w for w, r in zip(words, removed) if not r]))
-                out["text"].append(_without(text, removed) if with_text else None)
-            yield _batch(out, kinds)
+                if passages and size + len(words) > AUTOMATON_WORDS:
+                    mark(documents, passages)
+                    passages, size = [], 0
+                passages.append((number, words))
+                size += len(words)
+        if passages:
+            mark(documents, passages)
+            yield results(documents)
 
     return clean
 
@@ -321,30 +349,33 @@ def _changes(docs, with_text):
     shared = own.join(span.where("low < high").select("anchor"), "anchor")
     places = staged(shared.groupBy("id", "text_key").agg(F.collect_set("anchor").alias("anchors")), "places")
     suspects = staged(texts.join(places, ["id", "text_key"]), "suspects")
-    windows = suspects.select("id", "text", "anchors").mapInArrow(_recurring_windows, "window long, id long")
-    spans = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    n_docs, n_chars = suspects.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n_docs / BLOCK_DOCS), math.ceil(n_chars / BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("id", "text_key"), F.lit(blocks)).cast("int").alias("block")
+    dealt = suspects.select(block, "id", "text", "anchors").repartition("block").sortWithinPartitions("block")
+    windows = dealt.mapInArrow(_recurring_windows, "window long, block int, low long, high long")
+    windows = staged(windows, "windows")
+    spans = windows.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     sources = spans.where("low < high").groupBy(F.col("low").alias("id"))
     sources = sources.agg(F.collect_list("window").alias("windows"))
     passages = suspects.select("id", "text").join(sources, "id").mapInArrow(
-        _passages, "first long, start long, text string, anchors array<long>"
+        _passages, "first long, start long, text string, windows array<long>"
     )
     passages = staged(passages, "passages")
-    blocks = max(1, math.ceil(suspects.count() / BLOCK_DOCS))
-    block = F.pmod(F.xxhash64("id", "text_key"), F.lit(blocks)).cast("int").alias("block")
-    listed = passages.select("first", "start", F.explode("anchors").alias("anchor"))
-    # Blocks, not documents, ask for passages: a common one meets each block once.
-    wanted = places.select(block, "id", F.explode("anchors").alias("anchor"))
-    wanted = wanted.groupBy("block", "anchor").agg(F.max("id").alias("last"))
-    needed = wanted.join(listed, "anchor").where("first < last")
+    # One place for each confirmed window, and one row for each block that has it: nothing
+    # multiplies, however many passages or documents share a line.
+    listed = passages.select("first", "start", F.explode("windows").alias("window"))
+    listed = listed.groupBy("window").agg(F.min(F.struct("first", "start")).alias("_at"))
+    needed = windows.join(listed.select("window", "_at.*"), "window").where("first < high")
     needed = needed.select("block", "first", "start").distinct()
     phrases = needed.join(passages.select("first", "start", "text"), ["first", "start"]).select(
         "block",
-        F.lit(0).alias("role"),
+        F.lit(1).alias("role"),
         F.col("first").alias("id"),
         F.lit(None).cast("long").alias("text_key"),
         "text",
     )
-    readers = suspects.select(block, F.lit(1).alias("role"), "id", "text_key", "text")
+    readers = suspects.select(block, F.lit(0).alias("role"), "id", "text_key", "text")
     together = phrases.unionByName(readers).repartition("block").sortWithinPartitions("block", "role")
     changed = together.mapInArrow(_clean(with_text), _RESULT)
     changed = changed.unionByName(copies).dropDuplicates(["id", "text_key"])

@@ -84,3 +84,52 @@ def test_common_runs():
 def test_no_documents(docs):
     assert S.repeated_words(docs([])).count() == 0
     assert S.without_repeats(docs([])).count() == 0
+
+
+def test_a_common_line_does_not_join_all_blocks_with_all_passages(docs, monkeypatch):
+    def asked(with_text):
+        def pairs(batches):
+            for part in batches:
+                rows = [r for r in part.to_pylist() if r["text_key"] is None]
+                yield S.pa.RecordBatch.from_pylist(
+                    [{"id": r["id"], "text_key": r["block"], "n_removed": 0, "kept_sha256": "", "text": ""} for r in rows],
+                    S.pa.schema([("id", "int64"), ("text_key", "int64"), ("n_removed", "int64"), ("kept_sha256", "string"), ("text", "string")]),
+                )
+
+        return pairs
+
+    line = " ".join(f"hot{i}" for i in range(30))
+    family = lambda f: f"{' '.join(f'a{f}x{i}' for i in range(40))} {line} {' '.join(f'b{f}x{i}' for i in range(40))}"
+    rows = [(2 * f + copy, f"own{f}c{copy} {family(f)}") for f in range(40) for copy in (0, 1)]
+    found = [tuple(r) for r in S.repeated_words(docs(rows)).collect()]
+    assert sorted(found, key=repr) == plain(rows)
+    monkeypatch.setattr(S, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(S, "_clean", asked)
+    assert S._changes(docs(rows), False)[1].count() == 40
+
+
+def test_a_block_holds_one_automaton_at_a_time(monkeypatch):
+    alive = []
+
+    class Counted(S.Automaton):
+        now = 0
+
+        def __init__(self, passages):
+            super().__init__(passages)
+            Counted.now += 1
+            alive.append(Counted.now)
+
+        def __del__(self):
+            Counted.now -= 1
+
+    monkeypatch.setattr(S, "Automaton", Counted)
+    monkeypatch.setattr(S, "AUTOMATON_WORDS", 130)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(9)]
+    rows = [(0, 0, 100, 5, "start " + " between ".join(passages)), (0, 0, 3, 6, passages[0])]
+    rows += [(0, 1, k, None, p) for k, p in enumerate(passages)]
+    rows += [(1, 0, 4, 7, passages[5]), (1, 1, 2, None, passages[5])]
+    columns = zip(("block", "role", "id", "text_key", "text"), map(list, zip(*rows)))
+    found = [r for b in S._clean(True)([S.pa.RecordBatch.from_pydict(dict(columns))]) for r in b.to_pylist()]
+    texts = {r["id"]: (r["text_key"], r["n_removed"], r["text"]) for r in found}
+    assert texts == {100: (5, 540, "start " + "between " * 8), 3: (6, 60, ""), 4: (7, 60, "")}
+    assert len(alive) == 6 and max(alive) == 1
