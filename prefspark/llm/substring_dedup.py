@@ -41,6 +41,9 @@ BLOCK_DOCS = 256
 BLOCK_CHARS = 16_000_000
 # Words of passages in one automaton; a block compiles as many as it needs, one at a time.
 AUTOMATON_WORDS = 400_000
+# Windows of a passage; longer ones are cut into stretches that overlap by WINDOW - 1 words. An
+# automaton has a letter for each of its words, and there are some 1,100,000 letters.
+STRETCH_WINDOWS = 1_000
 # Windows of a block that are sorted at once.
 SORTED_WINDOWS = 2_000_000
 _LAST_ID = (1 << 63) - 1
@@ -157,7 +160,7 @@ def _recurring_windows(batches):
 
 
 def _passages(batches):
-    """The longest runs of a document in which every window is listed."""
+    """The longest runs of a document in which every window is listed, cut into stretches."""
     kinds = {"first": _LONG, "start": _LONG, "text": pa.string(), "windows": _LONGS}
     for part in slices(batches, "text"):
         columns = part.to_pydict()
@@ -169,7 +172,9 @@ def _passages(batches):
             hashes = gram_hashes(words, WINDOW).view(np.int64)
             at = np.isin(hashes, windows)
             edges = np.flatnonzero(np.diff(np.r_[False, at, False].astype(np.int8)))
-            for low, high in edges.reshape(-1, 2).tolist():
+            runs = edges.reshape(-1, 2).tolist()
+            for low, end in ((a, b) for start, b in runs for a in range(start, b, STRETCH_WINDOWS)):
+                high = min(end, low + STRETCH_WINDOWS)
                 out["first"].append(number)
                 out["start"].append(low)
                 out["text"].append(b" ".join(words[low : high + WINDOW - 1]).decode())

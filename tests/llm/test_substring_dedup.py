@@ -133,3 +133,19 @@ def test_a_block_holds_one_automaton_at_a_time(monkeypatch):
     texts = {r["id"]: (r["text_key"], r["n_removed"], r["text"]) for r in found}
     assert texts == {100: (5, 540, "start " + "between " * 8), 3: (6, 60, ""), 4: (7, 60, "")}
     assert len(alive) == 6 and max(alive) == 1
+
+
+def test_a_passage_with_more_words_than_letters(monkeypatch):
+    monkeypatch.setattr(S, "_FIRST_LETTER", 0x10FFFF - 0x800 - 500)
+    monkeypatch.setattr(S, "AUTOMATON_WORDS", 400)
+    monkeypatch.setattr(S, "STRETCH_WINDOWS", 100, raising=False)
+    shared = [b"w%d" % i for i in range(2000)]
+    text = b" ".join(shared).decode()
+    windows = S.gram_hashes(shared, S.WINDOW).view(S.np.int64)
+    source = {"id": [1], "text": [text], "windows": [windows]}
+    listed = [r for b in S._passages([S.pa.RecordBatch.from_pydict(source)]) for r in b.to_pylist()]
+    assert sorted(w for r in listed for w in r["windows"]) == sorted(windows.tolist())
+    rows = [(0, 0, 2, 5, f"head {text} tail"), *((0, 1, r["first"], None, r["text"]) for r in listed)]
+    columns = zip(("block", "role", "id", "text_key", "text"), map(list, zip(*rows)))
+    found = [r for b in S._clean(True)([S.pa.RecordBatch.from_pydict(dict(columns))]) for r in b.to_pylist()]
+    assert [(r["id"], r["n_removed"], r["text"]) for r in found] == [(2, 2000, "head tail")]
