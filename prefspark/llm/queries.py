@@ -7,6 +7,7 @@ from prefspark.llm import (
     embedding_join,
     language_id,
     line_quality,
+    lm_scoring,
     mixing,
     near_dup,
     oracles,
@@ -113,3 +114,11 @@ def op9_near_duplicates(spark, sf_dir):
 @query(oracles.SUBSTRING_DEDUP)
 def op6_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_words(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_lm_scoring(spark, sf_dir):
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
+    held_out = F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out")
+    numbers = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return scored.select("doc_id", held_out, *numbers)

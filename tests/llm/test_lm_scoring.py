@@ -1,0 +1,165 @@
+"""Scores against a plain context-tree weighting that recomputes whole trees."""
+
+import math
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from prefspark.llm import lm_scoring as L
+
+SHAPE = "doc_id long, text string, learned boolean"
+
+
+def tokens_of(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        lowered = lowered.replace(c, " ")
+    return [w for w in lowered.split(" ") if w]
+
+
+def coded(text):
+    return " ".join(tokens_of(text)).encode() + b"\n"
+
+
+def estimate(zeros, ones):
+    """The Krichevsky-Trofimov probability of a block, bit after bit."""
+    chance, n0, n1 = Fraction(1), 0, 0
+    for bit in [0] * zeros + [1] * ones:
+        chance *= Fraction(2 * (n1 if bit else n0) + 1, 2 * (n0 + n1 + 1))
+        n0, n1 = n0 + (not bit), n1 + bit
+    return chance
+
+
+class PlainTree:
+    """Counts of one decision; the weighted probability by its definition."""
+
+    def __init__(self, depth):
+        self.depth, self.counts = depth, defaultdict(lambda: [0, 0])
+
+    def see(self, before, bit, times=1):
+        for d in range(self.depth + 1):
+            self.counts[before[len(before) - d :]][bit] += times
+
+    def weight(self, context=b""):
+        own = estimate(*self.counts.get(context, (0, 0)))
+        if len(context) == self.depth:
+            return own
+        below = Fraction(1)
+        for c in [c for c in self.counts if len(c) == len(context) + 1 and c[1:] == context]:
+            below *= self.weight(c)
+        return own / 2 + below / 2
+
+    def chance(self, before, bit):
+        """P(bit | all that was seen) as the ratio of two whole trees."""
+        old = self.weight()
+        self.see(before, bit)
+        new = self.weight()
+        self.see(before, bit, -1)
+        return new / old
+
+
+def decisions(byte):
+    for k in range(8):
+        yield (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+
+
+def plain_scores(rows, depth):
+    trees, counts = defaultdict(lambda: PlainTree(depth)), Counter()
+    for _, text, learned in rows:
+        if learned:
+            counts.update([*tokens_of(text), "\n"])
+            whole = b"\n" * depth + coded(text)
+            for i in range(depth, len(whole)):
+                for node, bit in decisions(whole[i]):
+                    trees[node].see(whole[i - depth : i], bit)
+    n, v, known, found = sum(counts.values()), len(counts), {}, []
+    for doc_id, text, _ in rows:
+        whole, score = b"\n" * depth + coded(text), 0.0
+        for i in range(depth, len(whole)):
+            for node, bit in decisions(whole[i]):
+                key = node, whole[i - depth : i], bit
+                if key not in known:
+                    known[key] = math.log10(trees[node].chance(key[1], bit))
+                score += known[key]
+        words = [*tokens_of(text), "\n"]
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        found.append((doc_id, len(words), sum(counts[w] > 0 for w in words), n, base, score))
+    return found
+
+
+def collected(spark, rows, depth):
+    table = spark.createDataFrame(rows, SHAPE)
+    found = L.score(table, F.col("learned"), depth).collect()
+    names = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return [tuple(r[c] for c in names) for r in found]
+
+
+def assert_same(found, expected):
+    key = lambda r: (repr(r[0]), r[1], r[2], round(r[5], 6))
+    found, expected = sorted(found, key=key), sorted(expected, key=key)
+    assert [r[:4] for r in found] == [r[:4] for r in expected]
+    assert np.allclose([r[4:] for r in found], [r[4:] for r in expected], rtol=1e-9, atol=1e-9)
+
+
+ROWS = [
+    (1, "the cat sat", True),
+    (2, "The  CAT\tsat on\nthe mat ", True),
+    (3, "a cat", False),
+    (4, "unseen wörds É", False),
+    (5, None, True),
+    (5, "", False),
+    (None, " \n ", False),
+    (6, "a cat", False),
+    (7, "the cat sat", None),
+]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_against_whole_trees(spark, depth):
+    assert_same(collected(spark, ROWS, depth), plain_scores(ROWS, depth))
+
+
+def test_pieces_and_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["ab", "abc", "b", "cab", "x" * 40]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60))), bool(i % 3)) for i in range(25)]
+    whole = collected(spark, rows, 3)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(L, "_STEP", 16)
+    assert_same(collected(spark, rows, 3), whole)
+    assert len(list(L._pieces(b"ab " * 20 + b"x" * 50 + b" c", 10))) > 5
+
+
+def test_log_gamma():
+    x = np.r_[np.arange(1, 400) / 2, 1e5, 1e9]
+    assert np.allclose(L._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-12)
+
+
+def test_chances_of_a_byte_add_up_to_one(spark):
+    runs = spark.createDataFrame([(ord("a") << 8 | b, 5 if b in (98, 99) else 0) for b in range(256)], "run long, n long")
+    assert math.isclose(sum(10 ** r["value"] for r in L.run_scores(runs, 1).collect()), 1, rel_tol=1e-12)
+
+
+def test_nothing_to_read_or_to_learn(spark):
+    assert collected(spark, [], 2) == []
+    (doc_id, n, known, total, base, score), = collected(spark, [(1, "ab", False)], 2)
+    assert (doc_id, n, known, total, base) == (1, 2, 0, 0, 0) and math.isclose(score, -24 * math.log10(2))
+
+
+def test_clashing_columns_and_long_texts(spark):
+    row = (1, "word " * 300_000, True, 1, 2, 3, 4)
+    table = spark.createDataFrame([row], SHAPE + ", block int, run int, score int, context int")
+    found = L.score(table, F.col("learned")).collect()
+    assert [(r["n_tokens"], r["n_known"], r["n_bytes"]) for r in found] == [(300_001, 300_001, 1_500_000)]
+    assert found[0]["bits_per_byte"] < 0.01
+
+
+def test_held_out_texts_are_better_foretold_than_by_words(spark):
+    from prefspark.llm.queries import op13_lm_scoring
+
+    found = op13_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out and n_tokens > 20")
+    better = found.selectExpr("avg(cast(score > base_score as double))", "sum(score) / sum(base_score)").first()
+    assert better[0] > 0.8 and better[1] < 0.97
