@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from prefspark.llm import (
     embedding_join,
+    hard_negatives,
     language_id,
     line_quality,
     lm_scoring,
@@ -122,3 +123,10 @@ def op13_lm_scoring(spark, sf_dir):
     held_out = F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out")
     numbers = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     return scored.select("doc_id", held_out, *numbers)
+
+
+@query(oracles.HARD_NEGATIVES)
+def op12_hard_negatives(spark, sf_dir):
+    vectors, moved = _table(spark, sf_dir, "embeddings"), (F.col("label") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
