@@ -63,6 +63,30 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS compon
        coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON id = d.doc_id"""
 
+TERMS = WORDS.replace(r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+TERMS = TERMS.replace("coalesce(text, '')", LOWERED)
+
+LEXICAL_SEARCH = f"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents
+), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d
+), q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, term, count(*) AS tf FROM t
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p CROSS JOIN c GROUP BY term, docs
+), s AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id) CROSS JOIN c
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+       doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
 HARD_NEGATIVES = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

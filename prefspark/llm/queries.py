@@ -7,6 +7,7 @@ from prefspark.llm import (
     embedding_join,
     hard_negatives,
     language_id,
+    lexical_search,
     line_quality,
     lm_scoring,
     mixing,
@@ -125,6 +126,11 @@ def op13_lm_scoring(spark, sf_dir):
     return scored.select("doc_id", held_out, *numbers)
 
 
+@query(oracles.LEXICAL_SEARCH)
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query(oracles.HARD_NEGATIVES)
 def op12_hard_negatives(spark, sf_dir):
     vectors, moved = _table(spark, sf_dir, "embeddings"), (F.col("label") + 1) % 10
