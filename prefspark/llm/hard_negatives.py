@@ -151,7 +151,7 @@ _BLOCKS = (
 )
 
 
-def _cut(width):
+def _cut(width, size):
     """Sorted rows in blocks, each with its zone map."""
 
     def cut(batches):
@@ -170,10 +170,10 @@ def _cut(width):
 
         for batch in batches:
             while batch.num_rows:
-                room = BLOCK - sum(b.num_rows for b in held)
+                room = size - sum(b.num_rows for b in held)
                 held.append(batch.slice(0, room))
                 batch = batch.slice(room)
-                if sum(b.num_rows for b in held) == BLOCK:
+                if sum(b.num_rows for b in held) == size:
                     yield row(pa.Table.from_batches(held).combine_chunks())
                     block, held = block + 1, []
         if any(b.num_rows for b in held):
@@ -197,7 +197,7 @@ class _Candidates:
         return places[np.argsort(-scores[places], kind="stable")[:count]]
 
 
-def _homes(width, positives):
+def _homes(width, positives, size):
     """The anchors of each block, with their last wanted score among the block's own rows."""
 
     def homes(batches):
@@ -211,7 +211,7 @@ def _homes(width, positives):
                     same = (own.labels == labels[place]) & (own.place != place)
                     best = scores[own.best(scores, same, positives)]
                     least = int(best[-1]) if len(best) == positives else None
-                    number = row["block"] * BLOCK + int(place)
+                    number = row["block"] * size + int(place)
                     found.append((number, row["ids"][place], int(labels[place]), _packed(rows[place][None]), least))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else None
@@ -276,7 +276,7 @@ def _choose(width, seeds):
 _HITS = "anchor long, window int, vec_id long, score long"
 
 
-def _read(width, count):
+def _read(width, count, size):
     """Scores the anchors that ask for a block: the best of their label, or of each window."""
 
     def read(asking, blocks):
@@ -291,8 +291,8 @@ def _read(width, count):
             for row, (line, label) in enumerate(zip(scores, labels[at : at + 512]), at):
                 same = own.labels == label
                 if windows is None:
-                    if numbers[row] // BLOCK == own.block:
-                        same &= own.place != numbers[row] % BLOCK
+                    if numbers[row] // size == own.block:
+                        same &= own.place != numbers[row] % size
                     hits += [(numbers[row], 0, own.ids[p], line[p]) for p in own.best(line, same, count)]
                     continue
                 for w in windows[row]:
@@ -327,7 +327,7 @@ class _Search:
         asking = asked.join(anchors.drop("bundle"), "anchor").groupBy("block", "bundle")
         wanted = asked.select("block", F.col("bundle").alias("by")).distinct()
         read = self.blocks.select("block", "ids", "labels", "packed").join(wanted, "block")
-        return asking.cogroup(read.groupBy("block", "by")).applyInArrow(_read(self.width, count), _HITS)
+        return asking.cogroup(read.groupBy("block", "by")).applyInArrow(_read(self.width, count, BLOCK), _HITS)
 
 
 def _best(hits, keys, count):
@@ -377,10 +377,10 @@ def hard_negatives(vectors, anchors, positives=POSITIVES, negatives=NEGATIVES, l
     placed = rows.mapInArrow(_placed(width, scale, middle, spread, bits), shape)
     order = ("label", "key", "vec_id")
     ordered = placed.repartitionByRange(math.ceil(total / BLOCK / 8), *order).sortWithinPartitions(*order)
-    blocks = staged(ordered.mapInArrow(_cut(width), _BLOCKS), "negatives-blocks")
+    blocks = staged(ordered.mapInArrow(_cut(width, BLOCK), _BLOCKS), "negatives-blocks")
     search = _Search(blocks, width, math.ceil(marked / BUNDLE))
     shape = "anchor long, anchor_id long, label long, packed binary, least long"
-    anchors = staged(blocks.mapInArrow(_homes(width, positives), shape), "negatives-homes")
+    anchors = staged(blocks.mapInArrow(_homes(width, positives, BLOCK), shape), "negatives-homes")
     asking = anchors.drop("anchor_id")
     found = _best(search.hits(asking, positives), ["anchor"], positives)
     found = staged(found.drop("window").withColumnRenamed("rank", "window"), "negatives-positives")
