@@ -18,19 +18,23 @@ are summed from the deepest level to the root, one aggregate a level, and the pr
 handed down again, one join a level. Runs that only texts outside the training part have are
 nodes without counts, which change no weight. A block then asks for the runs and words that it
 holds and adds up its own texts. The model is a table that grows with the corpus and is never
-gathered anywhere.
+gathered anywhere; only the FREQUENT runs seen most often go to every task, which need not ask
+for them.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import slices, staged
 
 DEPTH = 5
 BLOCK_BYTES = 16_000_000
+# Runs that are sent to every task, at most: 16 bytes each.
+FREQUENT = 1 << 19
 # Fixed value: what is added to each token's count in the base score.
 ADDED = 0.1
 # Stands after the last word of a text; no word holds it.
@@ -39,7 +43,7 @@ END = b"\n"
 _STEP = 1 << 21
 
 _BLOCKS = (
-    "block long, data binary, starts array<int>, rows array<long>, doc_ids array<long>, "
+    "block long, data binary, size long, starts array<int>, rows array<long>, doc_ids array<long>, "
     "learned array<boolean>"
 )
 
@@ -60,10 +64,11 @@ class _Block:
         self.learned.append(learned)
 
     def batch(self, number):
-        columns = [[number], [b"".join(self.parts)], [self.starts], [self.rows], [self.doc_ids], [self.learned]]
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()),
+        data = pa.compress(b"".join(self.parts), "zstd", asbytes=True)
+        columns = [[number], [data], [self.size], [self.starts], [self.rows], [self.doc_ids], [self.learned]]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()),
                  pa.list_(pa.int64()), pa.list_(pa.bool_())]
-        names = ["block", "data", "starts", "rows", "doc_ids", "learned"]
+        names = ["block", "data", "size", "starts", "rows", "doc_ids", "learned"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
@@ -115,7 +120,7 @@ class _Read:
 
     def __init__(self, row, depth):
         self.number, self.depth = row["block"], depth
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = np.frombuffer(pa.decompress(row["data"], row["size"], "zstd", asbytes=True), np.uint8)
         self.starts = np.array(row["starts"], np.int64)
         self.ends = np.r_[self.starts[1:] - depth, len(self.data)]
         self.learned = np.array(row["learned"], bool)
@@ -143,15 +148,15 @@ class _Read:
 
     def counted(self):
         """(run, times in learned texts), sorted, of all runs of the block."""
-        found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in self.stretches():
             runs, piece = self.runs(low, high)
-            runs, place = np.unique(runs, return_inverse=True)
-            some = np.bincount(place, self.learned[piece]).astype(np.int64)
-            both, place = np.unique(np.r_[found, runs], return_inverse=True)
-            times = np.bincount(place, np.r_[times, some]).astype(np.int64)
-            found = both
-        return found, times
+            learned = self.learned[piece]
+            for part, counts in ((runs[learned], 1), (runs[~learned], 0)):
+                some, n = np.unique(part, return_counts=True)
+                found.append(some)
+                times.append(n * counts)
+        return _added(np.concatenate(found), np.concatenate(times))
 
     def tokens(self):
         """(distinct tokens, place of each token among them, its piece); the end is a newline."""
@@ -166,9 +171,18 @@ class _Read:
         return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(pieces)), lengths)
 
 
+def _added(keys, numbers):
+    """Distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, numbers = keys[order], numbers[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+    return keys[starts], np.add.reduceat(numbers, starts) if len(keys) else numbers
+
+
 def _rows(batches):
     for batch in batches:
-        yield from batch.to_pylist()
+        for row in range(batch.num_rows):
+            yield batch.slice(row, 1).to_pylist()[0]
 
 
 def _count_runs(depth):
@@ -195,16 +209,70 @@ def _count_tokens(depth):
     return count
 
 
-def _ask_runs(depth):
+def _ask_runs(depth, frequent):
     def ask(batches):
+        known, _ = frequent.value
         for row in _rows(batches):
             runs, _ = _Read(row, depth).counted()
+            runs = runs[~_among(runs, known)[0]]
             block = pa.array(np.full(len(runs), row["block"]))
             yield pa.RecordBatch.from_arrays([block, pa.array(runs)], names=["block", "run"])
 
     return ask
 
 
+def _among(values, known):
+    """(which of the values a sorted array has, their places there)."""
+    if not len(known):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[place] == values, place
+
+
+_PACKED = "block long, of_token boolean, keys binary, numbers binary, times long, kinds long"
+
+
+def _pack(key, number, of_token):
+    """Rows (block, key, number) of a task in one row for each block, or each _HELD rows.
+
+    Of tokens, a row without a block adds up how often they are learned, and which are first
+    met in their block.
+    """
+
+    def packed(held):
+        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("block", key, number)]
+        order = np.argsort(columns[0], kind="stable")
+        blocks, keys, numbers = (c[order] for c in columns)
+        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True])
+        rows = [
+            (int(blocks[a]), of_token, keys[a:b].astype("<i8").tobytes(), numbers[a:b].astype("<f8").tobytes(), None, None)
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        if of_token:
+            times = sum(pc.sum(b.column("n")).as_py() for b in held)
+            rows.append((None, True, b"", b"", times, sum(pc.sum(b.column("first")).as_py() for b in held)))
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        names = [c.split()[0] for c in _PACKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held, size = [*held, batch], size + batch.num_rows
+            if size >= _HELD:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return pack
+
+
+# Answers that a task gathers before it sorts them by block.
+_HELD = 1 << 20
+
+
 # Terms of Stirling's series for the logarithm of the gamma function: B(2k) / (2k (2k - 1)).
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 _SHIFT = 8
@@ -322,7 +390,8 @@ def _foretell(batches):
         row, byte = _flat(part.column("bytes"))
         value = sum(np.log10(chances[bit, row, node]) for node, bit in _decisions(byte))
         run = part.column("context").to_numpy()[row] << 8 | byte
-        yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(value)], names=["run", "value"])
+        n = _flat(part.column("ns"))[1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (run, n, value)], names=["run", "n", "value"])
 
 
 def _up(depth):
@@ -357,44 +426,63 @@ def predictions(levels):
 
 
 def run_scores(runs, depth):
-    """(run, value): log10 of the chance of a run's last byte after the bytes before it."""
+    """(run, n, value): log10 of the chance of a run's last byte after the bytes before it."""
     byte = F.col("run").bitwiseAND(F.lit(255)).cast("int")
     contexts = runs.groupBy(F.shiftright("run", 8).alias("context")).agg(
         F.collect_list(F.struct(byte.alias("byte"), "n")).alias("all")
     )
     contexts = staged(contexts.select("context", F.col("all.byte").alias("bytes"), F.col("all.n").alias("ns")), "lm-contexts")
     chances = predictions(trees(contexts, depth))
-    return contexts.drop("ns").join(chances, "context").mapInArrow(_foretell, "run long, value double")
+    return contexts.join(chances, "context").mapInArrow(_foretell, "run long, n long, value double")
+
+
+def _frequent(scores):
+    """The runs seen most often, FREQUENT at most, with their scores: two sorted arrays."""
+    power = F.floor(F.log2("n")).cast("int").alias("power")
+    sizes = dict(scores.where("n > 0").groupBy(power).count().collect())
+    least, rows = 1 << 62, 0
+    for power in sorted(sizes, reverse=True):
+        rows += sizes[power]
+        if rows > FREQUENT:
+            break
+        least = 1 << power
+    found = scores.where(F.col("n") >= least).select("run", "value").toArrow()
+    order = np.argsort(found.column("run").to_numpy())
+    return tuple(found.column(c).to_numpy()[order] for c in ("run", "value"))
 
 
 _PIECE = "row long, doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
 
 
-def _add_up(depth, total, kinds):
+def _add_up(depth, frequent, total, kinds):
     def add_up(blocks, answers):
-        key, value = answers.column("key").to_numpy(), answers.column("value").to_numpy()
-        of_token = answers.column("of_token").to_numpy(zero_copy_only=False).astype(bool)
+        def numbers(of_token):
+            some = answers.filter(pc.equal(answers.column("of_token"), of_token))
+            joined = [b"".join(some.column(c).to_pylist()) for c in ("keys", "numbers")]
+            return np.frombuffer(joined[0], "<i8"), np.frombuffer(joined[1], "<f8")
+
         for row in blocks.to_pylist():
             block, pieces = _Read(row, depth), len(row["rows"])
-            order = np.argsort(key[~of_token])
-            runs, scores = key[~of_token][order], value[~of_token][order]
+            runs, scores = (np.concatenate(x) for x in zip(frequent.value, numbers(False)))
+            order = np.argsort(runs, kind="stable")
+            runs, scores = runs[order], scores[order]
             score = np.zeros(pieces)
             for low, high in block.stretches():
                 found, piece = block.runs(low, high)
                 score += np.bincount(piece, scores[np.searchsorted(runs, found)], minlength=pieces)
             words, place, piece = block.tokens()
-            times = np.zeros(len(words))
-            times[key[of_token]] = value[of_token]
+            times, (key, number) = np.zeros(len(words)), numbers(True)
+            times[key] = number
             each = np.log10((times + ADDED) / (total + ADDED * (kinds + 1)))
-            numbers = [np.bincount(piece, w, minlength=pieces) for w in (None, times[place] > 0, each[place])]
+            sums = [np.bincount(piece, w, minlength=pieces) for w in (None, times[place] > 0, each[place])]
             columns = [
                 pa.array(row["rows"], pa.int64()),
                 pa.array(row["doc_ids"], pa.int64()),
                 pa.array(row["learned"], pa.bool_()),
                 pa.array(block.ends - block.starts),
-                pa.array(numbers[0].astype(np.int64)),
-                pa.array(numbers[1].astype(np.int64)),
-                pa.array(numbers[2]),
+                pa.array(sums[0].astype(np.int64)),
+                pa.array(sums[1].astype(np.int64)),
+                pa.array(sums[2]),
                 pa.array(score),
             ]
             return pa.Table.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
@@ -422,22 +510,22 @@ def score(docs, learned, depth=DEPTH):
     blocks = staged(texts.mapInArrow(_gather(depth, BLOCK_BYTES), _BLOCKS), "lm-blocks")
     counted = blocks.mapInArrow(_count_runs(depth), "run long, n long")
     runs = staged(counted.groupBy("run").agg(F.sum("n").alias("n")), "lm-runs")
-    scores = run_scores(runs, depth)
-    asked = blocks.mapInArrow(_ask_runs(depth), "block long, run long").join(scores, "run")
-    asked = asked.select("block", F.col("run").alias("key"), "value", F.lit(False).alias("of_token"))
+    scores = staged(run_scores(runs, depth), "lm-scores")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(scores))
+    asked = blocks.mapInArrow(_ask_runs(depth, frequent), "block long, run long").join(scores, "run")
+    asked = asked.mapInArrow(_pack("run", "value", False), _PACKED)
     shape = "block long, place long, token binary, n long"
-    tokens = blocks.mapInArrow(_count_tokens(depth), shape)
-    counts = tokens.groupBy("token").agg(F.sum("n").alias("times")).where("times > 0")
-    counts = staged(counts, "lm-tokens")
-    total, kinds = counts.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    known = tokens.select("block", "place", "token").join(counts, "token")
-    known = known.select(
-        "block", F.col("place").alias("key"), F.col("times").cast("double").alias("value"),
-        F.lit(True).alias("of_token"),
+    same = W.partitionBy("token")
+    known = blocks.mapInArrow(_count_tokens(depth), shape).select(
+        "block", "place", "n", F.sum("n").over(same).alias("times"), F.min("block").over(same).alias("_first")
     )
-    answers = asked.unionByName(known)
+    known = known.where("times > 0").withColumn("first", (F.col("block") == F.col("_first")).cast("int"))
+    known = known.select("block", "place", "n", "times", "first").mapInArrow(_pack("place", "times", True), _PACKED)
+    known = staged(known, "lm-tokens")
+    total, kinds = known.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("times", "kinds"))).first()
+    answers = asked.unionByName(known.where("block is not null")).select("block", "of_token", "keys", "numbers")
     pieces = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    pieces = pieces.applyInArrow(_add_up(depth, total, kinds), _PIECE)
+    pieces = pieces.applyInArrow(_add_up(depth, frequent, total, kinds), _PIECE)
     whole = pieces.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("learned").alias("learned"),

@@ -129,6 +129,8 @@ def test_pieces_and_blocks_change_nothing(spark, monkeypatch):
     whole = collected(spark, rows, 3)
     monkeypatch.setattr(L, "BLOCK_BYTES", 30)
     monkeypatch.setattr(L, "_STEP", 16)
+    monkeypatch.setattr(L, "FREQUENT", 40)
+    monkeypatch.setattr(L, "_HELD", 7)
     assert_same(collected(spark, rows, 3), whole)
     assert len(list(L._pieces(b"ab " * 20 + b"x" * 50 + b" c", 10))) > 5
 
