@@ -39,8 +39,8 @@ FREQUENT = 1 << 19
 ADDED = 0.1
 # Stands after the last word of a text; no word holds it.
 END = b"\n"
-# Runs of bytes looked up at once.
-_STEP = 1 << 21
+# Runs of bytes looked up at once, and answers that are sorted by block at once.
+_STEP, _HELD = 1 << 21, 1 << 20
 
 _BLOCKS = (
     "block long, data binary, size long, starts array<int>, rows array<long>, doc_ids array<long>, "
@@ -118,46 +118,73 @@ def _gather(depth, limit):
 class _Read:
     """One block: its bytes, and which piece each byte and each token belongs to."""
 
-    def __init__(self, row, depth):
-        self.number, self.depth = row["block"], depth
+    def __init__(self, row, depth, step=_STEP):
+        self.number, self.depth, self.step = row["block"], depth, step
         self.data = np.frombuffer(pa.decompress(row["data"], row["size"], "zstd", asbytes=True), np.uint8)
         self.starts = np.array(row["starts"], np.int64)
         self.ends = np.r_[self.starts[1:] - depth, len(self.data)]
         self.learned = np.array(row["learned"], bool)
 
     def stretches(self):
-        """(first piece, last piece + 1) of parts of some _STEP bytes; a long piece alone."""
-        low = 0
+        """(first piece, last piece + 1) of parts of some ``step`` bytes; a long piece alone.
+
+        A run and the number of its piece in a stretch fit in 64 bits together.
+        """
+        low, most = 0, 1 << self.spare
         while low < len(self.starts):
-            high = int(np.searchsorted(self.starts, self.starts[low] + _STEP))
+            high = int(np.searchsorted(self.starts, self.starts[low] + self.step))
+            high = min(high, low + most)
             yield low, high
             low = high
 
+    @property
+    def spare(self):
+        """Bits that a run of depth + 1 bytes leaves of 64."""
+        return 64 - 8 * (self.depth + 1)
+
     def runs(self, low, high):
-        """The runs of depth + 1 bytes that end in pieces low to high, and their pieces."""
+        """The runs of depth + 1 bytes that end in pieces low to high, and the pieces' lengths."""
         begin, end = self.starts[low] - self.depth, self.ends[high - 1]
-        data = self.data[begin:end].astype(np.int64)
-        runs = np.zeros(len(data) - self.depth, np.int64)
-        for back in range(self.depth + 1):
-            runs |= data[self.depth - back : len(data) - back] << (8 * back)
-        lengths = self.ends[low:high] - self.starts[low:high]
-        place = np.arange(len(runs)) + begin + self.depth
-        piece = np.searchsorted(self.starts, place, "right") - 1
-        own = place < self.ends[piece]
-        return runs[own], np.repeat(np.arange(low, high), lengths)
+        data = self.data[begin:end]
+        runs = data[: len(data) - self.depth].astype(np.uint64)
+        for ahead in range(1, self.depth + 1):
+            runs <<= np.uint64(8)
+            runs |= data[ahead : len(data) - self.depth + ahead]
+        if self.depth and high > low + 1:
+            # What ends in the bytes before a piece is none of its runs.
+            own, starts = np.ones(len(runs), bool), self.starts[low + 1 : high] - self.starts[low]
+            for back in range(1, self.depth + 1):
+                own[starts - back] = False
+            runs = runs[own]
+        return runs, self.ends[low:high] - self.starts[low:high]
 
     def counted(self):
         """(run, times in learned texts), sorted, of all runs of the block."""
         found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in self.stretches():
-            runs, piece = self.runs(low, high)
-            learned = self.learned[piece]
-            for part, counts in ((runs[learned], 1), (runs[~learned], 0)):
-                some, n = np.unique(part, return_counts=True)
-                found.append(some)
-                times.append(n * counts)
+            runs, lengths = self.runs(low, high)
+            learned = np.repeat(self.learned[low:high].astype(np.uint64), lengths)
+            marked = np.sort(runs << np.uint64(1) | learned)
+            runs, starts = _distinct(marked >> np.uint64(1))
+            found.append(runs.astype(np.int64))
+            times.append(np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts))
         return _added(np.concatenate(found), np.concatenate(times))
 
+    def scores(self, known, values):
+        """The sum of the values of each piece's runs; ``known`` is sorted and has them all."""
+        found = np.zeros(len(self.starts))
+        for low, high in self.stretches():
+            runs, lengths = self.runs(low, high)
+            spare = np.uint64(self.spare)
+            pieces = np.repeat(np.arange(high - low, dtype=np.uint64), lengths)
+            # Sorted with their pieces, equal runs are looked up once, and in order.
+            marked = np.sort(runs << spare | pieces)
+            runs, starts = _distinct(marked >> spare)
+            each = np.repeat(values[np.searchsorted(known, runs.astype(np.int64))], np.diff(np.r_[starts, len(marked)]))
+            pieces = (marked & np.uint64((1 << self.spare) - 1)).astype(np.int64)
+            found[low:high] = np.bincount(pieces, each, minlength=high - low)
+        return found
+
     def tokens(self):
         """(distinct tokens, place of each token among them, its piece); the end is a newline."""
         data = self.data.copy()
@@ -171,6 +198,12 @@ class _Read:
         return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(pieces)), lengths)
 
 
+def _distinct(values):
+    """The different values of a sorted array that is not empty, and where each begins."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return values[starts], starts
+
+
 def _added(keys, numbers):
     """Distinct keys in order, and the sums of their numbers."""
     order = np.argsort(keys, kind="stable")
@@ -185,10 +218,10 @@ def _rows(batches):
             yield batch.slice(row, 1).to_pylist()[0]
 
 
-def _count_runs(depth):
+def _count_runs(depth, step):
     def count(batches):
         for row in _rows(batches):
-            runs, times = _Read(row, depth).counted()
+            runs, times = _Read(row, depth, step).counted()
             yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(times)], names=["run", "n"])
 
     return count
@@ -232,11 +265,13 @@ def _among(values, known):
 _PACKED = "block long, of_token boolean, keys binary, numbers binary, times long, kinds long"
 
 
-def _pack(key, number, of_token):
-    """Rows (block, key, number) of a task in one row for each block, or each _HELD rows.
+def _pack(key, number, of_token, most):
+    """Rows (block, key, number) of a task, sorted by block, in one row for each block.
+
+    A task sorts ``most`` rows or a batch more at once.
 
-    Of tokens, a row without a block adds up how often they are learned, and which are first
-    met in their block.
+    Of tokens, a row without a block adds up how often they are learned, and how many are in
+    the first of their blocks.
     """
 
     def packed(held):
@@ -260,7 +295,7 @@ def _pack(key, number, of_token):
         for batch in batches:
             if batch.num_rows:
                 held, size = [*held, batch], size + batch.num_rows
-            if size >= _HELD:
+            if size >= most:
                 yield packed(held)
                 held, size = [], 0
         if held:
@@ -269,10 +304,6 @@ def _pack(key, number, of_token):
     return pack
 
 
-# Answers that a task gathers before it sorts them by block.
-_HELD = 1 << 20
-
-
 # Terms of Stirling's series for the logarithm of the gamma function: B(2k) / (2k (2k - 1)).
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 _SHIFT = 8
@@ -466,10 +497,7 @@ def _add_up(depth, frequent, total, kinds):
             runs, scores = (np.concatenate(x) for x in zip(frequent.value, numbers(False)))
             order = np.argsort(runs, kind="stable")
             runs, scores = runs[order], scores[order]
-            score = np.zeros(pieces)
-            for low, high in block.stretches():
-                found, piece = block.runs(low, high)
-                score += np.bincount(piece, scores[np.searchsorted(runs, found)], minlength=pieces)
+            score = block.scores(runs, scores)
             words, place, piece = block.tokens()
             times, (key, number) = np.zeros(len(words)), numbers(True)
             times[key] = number
@@ -508,19 +536,19 @@ def score(docs, learned, depth=DEPTH):
     learned = F.coalesce(learned, F.lit(False)).alias("learned")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), learned)
     blocks = staged(texts.mapInArrow(_gather(depth, BLOCK_BYTES), _BLOCKS), "lm-blocks")
-    counted = blocks.mapInArrow(_count_runs(depth), "run long, n long")
+    counted = blocks.mapInArrow(_count_runs(depth, _STEP), "run long, n long")
     runs = staged(counted.groupBy("run").agg(F.sum("n").alias("n")), "lm-runs")
     scores = staged(run_scores(runs, depth), "lm-scores")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(scores))
     asked = blocks.mapInArrow(_ask_runs(depth, frequent), "block long, run long").join(scores, "run")
-    asked = asked.mapInArrow(_pack("run", "value", False), _PACKED)
+    asked = asked.mapInArrow(_pack("run", "value", False, _HELD), _PACKED)
     shape = "block long, place long, token binary, n long"
     same = W.partitionBy("token")
     known = blocks.mapInArrow(_count_tokens(depth), shape).select(
         "block", "place", "n", F.sum("n").over(same).alias("times"), F.min("block").over(same).alias("_first")
     )
     known = known.where("times > 0").withColumn("first", (F.col("block") == F.col("_first")).cast("int"))
-    known = known.select("block", "place", "n", "times", "first").mapInArrow(_pack("place", "times", True), _PACKED)
+    known = known.select("block", "place", "n", "times", "first").mapInArrow(_pack("place", "times", True, _HELD), _PACKED)
     known = staged(known, "lm-tokens")
     total, kinds = known.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("times", "kinds"))).first()
     answers = asked.unionByName(known.where("block is not null")).select("block", "of_token", "keys", "numbers")
