@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.schema import free_names
+
 
 def join_grouped(
     df: DataFrame, grouped: DataFrame, key: str, how: str = "inner", null_key: bool = False
@@ -16,10 +18,11 @@ def join_grouped(
     well makes Spark shuffle both sides for the join alone; what a hot key brings into one
     partition of ``df`` is then split, and its one row of ``grouped`` repeated.
     """
-    left = df.withColumn("_hash", F.xxhash64(key))
-    if not null_key:
-        right = grouped.withColumn("_hash", F.xxhash64(key))
-        return left.join(right, [key, "_hash"], how).drop("_hash")
-    right = grouped.withColumn("_hash2", F.xxhash64(key)).withColumnRenamed(key, "_key2")
-    same = F.col(key).eqNullSafe(F.col("_key2")) & (F.col("_hash") == F.col("_hash2"))
-    return left.join(right, same, how).drop("_hash", "_hash2", "_key2")
+    left_hash, right_hash, right_key = free_names(
+        [*df.columns, *grouped.columns], "_hash", "_hash2", "_key2"
+    )
+    left = df.withColumn(left_hash, F.xxhash64(key))
+    right = grouped.withColumn(right_hash, F.xxhash64(key)).withColumnRenamed(key, right_key)
+    same = F.col(key).eqNullSafe(F.col(right_key)) if null_key else F.col(key) == F.col(right_key)
+    joined = left.join(right, same & (F.col(left_hash) == F.col(right_hash)), how)
+    return joined.drop(left_hash, right_hash, right_key)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from prefspark.schema import free_names
 from prefspark.shared_storage import ensure_checkpoint_dir
 
 BLOCK_BITS = 20
@@ -39,40 +40,39 @@ def with_group_ordinal(
     up over two levels, so a group of any size is spread over as many tasks as it has blocks.
     """
     keys = list(keys)
+    block, big, rows, big_rows, big_base, base, total, place = free_names(
+        df.columns, "_block", "_super", "_rows", "_super_rows", "_super_base", "_base", "_size", "_within"
+    )
     # The last 0 is never reached. It makes the number, and with it the blocks, a column
     # without nulls; a null test on one use of the block counts would have them made twice.
     refuse = F.raise_error(F.lit(f"{order} must not be null")).cast("long")
     number = F.coalesce(F.col(order).cast("long"), refuse, F.lit(0))
-    rows = df.withColumn("_block", F.shiftright(number, BLOCK_BITS))
+    numbered = df.withColumn(block, F.shiftright(number, BLOCK_BITS))
     blocks = (
-        rows.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_super", F.shiftright("_block", BLOCK_BITS))
+        numbered.groupBy(*keys, block)
+        .agg(F.count(F.lit(1)).alias(rows))
+        .withColumn(big, F.shiftright(block, BLOCK_BITS))
     )
-    supers = blocks.groupBy(*keys, "_super").agg(F.sum("_rows").alias("_super_rows"))
-    over_supers = W.partitionBy(*keys).orderBy("_super")
+    supers = blocks.groupBy(*keys, big).agg(F.sum(rows).alias(big_rows))
+    over_supers = W.partitionBy(*keys).orderBy(big)
     supers = supers.select(
         *keys,
-        "_super",
-        sum_before(over_supers, "_super_rows").alias("_super_base"),
-        F.sum("_super_rows").over(W.partitionBy(*keys)).alias("_size"),
-    )
-    over_blocks = W.partitionBy(*keys, "_super").orderBy("_block")
-    bases = blocks.withColumn("_block_base", sum_before(over_blocks, "_rows")).join(
-        supers, [*keys, "_super"]
+        big,
+        sum_before(over_supers, big_rows).alias(big_base),
+        F.sum(big_rows).over(W.partitionBy(*keys)).alias(total),
     )
-    bases = bases.select(
-        *keys, "_block", (F.col("_super_base") + F.col("_block_base")).alias("_base"), "_size"
-    )
-    within = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(order)) - 1
-    rows = rows.withColumn("_within", within)
+    over_blocks = W.partitionBy(*keys, big).orderBy(block)
+    bases = blocks.withColumn(base, sum_before(over_blocks, rows)).join(supers, [*keys, big])
+    bases = bases.select(*keys, block, (F.col(big_base) + F.col(base)).alias(base), total)
+    within = F.row_number().over(W.partitionBy(*keys, block).orderBy(order)) - 1
+    numbered = numbered.withColumn(place, within)
     if size:
-        ranked = rows.join(bases, [*keys, "_block"])
+        ranked = numbered.join(bases, [*keys, block])
     else:
         # Most groups have one block, which starts at 0 and needs no row here.
-        ranked = rows.join(bases.where(F.col("_base") > 0), [*keys, "_block"], "left")
-    position = F.coalesce("_base", F.lit(0)) + F.col("_within")
-    extra = [F.col("_size").alias(size)] if size else []
+        ranked = numbered.join(bases.where(F.col(base) > 0), [*keys, block], "left")
+    position = F.coalesce(base, F.lit(0)) + F.col(place)
+    extra = [F.col(total).alias(size)] if size else []
     return ranked.select(*df.columns, position.cast("long").alias(ordinal), *extra)
 
 
@@ -85,22 +85,25 @@ def with_hash_rank(
     bucket is sorted in one task, and what is broadcast is one row per bucket, 65,536 at
     most whatever the number of keys.
     """
-    hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key))).withColumn(
-        "_bucket", hash_bucket(F.col("_hash"))
+    hashed, bucket, rows, base, total, place = free_names(
+        df.columns, "_hash", "_bucket", "_rows", "_base", "_total", "_within"
+    )
+    keyed = df.withColumn(hashed, seeded_hash(seed, F.col(key))).withColumn(
+        bucket, hash_bucket(F.col(hashed))
     )
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias(rows))
     offsets = counts.select(
-        "_bucket",
-        sum_before(W.orderBy("_bucket"), "_rows").alias("_base"),
-        F.sum("_rows").over(W.partitionBy()).alias("_total"),
+        bucket,
+        sum_before(W.orderBy(bucket), rows).alias(base),
+        F.sum(rows).over(W.partitionBy()).alias(total),
     )
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy("_hash", key)) - 1
-    ranked = hashed.withColumn("_within", within).join(F.broadcast(offsets), "_bucket")
+    within = F.row_number().over(W.partitionBy(bucket).orderBy(hashed, key)) - 1
+    ranked = keyed.withColumn(place, within).join(F.broadcast(offsets), bucket)
     return ranked.select(
         *df.columns,
-        F.col("_hash").alias("hash"),
-        (F.col("_base") + F.col("_within")).alias(rank),
-        F.col("_total").alias(size),
+        F.col(hashed).alias("hash"),
+        (F.col(base) + F.col(place)).alias(rank),
+        F.col(total).alias(size),
     )
 
 
@@ -131,16 +134,17 @@ def with_sorted_ordinal(
     rows. The broadcast holds one row per partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    place, part, rows, base = free_names(df.columns, "_place", "_part", "_rows", "_base")
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn(place, F.monotonically_increasing_id())
         .checkpoint()
     )
-    placed = placed.withColumn("_part", F.shiftright("_place", _ROW_BITS))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = counts.select("_part", sum_before(W.orderBy("_part"), "_rows").alias("_base"))
-    within = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_base") + within).alias(ordinal)
+    placed = placed.withColumn(part, F.shiftright(place, _ROW_BITS))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias(rows))
+    offsets = counts.select(part, sum_before(W.orderBy(part), rows).alias(base))
+    within = F.col(place).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.join(F.broadcast(offsets), part).select(
+        *df.columns, (F.col(base) + within).alias(ordinal)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefspark.operators.ranking import hash_bucket, seeded_hash, sum_before
+from prefspark.schema import free_names
 
 # The number of rows a prefix check looks at.
 PREFIX_ROWS = 20
@@ -31,20 +32,21 @@ def limit_sample(
         return df
     whole = F.to_json(F.struct(*df.columns))
     parts = [_coded(c) for c in ids] if ids else [whole]
-    keyed = df.withColumn("_hash", seeded_hash(seed, *parts))
-    border = _border(keyed, "_hash", count)
+    place, row = free_names(df.columns, "_hash", "_row")
+    keyed = df.withColumn(place, seeded_hash(seed, *parts))
+    border = _border(keyed, place, count)
     if border is None:
         return df
     last, left, rows = border
     if left == rows:
-        return keyed.where(F.col("_hash") <= last).drop("_hash")
-    kept = keyed.where(F.col("_hash") < last).drop("_hash")
-    tied = keyed.where(F.col("_hash") == last).drop("_hash")
+        return keyed.where(F.col(place) <= last).drop(place)
+    kept = keyed.where(F.col(place) < last).drop(place)
+    tied = keyed.where(F.col(place) == last).drop(place)
     if ids:
-        tied = tied.withColumn("_row", seeded_hash(seed, whole))
-        last, left, _ = _border(tied, "_row", left)
-        kept = kept.unionByName(tied.where(F.col("_row") < last).drop("_row"))
-        tied = tied.where(F.col("_row") == last).drop("_row")
+        tied = tied.withColumn(row, seeded_hash(seed, whole))
+        last, left, _ = _border(tied, row, left)
+        kept = kept.unionByName(tied.where(F.col(row) < last).drop(row))
+        tied = tied.where(F.col(row) == last).drop(row)
     return kept.unionByName(_repeated(tied, left))
 
 

@@ -50,9 +50,29 @@ REPORT = T.StructType(
 )
 
 
+def missing_columns(df, columns):
+    """Those of ``columns`` that ``df`` lacks, in their order."""
+    return [name for name in columns if name not in df.columns]
+
+
 def require_columns(df, columns, what="table"):
     """Fail before any job when ``df`` lacks one of ``columns``; name every one missing."""
-    missing = [name for name in columns if name not in df.columns]
+    missing = missing_columns(df, columns)
     if missing:
         raise ValueError(f"{what} is missing columns: {missing}")
     return df
+
+
+def free_names(columns, *names):
+    """The names, each with as many underscores in front as keep it apart from ``columns``.
+
+    For columns that an operator adds for a while: the user's own columns are never replaced.
+    Spark tells names apart without regard to case, and so does this.
+    """
+    taken, free = {name.lower() for name in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return free
