@@ -372,6 +372,74 @@ def render_generation_prompt(spark, sf):
     )
 
 
+def _given(content):
+    """Reasoning that stands beside the content of some turns."""
+    return F.when(F.col("turn") % 3 == 1, F.concat(F.lit("\n"), F.substring(content, 1, 9), F.lit("\n")))
+
+
+GIVEN_TURNS = rf"""(
+  SELECT *, CASE WHEN turn % 3 = 1 THEN concat(E'\n', substr(content, 1, 9), E'\n') END AS given
+  FROM {fx.THINKING_TURNS} t)"""
+GIVEN_REASONING = f"coalesce(given, {REASONING})"
+GIVEN_ANSWER = f"CASE WHEN given IS NULL THEN {ANSWER} ELSE content END"
+GIVEN_PIECES = chatml_turns_sql(GIVEN_TURNS).replace(REASONING, GIVEN_REASONING).replace(ANSWER, GIVEN_ANSWER)
+
+
+@query(f"SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS text FROM {GIVEN_PIECES} p GROUP BY conv_id")
+def render_given_reasoning(spark, sf):
+    """ChatML of turns whose reasoning stands beside their content."""
+    turns = fx.thinking_turns(spark, sf).withColumn("reasoning_content", _given(F.col("content")))
+    return conversations.render_chatml(conversations.assemble(turns)).select("conv_id", "text")
+
+
+TAG_PIECES = rf"""
+  SELECT conv_id, turn, concat(
+    CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '<bos>' ELSE '' END,
+    '<start_of_turn>', CASE WHEN role = 'assistant' THEN 'model' ELSE role END,
+    E'\n', trim(content, E' \t\n'), E'<end_of_turn>\n') AS piece
+  FROM {fx.TURNS} t"""
+HEADER_PIECES = rf"""
+  SELECT conv_id, turn, concat(
+    CASE WHEN turn = 0 THEN concat(
+      '<|begin_of_text|><|start_header_id|>system<|end_header_id|>', E'\n\n',
+      E'Cutting Knowledge Date: December 2023\nToday Date: 26 Jul 2024\n\n',
+      CASE WHEN role = 'system' THEN trim(content, E' \t\n') ELSE '' END, '<|eot_id|>') ELSE '' END,
+    CASE WHEN turn = 0 AND role = 'system' THEN '' ELSE
+      concat('<|start_header_id|>', role, E'<|end_header_id|>\n\n', trim(content, E' \t\n'), '<|eot_id|>') END) AS piece
+  FROM {fx.TURNS} t"""
+
+
+def _opened(pieces, suffix):
+    return f"""
+      SELECT conv_id, turn, piece FROM ({pieces}) a
+      UNION ALL SELECT conv_id, max(turn) + 1, {suffix} FROM ({pieces}) b GROUP BY conv_id"""
+
+
+CHATML_OPENED = _opened(
+    f"SELECT * FROM {GIVEN_PIECES} p",
+    r"concat(E'<|im_start|>assistant\n', CASE WHEN conv_id % 3 = 1 THEN E'<think>\n\n</think>\n\n' ELSE '' END)",
+)
+
+
+@query(rf"""
+  SELECT 'chatml' AS layout, * FROM ({CHATML_OPENED}) c
+  UNION ALL SELECT 'turn_tags', * FROM ({_opened(TAG_PIECES, r"E'<start_of_turn>model\n'")}) t
+  UNION ALL SELECT 'header_ids', * FROM (
+    {_opened(HEADER_PIECES, r"E'<|start_header_id|>assistant<|end_header_id|>\n\n'")}) h""")
+def render_generation_turns(spark, sf):
+    """All layouts turn by turn, with one more piece that opens the answer."""
+    turns, kind = fx.turns(spark, sf), F.col("conv_id") % 3
+    given = fx.thinking_turns(spark, sf).withColumn("reasoning_content", _given(F.col("content")))
+    thinking = F.when(kind == 0, True).when(kind == 1, False)
+    layouts = {
+        "chatml": conversations.chatml_turns(given, True, thinking),
+        "turn_tags": conversations.turn_tag_turns(turns, True),
+        "header_ids": conversations.header_turns(turns, generation=True),
+    }
+    parts = [df.select(F.lit(name).alias("layout"), "*") for name, df in layouts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 STEERED_PROMPTS = rf"""(
   SELECT doc_id, CASE
     WHEN qwen THEN concat(

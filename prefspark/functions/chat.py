@@ -67,14 +67,24 @@ def answer_part(content: Column) -> Column:
     return F.when(F.contains(content, F.lit(THINK_CLOSE)), after_close).otherwise(content)
 
 
-def chatml_turn(role: Column, content: Column, shows_reasoning: Column, is_last: Column) -> Column:
+def chatml_turn(
+    role: Column,
+    content: Column,
+    shows_reasoning: Column,
+    is_last: Column,
+    given: Column | None = None,
+) -> Column:
     """One turn of the ChatML layout.
 
     ``shows_reasoning`` is true after the last query. There an assistant turn carries its
-    think block when it is the last turn or has reasoning to show.
+    think block when it is the last turn or has reasoning to show. ``given`` is reasoning that
+    stands beside the content: where it is not null, the content is not searched for any.
     """
     content = F.coalesce(content, F.lit(""))
     reasoning, answer = reasoning_part(content), answer_part(content)
+    if given is not None:
+        reasoning = F.coalesce(given, reasoning)
+        answer = F.when(given.isNull(), answer).otherwise(content)
     think_block = F.concat(
         F.lit(THINK_OPEN + "\n"), strip_newlines(reasoning), F.lit("\n" + THINK_CLOSE + "\n\n"),
         lstrip_newlines(answer),
@@ -86,12 +96,18 @@ def chatml_turn(role: Column, content: Column, shows_reasoning: Column, is_last:
     return F.concat(F.lit(CHATML_START), role, F.lit("\n"), body, F.lit(CHATML_END))
 
 
-def chatml(messages: Column) -> Column:
+def chatml(messages: Column, with_reasoning: bool = False) -> Column:
+    """The ChatML layout; ``with_reasoning`` if messages have a field ``reasoning_content``."""
+
     def layout(bound: Column) -> Column:
         turns = F.transform(
             bound["messages"],
             lambda m, i: chatml_turn(
-                m["role"], m["content"], i > bound["query"], i == bound["last"]
+                m["role"],
+                m["content"],
+                i > bound["query"],
+                i == bound["last"],
+                m["reasoning_content"] if with_reasoning else None,
             ),
         )
         return F.array_join(turns, "")
