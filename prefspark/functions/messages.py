@@ -49,20 +49,22 @@ NULL_PROMPT = "prompt is null"
 BAD_OBJECT = "prompt object lacks role or content"
 BAD_ITEM = "prompt list holds an item without role and content"
 EMPTY_LIST = "prompt list is empty"
+PROMPT_ERRORS = (NULL_PROMPT, BAD_OBJECT, BAD_ITEM, EMPTY_LIST)
 
 
-def _has_message_keys(value: Column) -> Column:
-    # Key presence: a key holding a JSON null is there.
-    role = F.try_variant_get(value, "$.role", "variant")
-    content = F.try_variant_get(value, "$.content", "variant")
-    return role.isNotNull() & content.isNotNull()
+def _values(entries: Column, key: str) -> Column:
+    return F.filter(entries, lambda e: e["key"] == key)
 
 
-def _variant_message(value: Column) -> Column:
-    return message(
-        F.try_variant_get(value, "$.role", "string"),
-        F.try_variant_get(value, "$.content", "string"),
-    )
+def _has_message_keys(entries: Column) -> Column:
+    """Key presence: a key holding a JSON null is there."""
+    found = [F.size(_values(entries, key)) > 0 for key in ("role", "content")]
+    return F.coalesce(found[0] & found[1], F.lit(False))
+
+
+def _entries_message(entries: Column) -> Column:
+    """The last one of repeated keys counts; what is no text stands as it is written."""
+    return message(*(F.try_element_at(_values(entries, k), F.lit(-1))["value"] for k in ("role", "content")))
 
 
 def normalise_prompt(prompt: Column) -> Column:
@@ -72,23 +74,43 @@ def normalise_prompt(prompt: Column) -> Column:
     or anything else, which becomes the content of one user message.
     """
 
-    def normalise(value: Column) -> Column:
-        shape = F.schema_of_variant(value)
-        is_object = F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
-        is_list = F.coalesce(F.startswith(shape, F.lit("ARRAY")), F.lit(False))
-        items = F.try_variant_get(value, "$", "array<variant>")
-        good_list = F.forall(items, _has_message_keys)
+    # JSON is told from plain text by a full parse. That refuses repeated keys, though, so
+    # what it does not read may still be an object or a list. The brackets around it make
+    # anything that follows a first value visible.
+    shape = F.schema_of_variant(F.try_parse_json(prompt))
+    unread, wrapped = shape.isNull(), F.concat(F.lit("["), prompt, F.lit("]"))
+    values = F.try_parse_json(wrapped)
+
+    def only(kind: str, schema: str) -> Column:
+        parsed = F.when(_is(shape, kind) | unread, F.from_json(wrapped, f"array<{schema}>"))
+        return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+
+    def normalise(read: Column) -> Column:
+        entries = F.map_entries(read["object"])
+        is_object = entries.isNotNull()
+        is_list = read["items"].isNotNull() | (_is(shape, "ARRAY") & read["single"])
+        items = F.transform(read["items"], lambda item: F.map_entries(item))
+        good_list = F.coalesce(F.forall(items, _has_message_keys), F.lit(False))
         return (
             F.when(prompt.isNull(), _put_aside(NULL_PROMPT))
-            .when(is_object & ~_has_message_keys(value), _put_aside(BAD_OBJECT))
-            .when(is_object, _accepted(F.array(_variant_message(value))))
+            .when(is_object & ~_has_message_keys(entries), _put_aside(BAD_OBJECT))
+            .when(is_object, _accepted(F.array(_entries_message(entries))))
             .when(~is_list, _accepted(single_message("user", prompt)))
-            .when(F.size(items) == 0, _put_aside(EMPTY_LIST))
-            .when(good_list, _accepted(F.transform(items, _variant_message)))
+            .when(F.coalesce(F.size(items) == 0, F.lit(False)), _put_aside(EMPTY_LIST))
+            .when(good_list, _accepted(F.transform(items, _entries_message)))
             .otherwise(_put_aside(BAD_ITEM))
         )
 
-    return bind(F.try_parse_json(prompt), normalise)
+    read = F.struct(
+        only("OBJECT", "map<string, string>").alias("object"),
+        only("ARRAY", "array<map<string, string>>").alias("items"),
+        (values.isNotNull() & F.try_variant_get(values, "$[1]", "variant").isNull()).alias("single"),
+    )
+    return bind(read, normalise)
+
+
+def _is(shape: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(shape, F.lit(kind)), F.lit(False))
 
 
 def _accepted(messages: Column) -> Column:
