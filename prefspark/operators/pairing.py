@@ -5,7 +5,7 @@ a unique integer column ``ord`` and refuses to run without it.
 
 The sample comes in two modes. ``hash`` (the default) takes the negative with the smallest
 ``md5('seed|input|ord')``: a mergeable minimum, so a prompt may have any number of
-negatives. ``exact`` takes the row that a seeded numpy generator would, which depends on
+negatives, and new files can be merged into what was picked before. ``exact`` takes the row that a seeded numpy generator would, which depends on
 nothing but the number of negatives of the prompt.
 """
 
@@ -122,36 +122,45 @@ def sample_negative_exact(triples: DataFrame, seed: int = NEGATIVE_SEED) -> Data
     )
 
 
-def _picks_in_one_scan(triples: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(first positives, hash-sampled negatives) from a single scan and shuffle.
+def picks(triples: DataFrame, seed: int = NEGATIVE_SEED) -> DataFrame:
+    """``(input, slot, pick, is_negative)``: what each group of triples contributes to pairs.
 
-    Both picks are minima, so they share one aggregate: its key is (input, slot), where the
-    slot is the concept of a positive and null for the pool of negatives. ``is_negative``
-    is aggregated rather than grouped by, which keeps the two filters above the aggregate:
-    the two sides then have equal plans below it and Spark runs that part once.
+    A slot is a concept, whose pick is its first positive, or null for the pool of negatives,
+    whose pick is the one with the smallest hash. Both are minima, so they share one aggregate,
+    and ``merge_picks`` joins the picks of several tables to those of their union.
     """
     is_negative = F.col("category") == NEGATIVE
     usable = F.col("input").isNotNull() & (
         is_negative | ((F.col("category") == POSITIVE) & F.col("output_concept").isNotNull())
     )
     draw = F.when(is_negative, seeded_hash(seed, F.col("input"), F.col("ord")))
-    picks = (
-        _ordered(triples)
-        .where(usable)
-        .select(
-            "input",
-            F.when(~is_negative, F.col("output_concept")).alias("slot"),
-            is_negative.alias("is_negative"),
-            F.struct(draw.alias("hash"), "ord", "output").alias("candidate"),
-        )
-        .groupBy("input", "slot")
-        .agg(F.min("candidate").alias("pick"), F.max("is_negative").alias("is_negative"))
+    candidates = _ordered(triples).where(usable).select(
+        "input",
+        F.when(~is_negative, F.col("output_concept")).alias("slot"),
+        F.struct(draw.alias("hash"), "ord", "output").alias("pick"),
+        is_negative.alias("is_negative"),
     )
-    chosen = picks.where(~F.col("is_negative")).select(
+    return merge_picks(candidates)
+
+
+def merge_picks(parts: DataFrame) -> DataFrame:
+    """The picks of a union from the picks of its parts, each slot's least one."""
+    return parts.groupBy("input", "slot").agg(
+        F.min("pick").alias("pick"), F.max("is_negative").alias("is_negative")
+    )
+
+
+def pairs_of_picks(picked: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """The pairs that picks make up.
+
+    ``is_negative`` is aggregated rather than grouped by, which keeps the two filters above the
+    aggregate: the two sides then have equal plans below it and Spark runs that part once.
+    """
+    chosen = picked.where(~F.col("is_negative")).select(
         "input", F.col("slot").alias("output_concept"), F.col("pick.output").alias("chosen")
     )
-    rejected = picks.where("is_negative").select("input", F.col("pick.output").alias("rejected"))
-    return chosen, rejected
+    rejected = picked.where("is_negative").select("input", F.col("pick.output").alias("rejected"))
+    return _joined_pairs(chosen, rejected, min_len)
 
 
 def build_pairs(
@@ -168,11 +177,13 @@ def build_pairs(
     by adaptive execution.
     """
     if mode == "hash":
-        chosen, rejected = _picks_in_one_scan(triples, seed)
-    elif mode == "exact":
-        chosen, rejected = first_positive(triples), sample_negative_exact(triples, seed)
-    else:
-        raise ValueError(f"unknown sampling mode {mode!r}; choose hash or exact")
+        return pairs_of_picks(picks(triples, seed), min_len)
+    if mode == "exact":
+        return _joined_pairs(first_positive(triples), sample_negative_exact(triples, seed), min_len)
+    raise ValueError(f"unknown sampling mode {mode!r}; choose hash or exact")
+
+
+def _joined_pairs(chosen: DataFrame, rejected: DataFrame, min_len: int) -> DataFrame:
     pairs = chosen.join(rejected, "input").where(long_enough(min_len, "chosen", "rejected"))
     prompt = prompt_text(F.col("input"), F.col("output_concept"))
     pairs = pairs.select("input", "output_concept", prompt.alias("prompt"), "chosen", "rejected")

@@ -2,7 +2,8 @@
 
 Concepts are put in a seeded order, then cut by fractions. The ``hash`` order (the default)
 sorts them by ``md5('seed|concept')``; the ``exact`` order replays a seeded numpy
-permutation over the concepts as they first appear in sorted pairs.
+permutation over the concepts as they first appear in sorted pairs. Where tables grow,
+``extend_assignment`` keeps every concept where it is and deals only new ones.
 """
 
 from collections.abc import Iterator
@@ -125,6 +126,46 @@ def split_pairs(
     return pairs.withColumn("split", split)
 
 
+def extend_assignment(
+    assigned: DataFrame,
+    concepts: DataFrame,
+    seed: int = SPLIT_SEED,
+    train: float = TRAIN_FRACTION,
+    valid: float = VALID_FRACTION,
+) -> DataFrame:
+    """``(output_concept, split)`` of the concepts that ``assigned`` does not have yet.
+
+    No concept that is assigned moves. The new ones go, in their seeded order, to the splits
+    that lack concepts: first to train, then to valid, the rest to test, each as many as bring
+    it to its part of all concepts. With the same fractions from the start every split stays
+    within one concept of its part; without any assigned concept the result is that of
+    ``split_concepts``. Runs one small job, which counts the assigned concepts by split.
+    """
+    new = concepts.select("output_concept").where(F.col("output_concept").isNotNull()).distinct()
+    new = new.join(assigned.select("output_concept"), "output_concept", "left_anti")
+    have = {row["split"]: row["count"] for row in assigned.groupBy("split").count().collect()}
+    ranked = with_hash_rank(new, "output_concept", seed)
+    total = F.col("n") + sum(have.values())
+    n_train, n_valid = _cut_sizes(total, train, valid)
+    lack = [
+        wanted - F.lit(have.get(split, 0))
+        for split, wanted in zip(SPLITS, (n_train, n_valid, total - n_train - n_valid))
+    ]
+    # A part that is rounded down may shrink by one while the whole grows. What a split has
+    # beyond its part is then missing elsewhere.
+    beyond = sum(F.greatest(-x, F.lit(0)) for x in lack)
+    to_train = F.greatest(lack[0], F.lit(0))
+    less = F.least(beyond, to_train)
+    to_valid = F.greatest(lack[1], F.lit(0))
+    to_train, to_valid = to_train - less, to_valid - F.least(beyond - less, to_valid)
+    split = (
+        F.when(F.col("rank") < to_train, "train")
+        .when(F.col("rank") < to_train + to_valid, "valid")
+        .otherwise("test")
+    )
+    return ranked.select("output_concept", split.alias("split"))
+
+
 def split_stats(pairs: DataFrame) -> DataFrame:
     """Pairs and concepts per split, and in total (split ``all``)."""
     return (

@@ -4,11 +4,21 @@ from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefspark.operators.filters import union_parts
-from prefspark.schema import CONVERSATION, PAIR, PAIR_COLUMNS, REPORT, require_columns
+from prefspark.operators.ranking import sum_before
+from prefspark.schema import (
+    CONVERSATION,
+    PAIR,
+    PAIR_COLUMNS,
+    REPORT,
+    free_names,
+    require_columns,
+)
+from prefspark.sources.publishing import read_published
 
 # The suffixes that name a format.
 FORMAT_OF_SUFFIX = {".json": "json", ".jsonl": "json", ".csv": "csv", ".parquet": "parquet"}
@@ -32,13 +42,16 @@ def _one_slash(uri: str) -> str:
     return uri.replace(":///", ":/")
 
 
-def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def read_ordered(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str], first_file: int = 0
+) -> DataFrame:
     """The named columns of several Parquet tables as text, with ``source`` and a unique ``ord``.
 
     ``ord`` grows with the place of the path in the list, then with the file name inside a
-    path, then with the row in the file, however the files are split into tasks.
+    path, then with the row in the file, however the files are split into tasks. Files are
+    numbered from ``first_file``, for tables that continue others.
     """
-    parts, numbered_files = [], 0
+    parts, numbered_files = [], first_file
     for source, path in enumerate(paths):
         table = spark.read.parquet(path)
         files = sorted(_one_slash(name) for name in table.inputFiles())
@@ -62,6 +75,31 @@ def read_ordered(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
     return union_parts(parts)
 
 
+def read_positions(
+    spark: SparkSession, path: str, fmt: str = "parquet", position: str = "position"
+) -> DataFrame:
+    """A Parquet table with the 0-based place of each row: files by name, rows as they lie.
+
+    Rows are counted by file, and the counts before a file are added to the row's number in it:
+    no sort and no checkpoint, whatever the size of the table, and the same numbers however the
+    files are cut into tasks. What is summed in order has one row for each file.
+    """
+    if fmt != "parquet":
+        raise ValueError(f"rows have numbers in Parquet files only, not in {fmt}")
+    table = spark.read.parquet(path)
+    name, number, rows, before = free_names([*table.columns, position], "_file", "_row", "_rows", "_before")
+    placed = table.select(
+        "*",
+        F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias(name),
+        F.col("_metadata.row_index").alias(number),
+    )
+    counts = placed.groupBy(name).agg(F.count(F.lit(1)).alias(rows))
+    starts = counts.select(name, sum_before(W.orderBy(name), rows).alias(before))
+    return placed.join(starts, name).select(
+        (F.col(before) + F.col(number)).alias(position), *table.columns
+    )
+
+
 def _read_json(spark, path, schema, multi_line):
     """JSON lines, or with ``multi_line`` files that hold one document or list each."""
     reader = spark.read.option("mode", "FAILFAST").option("multiLine", bool(multi_line))
@@ -128,11 +166,16 @@ def read_any(
 
 
 def load_split(spark: SparkSession, data: Mapping, split: str) -> DataFrame | None:
-    """A split as configured: ``{split}_path`` first, else the rows of table ``dataset_name``
-    whose ``split`` is ``{split}_split``; None when neither is set."""
+    """A split as configured: ``{split}_path`` first, else ``{split}_split`` of what is published
+    below ``published_path`` (its newest ``version`` unless one is set), else the rows of table
+    ``dataset_name`` whose ``split`` is ``{split}_split``; None when none is set."""
     path, name, wanted = (
         data.get(f"{split}_path"), data.get("dataset_name"), data.get(f"{split}_split")
     )
+    if not path and wanted and data.get("published_path"):
+        return read_published(
+            spark, data["published_path"], wanted, pair_schema(data.get("columns")), data.get("version")
+        )
     if path:
         fmt = format_of(path, data.get("format"))
         # A Parquet file knows its columns; a declared schema would hide that one is missing.

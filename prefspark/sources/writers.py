@@ -1,11 +1,17 @@
 """Writers: pair records per split, dataset exports, metric logs, reports."""
 
-from pyspark.sql import DataFrame, Observation
+import json
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefspark.operators.metrics import log_records
 from prefspark.operators.splits import SPLITS
-from prefspark.shared_storage import path_exists
+from prefspark.schema import METRIC_RECORD
+from prefspark.shared_storage import names_in, path_exists, write_text_once
 
 
 def write_splits(records: DataFrame, path: str) -> dict[str, int]:
@@ -62,6 +68,44 @@ def append_metrics(records: DataFrame, path: str, experiment: str) -> None:
     log_records(records, experiment).write.mode("append").json(path)
 
 
+def append_metrics_once(records: DataFrame, path: str, experiment: str, batch: str) -> bool:
+    """Add a batch of records to a log of batches, once: False if the log has it already.
+
+    A batch is a folder and counts from the moment its commit record exists. What a failed
+    attempt left is replaced by the next one, and ``read_metrics`` does not see it.
+    """
+    spark = records.sparkSession
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"a batch is named by letters, digits, '_', '.' and '-', not {batch!r}")
+    if path_exists(spark, _commit_record(path, batch)):
+        return False
+    count = Observation()
+    counted = log_records(records, experiment).observe(count, F.count(F.lit(1)).alias("n_rows"))
+    counted.write.mode("overwrite").json(_batch_folder(path, batch))
+    return write_text_once(spark, _commit_record(path, batch), json.dumps(dict(count.get)))
+
+
+def read_metrics(spark: SparkSession, path: str, batches: Sequence[str] | None = None) -> DataFrame:
+    """The records of all committed batches of a log, or of those named, with their ``batch``."""
+    committed = sorted(n.removesuffix(".json") for n in names_in(spark, f"{path}/commits") if n.endswith(".json"))
+    missing = sorted(set(batches or ()) - set(committed))
+    if missing:
+        raise ValueError(f"{path} has no committed batches {missing}")
+    folders = [_batch_folder(path, b) for b in committed if batches is None or b in batches]
+    if not folders:
+        return spark.createDataFrame([], METRIC_RECORD).withColumn("batch", F.lit(None).cast("string"))
+    schema = T.StructType([*METRIC_RECORD.fields, T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).option("basePath", f"{path}/batches").json(folders)
+
+
+def _batch_folder(path: str, batch: str) -> str:
+    return f"{path}/batches/batch={batch}"
+
+
+def _commit_record(path: str, batch: str) -> str:
+    return f"{path}/commits/{batch}.json"
+
+
 def write_report(metrics: DataFrame, samples: DataFrame, path: str) -> None:
     """Reports as two datasets below ``path``, one folder per ``step`` in each.
 
