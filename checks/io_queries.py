@@ -27,25 +27,38 @@ def pairs_jsonl_roundtrip(spark, sf):
     return flat_records(readers.read_any(spark, path, "json", schema), "split")
 
 
-# The triples as they are read back from files of FILE_ROWS rows each.
-FILE_ROWS = 4000
-FILED_TRIPLES = f"""(
-  SELECT * REPLACE ((ord // {FILE_ROWS}) * 1099511627776 + ord % {FILE_ROWS} AS ord)
-  FROM {fx.TRIPLES} r)"""
+# The triples are written to as many folders, each a range of their order in a file.
+FOLDERS = 8
+
+
+def filed_triples_sql():
+    """The triples as they are read back from the folders, with their new ``ord``."""
+    return f"""(
+      SELECT * EXCLUDE (ord, n), (ord // n) * 1099511627776 + ord % n AS ord
+      FROM (SELECT r.*, (SELECT max(event_id) // {FOLDERS} + 1 FROM events) AS n
+            FROM {fx.TRIPLES} r))"""
+
+
+FILED_TRIPLES = filed_triples_sql()
 FILED_TEXT_TRIPLES = TEXT_TRIPLES.replace(fx.TRIPLES, FILED_TRIPLES)
 
 
+def write_filed_triples(spark, sf):
+    """Triples in order, in one write to a fixed number of folders; returns the folders."""
+    triples, path = fx.triples(spark, sf), new_table_path(spark, "triples")
+    rows = triples.agg(F.max("ord")).first()[0] // FOLDERS + 1
+    placed = triples.withColumn("folder", F.expr(f"ord div {rows}"))
+    placed = placed.repartition(FOLDERS, "folder").sortWithinPartitions("folder", "ord")
+    placed.drop("ord").write.partitionBy("folder").parquet(path)
+    return [f"{path}/folder={i}" for i in range(FOLDERS)]
+
+
 def _prepared(spark, sf, filtered):
     """The whole flow from files to files: triples written in order, prepared, read back."""
-    triples, path = fx.triples(spark, sf), new_table_path(spark, "prepare")
-    files = triples.agg(F.max("ord")).first()[0] // FILE_ROWS + 1
-    paths = [f"{path}/triples-{i:05d}" for i in range(files)]
-    for i, target in enumerate(paths):
-        part = triples.where((F.col("ord") >= i * FILE_ROWS) & (F.col("ord") < (i + 1) * FILE_ROWS))
-        part.coalesce(1).sortWithinPartitions("ord").drop("ord").write.parquet(target)
-    flows.prepare(spark, paths, f"{path}/out", filtered, ordered=True)
+    path = new_table_path(spark, "prepare")
+    flows.prepare(spark, write_filed_triples(spark, sf), path, filtered, ordered=True)
     schema = T.StructType([*PAIR.fields, T.StructField("split", T.StringType())])
-    return flat_records(readers.read_any(spark, f"{path}/out", "json", schema), "split")
+    return flat_records(readers.read_any(spark, path, "json", schema), "split")
 
 
 @query(flat_records_sql(split_pairs_sql(pairs_sql(FILED_TEXT_TRIPLES)), "split, "))

@@ -1,6 +1,6 @@
 """Scores over generated texts."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,21 @@ def zip_samples(
     return prompts.join(rendered, key).join(outputs, key)
 
 
+def zip_positions(tables: Sequence[DataFrame], position: str = "position") -> DataFrame:
+    """Tables side by side by the ``position`` of their rows, cut to the shortest one.
+
+    For tables without a key, as ``readers.read_positions`` numbers them. No two of them may
+    have a column of the same name.
+    """
+    names = [name for table in tables for name in table.columns if name != position]
+    if len(set(names)) < len(names):
+        raise ValueError(f"tables have columns of the same name: {names}")
+    joined = tables[0]
+    for table in tables[1:]:
+        joined = joined.join(table, position)
+    return joined
+
+
 def report(scores: DataFrame, checkpoint: str, loaded_model: str) -> DataFrame:
     """The metrics row of a report: where the texts came from and a map of the scores."""
     pairs = []

@@ -16,7 +16,7 @@ from prefspark.operators.preference import pair_records, reverse_preference
 from prefspark.operators.quality import CANONICAL, enforce_pairs
 from prefspark.operators.sampling import limit_sample
 from prefspark.operators.splits import split_pairs
-from prefspark.schema import FILTERED_TRIPLE_COLUMNS, TRIPLE_COLUMNS
+from prefspark.schema import FILTERED_TRIPLE_COLUMNS, TRIPLE_COLUMNS, free_names
 from prefspark.shared_storage import staged
 from prefspark.sources.readers import load_split, read_ordered
 from prefspark.sources.writers import write_report, write_splits
@@ -115,10 +115,11 @@ def steered_prompts(
     user = steered_prompt_text(F.col("question"), F.col("direction"), F.col("reverse"))
     messages = build_messages(user, system, supports_system_role(F.col("model")))
     rendering = chat.render_for_model(messages, F.col("model"), thinking, date_string)
-    rendered = requests.withColumn("_rendering", rendering)
+    (both,) = free_names([*requests.columns, "rendered", "error"], "_rendering")
+    rendered = requests.withColumn(both, rendering)
     return rendered.withColumns(
-        {"rendered": F.col("_rendering.text"), "error": F.col("_rendering.error")}
-    ).drop("_rendering")
+        {"rendered": F.col(f"{both}.text"), "error": F.col(f"{both}.error")}
+    ).drop(both)
 
 
 def score_run(
