@@ -11,6 +11,7 @@ code wins.
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from pyspark.sql.types import StructType
 
 from prefspark.llm.common import slices
 
-# Bounds of the sample that a model is fitted on: about so many documents of a language,
-# none longer than so many bytes. Scoring has no such bounds.
+# Bounds of the sample that a model is fitted on: about so many documents of a language, and
+# so many bytes of each, which of longer ones are a stretch. Scoring has no such bounds.
 SAMPLE_DOCS = 400
 SAMPLE_DOC_BYTES = 65_536
 
@@ -176,28 +177,37 @@ def fit(docs, sample_docs=SAMPLE_DOCS, sample_doc_bytes=SAMPLE_DOC_BYTES):
     """A model of the languages that ``docs`` (doc_id, text, lang) name.
 
     Rows without a text, a letter or a language teach nothing. The sample of a language is
-    those rows whose hashed doc_id falls below ``sample_docs`` / its rows; what is counted,
-    collected and broadcast is bounded by the sample.
+    those rows whose hashed doc_id falls below ``sample_docs`` / its rows. Of a text of more
+    than ``sample_doc_bytes`` a stretch is taken that the doc_id chooses, so that languages of
+    long texts are learned like any other. What is counted, collected and broadcast is bounded
+    by the sample.
     """
-    labelled = docs.where(
-        F.col("lang").isNotNull()
-        & F.col("text").rlike(r"\p{L}")
-        & (F.octet_length("text") <= sample_doc_bytes)
-    ).select("doc_id", "lang", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     rows = {r["lang"]: r["n"] for r in counts.collect()}
     if not rows:
         return Model([])
     share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, sample_docs / n)))
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.where(uniform < share[F.col("lang")]).select("lang", "text")
+    # A character has four bytes at most.
+    chars = max(1, sample_doc_bytes // 4)
+    start = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
+    stretch = F.substring(F.col("text"), start.cast("int"), F.lit(chars))
+    text = F.when(F.octet_length("text") <= sample_doc_bytes, F.col("text")).otherwise(stretch)
+    sample = labelled.where(uniform < share[F.col("lang")]).select("lang", text.alias("text"))
+    languages = sorted(rows)
+    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
     counted = (
         sample.mapInArrow(_count_grams, "lang string, context_bytes int, gram long, n long")
-        .groupBy("lang", "context_bytes", "gram")
+        .groupBy(number.cast("int").alias("lang"), "context_bytes", "gram")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
-    return compile_model(counted.astype({"lang": "category"}))
+    # Numbers for the languages, not a text in each row: the driver holds all rows at once.
+    columns = {c: counted.column(c).to_numpy() for c in ("context_bytes", "gram", "n")}
+    codes = counted.column("lang").to_numpy()
+    return compile_model(pd.DataFrame({"lang": pd.Categorical.from_codes(codes, languages), **columns}))
 
 
 def compile_model(counted):

@@ -102,3 +102,29 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     found = op1_language_id(spark, sf_dir).join(docs, "doc_id").where("held_out").toPandas()
     assert len(found) > 150 and (found["lang_pred"] == found["lang"]).mean() > 0.98
+
+
+def test_languages_of_long_texts_only_are_learned(spark, docs):
+    english = "the quick brown fox jumps over the lazy dog and runs away from here "
+    slovene = "hitra rjava lisica preskoči lenega psa in zbeži čez travnik proti gozdu "
+    rows = [(i, english + str(i), "en") for i in range(20)]
+    rows += [(100 + i, slovene * 1200 + str(i), "sl") for i in range(20)]
+    model = L.fit(docs(rows))
+    assert model.languages == ["en", "sl"]
+    asked = docs([(1, "lenega psa in travnik čez gozd"), (2, "the lazy dog jumps away")])
+    assert [r["lang_pred"] for r in L.identify(asked, model).orderBy("doc_id").collect()] == ["sl", "en"]
+
+
+def test_counts_of_a_batch_equal_plain_counts():
+    import pyarrow as pa
+
+    texts = {"aa": ["banana", "an é", "x"], "zz": ["zigzag", "größe" * 9]}
+    rows = [(lang, t) for lang, own in texts.items() for t in own]
+    rows = rows[::2] + rows[1::2]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    found = Counter()
+    for part in L._count_grams([batch]):
+        for row in part.to_pylist():
+            found[row["lang"], row["context_bytes"], row["gram"]] += row["n"]
+    expected = counted({lang: [t.encode() for t in own] for lang, own in texts.items()})
+    assert found == {(r.lang, r.context_bytes, r.gram): r.n for r in expected.itertuples()}
