@@ -26,6 +26,17 @@ def words_of(text):
     return WORD.findall(text) if text else []
 
 
+def set_aside(docs, *used):
+    """``docs`` with the columns that are not ``used`` under names that no operator has, and
+    what turns such a table into one with the columns of ``docs`` again."""
+    names = {c: f"other column {i}" for i, c in enumerate(docs.columns) if c not in used}
+
+    def whole(table):
+        return table.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+    return docs.withColumnsRenamed(names), whole
+
+
 def let(value, body):
     """Column ``body(value)`` in which ``value`` is computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import WORD, slices, staged
+from prefspark.llm.common import WORD, set_aside, slices, staged
 
 WINDOW = 50
 ANCHOR_WORDS = 12
@@ -50,8 +50,8 @@ _LAST_ID = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
 _PROFILE = (
-    "id long, text_key long, n_words long, words1 long, words2 long, kept_sha256 string, "
-    "anchors array<long>"
+    "id long, missing boolean, text_key long, n_words long, words1 long, words2 long, "
+    "kept_sha256 string, anchors array<long>"
 )
 _RESULT = "id long, text_key long, n_removed long, kept_sha256 string, text string"
 _UNKNOWN = "\x01"
@@ -110,10 +110,10 @@ _LONG, _LONGS = pa.int64(), pa.list_(pa.int64())
 
 def _profile(batches):
     kinds = {f.split()[0]: _LONG for f in _PROFILE.split(", ")}
-    kinds |= {"kept_sha256": pa.string(), "anchors": _LONGS}
+    kinds |= {"missing": pa.bool_(), "kept_sha256": pa.string(), "anchors": _LONGS}
     for part in slices(batches, "text"):
         columns = part.to_pydict()
-        out = {name: [] for name in kinds} | {k: columns[k] for k in ("id", "text_key")}
+        out = {name: [] for name in kinds} | {k: columns[k] for k in ("id", "missing", "text_key")}
         for text in columns["text"]:
             words = words_of(text)
             joined = b" ".join(words)
@@ -332,7 +332,8 @@ def _clean(with_text):
 def _keyed(docs):
     """Columns that tell texts apart by doc_id and content; a null doc_id comes last."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id")
-    return docs.select(number, F.xxhash64("text").alias("text_key"), "text")
+    missing = F.col("doc_id").isNull().alias("missing")
+    return docs.select(number, missing, F.xxhash64("text").alias("text_key"), "text")
 
 
 def _changes(docs, with_text):
@@ -391,15 +392,16 @@ def repeated_words(docs):
     """What removal does to each of ``docs`` (doc_id, text): doc_id, n_words, n_removed and
     kept_sha256, the SHA-256 of the words left, joined by single spaces.
 
-    A null text has no words. A null doc_id counts as larger than any other. Rows with the
-    same doc_id remove nothing from one another; equal rows have equal results. Documents of
+    A null text has no words. A null doc_id counts as the largest one there is. Rows with the
+    same doc_id remove nothing from one another; equal rows have equal results. Whole texts
+    whose words recur are told by a 128-bit hash of the words, passages by their words. Documents of
     fewer than WINDOW words lose nothing; other columns are not read; an empty table gives no
     rows.
     """
     profiles, changed = _changes(docs, with_text=False)
     new = changed.select("id", "text_key", "n_removed", F.col("kept_sha256").alias("_new"))
     return profiles.join(new, ["id", "text_key"], "left").select(
-        F.when(F.col("id") != _LAST_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("missing"), F.col("id")).alias("doc_id"),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_new", "kept_sha256").alias("kept_sha256"),
@@ -409,16 +411,13 @@ def repeated_words(docs):
 def without_repeats(docs):
     """``docs`` with repeated passages cut from their texts, and ``n_chars``, where there is
     one, set to the new length. All documents stay, if without a word; others are unchanged."""
+    docs, whole = set_aside(docs, "doc_id", "text", "n_chars")
     _, changed = _changes(docs, with_text=True)
-    names = docs.columns
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)), "_key": F.xxhash64("text")}
-    )
-    new = changed.select(
-        F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("text").alias("_text")
-    )
-    joined = keyed.join(new, ["_id", "_key"], "left")
-    if "n_chars" in names:
-        length = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID))
+    keyed = docs.withColumns({"id": number, "text_key": F.xxhash64("text")})
+    new = changed.select("id", "text_key", F.col("text").alias("new_text"))
+    joined = keyed.join(new, ["id", "text_key"], "left")
+    if "n_chars" in docs.columns:
+        length = F.length("new_text").cast(docs.schema["n_chars"].dataType)
         joined = joined.withColumn("n_chars", F.coalesce(length, "n_chars"))
-    return joined.withColumn("text", F.coalesce("_text", "text")).select(*names)
+    return whole(joined.withColumn("text", F.coalesce("new_text", "text")))

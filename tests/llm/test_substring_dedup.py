@@ -149,3 +149,17 @@ def test_a_passage_with_more_words_than_letters(monkeypatch):
     columns = zip(("block", "role", "id", "text_key", "text"), map(list, zip(*rows)))
     found = [r for b in S._clean(True)([S.pa.RecordBatch.from_pydict(dict(columns))]) for r in b.to_pylist()]
     assert [(r["id"], r["n_removed"], r["text"]) for r in found] == [(2, 2000, "head tail")]
+
+
+def test_largest_id_and_clashing_columns(spark, docs):
+    words = " ".join(f"w{i}" for i in range(70))
+    last = (1 << 63) - 1
+    table = docs([(5, words), (last, words + " x"), (None, words + " y")])
+    found = {r["doc_id"]: r["n_removed"] for r in S.repeated_words(table).collect()}
+    assert found == {5: 0, last: 70, None: 70}
+    named = table.selectExpr("*", "doc_id as _id", "doc_id as _text", "doc_id as id", "doc_id as text_key")
+    cut = S.without_repeats(named)
+    assert cut.columns == named.columns
+    assert {r["doc_id"]: (r["text"], r["_id"], r["_text"], r["id"], r["text_key"]) for r in cut.collect()} == {
+        5: (words, 5, 5, 5, 5), last: ("x", last, last, last, last), None: ("y", None, None, None, None)
+    }
