@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import SPACES, let, split_words, staged
 
 # A line is removed from a host's documents when more than this many of them hold it, and
-# more than this share of them.
+# more than this share of them. A share above 0 spares what large hosts hold more often.
 MAX_DOCS = 20
-MAX_SHARE = 0.001
+MAX_SHARE = 0.0
 # A document is depleted when fewer than this percentage of its words are left.
 MIN_PERCENT_LEFT = 30
 
@@ -107,8 +107,11 @@ def frequent_lines(profiled, max_docs, max_share):
     """(_host, line) of the lines that more documents of the host hold than its limit allows."""
     once = profiled.select("_host", F.explode(F.array_distinct("_lines.line")).alias("line"))
     counts = once.groupBy("_host", "line").agg(F.count("*").alias("_docs"))
+    often = counts.where(F.col("_docs") > max_docs)
+    if not max_share:
+        return often.select("_host", "line")
     hosts = profiled.groupBy("_host").agg(F.count("*").alias("_all"))
-    often = counts.where(F.col("_docs") > max_docs).join(hosts, "_host")
+    often = often.join(hosts, "_host")
     return often.where(F.col("_docs") > max_share * F.col("_all")).select("_host", "line")
 
 
