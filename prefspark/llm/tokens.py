@@ -24,6 +24,30 @@ def _bytes_of_letters():
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _require_byte_level(content, path):
+    """Refuses files that this encoder would read wrongly."""
+    model, before = content["model"], content.get("pre_tokenizer") or {}
+    fit = {
+        "a BPE model": model.get("type") in ("BPE", None) and "merges" in model,
+        "no normaliser": content.get("normalizer") is None,
+        "a byte-level split": before.get("type") == "ByteLevel" and before.get("use_regex", True),
+        "no space in front": not before.get("add_prefix_space", False),
+        "no unknown token, dropout, prefix, suffix or byte fallback": not any(
+            model.get(k)
+            for k in ("unk_token", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        ),
+    }
+    wrong = [what for what, holds in fit.items() if not holds]
+    if wrong:
+        raise ValueError(f"{path} is no byte-level BPE file of the kind read here; it lacks {wrong}")
+    # Ranks are taken from the ids, so merges have to come in the order of what they make.
+    vocabulary = model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [vocabulary["".join(pair)] for pair in pairs]
+    if made != sorted(made):
+        raise ValueError(f"{path} has merges in another order than the ids of what they make")
+
+
 class ByteBpe:
     """Encodes texts, remembering the ids of chunks between single spaces.
 
@@ -36,6 +60,7 @@ class ByteBpe:
     def __init__(self, path):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        _require_byte_level(content, path)
         letters = _bytes_of_letters()
         special = {t["content"] for t in content["added_tokens"]}
         ranks = {

@@ -124,3 +124,26 @@ def test_sequences_hold_the_ids(docs, library):
 
 def test_no_documents(docs):
     assert packing.pack_documents(docs([]), PATH).count() == 0
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from prefspark.llm.tokens import ByteBpe
+
+    with pytest.raises(ValueError, match="no byte-level BPE file"):
+        ByteBpe(public_tokenizers.path("word_bpe_49k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        content = json.load(file)
+    for change in (
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+        {"model": {**content["model"], "byte_fallback": True}},
+        {"model": {**content["model"], "merges": content["model"]["merges"][::-1]}},
+    ):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**content, **change}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            ByteBpe(str(path))
