@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+import zlib
 
 import corpus_pipeline as P
 
@@ -36,6 +37,54 @@ def test_stages_on_no_documents(spark):
         assert stage(spark, docs, SF_DIR).count() == 0
 
 
+CLASHES = (
+    "lang_pred", "score", "bits_per_byte", "_row", "_text", "_words", "_part", "_parts", "_time", "_id", "_key",
+    "row", "id", "text_key", "missing", "component_id", "first", "new_text", "other column 0", "_ROW",
+)
+
+
+def test_stages_keep_rows_apart_and_other_columns(spark, docs):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, words, "en", "a"), (1, words, "en", "a"), (2, words + " more", "en", "a"), (None, words, "en", None),
+        (3, "another text of its own kind", "en", "b"), (3, "a different text, under the same id", "en", "b"),
+        (None, "a text without an id", None, "b"), (None, "a text without an id", None, "b"),
+        (4, None, "en", "a"), (5, "", "en", "a"), (6, "12 34 --", "en", "a"), (9, "long " * 40_000, "en", "b"),
+    ]
+    table = docs(rows)
+    # Two of the names differ only in their case, which a file can't hold.
+    table = table.selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in CLASHES[:-1]))
+    kept = []
+    for name, stage in P.STAGES[:-1]:
+        table = stage(spark, table, SF_DIR)
+        assert table.columns == [*docs(rows).columns, *CLASHES[:-1]], name
+        path = P.new_table_path(spark, "clash")
+        table.write.parquet(path)
+        table = spark.read.parquet(path)
+        found = table.collect()
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in found for c in CLASHES[:-1])
+        kept.append(sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in found))
+    identified, single = kept[0], kept[1]
+    assert len(identified) == 9 and {r["lang"] for r in found} == {"en"}
+    expected = [(0, "a text wi"), (1, "word0 wor"), (3, "a differe"), (3, "another t"), (9, "long long")]
+    assert single == expected
+    assert P.STAGES[-1][1](spark, table, SF_DIR).count() > 0
+
+
+def test_noise_has_no_language(spark, docs):
+    import random
+
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    noise = "".join(rng.choice(letters) for _ in range(500))
+    rows = [(i, f"plain words that are said again and again, number {i}", "en") for i in range(40)]
+    # Ids whose rows are not learned from.
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    rows += list(zip(held, (noise, "plain words again", "Ω."), ("en", "fr", "en")))
+    found = {r["doc_id"]: r["lang"] for r in P.identify_languages(spark, docs(rows), SF_DIR).collect()}
+    assert found == {**dict.fromkeys(range(40), "en"), held[1]: "en", held[2]: "en"}
+
+
 def test_entry_points_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "copy"
     skip = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__")
