@@ -11,7 +11,7 @@ any comes again. Slots and blocks are joined by the index of the block.
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prefspark.llm.common import split_words, staged
+from prefspark.llm.common import set_aside, split_words, staged
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -70,7 +70,7 @@ def _numbered(df, keys, bucket, order):
     earlier = _before("_rows", W.partitionBy(*keys).orderBy(bucket))
     bases = counts.select(*keys, bucket, earlier.alias("_base"))
     inside = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order)) - 1
-    joined = df.withColumn("_inside", inside).join(bases, [*keys, bucket])
+    joined = df.withColumn("_inside", inside).join(bases.hint("merge"), [*keys, bucket])
     return joined.withColumn("_nth", F.col("_base") + F.col("_inside")).drop("_base", "_inside")
 
 
@@ -198,7 +198,8 @@ def block_parts(documents, goal, block_words):
         "_sid", "_bucket", _before("_words", W.partitionBy("_sid").orderBy("_bucket")).alias("_base")
     )
     order = W.partitionBy("_sid", "_bucket").orderBy("_hash", "doc_id", "_row")
-    own = own.withColumn("_inside", _before("size", order)).join(bases, ["_sid", "_bucket"])
+    # Sorted by source and bucket already: no side of the documents' size is broadcast.
+    own = own.withColumn("_inside", _before("size", order)).join(bases.hint("merge"), ["_sid", "_bucket"])
     start = F.col("_base") + F.col("_inside")
     first, last = F.expr(f"_start div {block_words}"), F.expr(f"(_start + size - 1) div {block_words}")
     own = own.select("_row", "_sid", "size", start.alias("_start"))
@@ -240,7 +241,7 @@ def taken_words(docs, source="source", **options):
     documents, goal, taken = mix(numbered(docs), source, **options)
     sums = taken.groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
     own = goal.select("_source", "source_size", "target")
-    return documents.join(own, "_source").join(sums, "_row", "left").select(
+    return documents.join(own, "_source").join(sums.hint("merge"), "_row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken")
     )
 
@@ -250,16 +251,19 @@ def mixed_documents(docs, source="source", **options):
     that is taken, as often as it is. Whole documents keep their text; of others the words
     are joined by single spaces, and ``n_chars`` is set to the length where there is one.
     """
+    docs, whole = set_aside(docs, "doc_id", "text", "n_chars", source)
     rows = staged(numbered(docs), "mix-texts")
     _, _, taken = mix(rows, source, **options)
     parts = taken.groupBy("_row").agg(F.collect_list(F.struct("low", "words", "times")).alias("_parts"))
-    split = rows.join(parts, "_row").withColumn("_words", split_words(F.col("text")))
+    split = rows.join(parts.hint("merge"), "_row").withColumn("_words", split_words(F.col("text")))
     split = split.withColumn("_part", F.explode("_parts"))
     joined = F.array_join(F.slice("_words", F.col("_part.low") + 1, F.col("_part.words")), " ")
     text = F.when(F.col("_part.words") == F.size("_words"), F.col("text")).otherwise(joined)
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_part.times")))
-    out = split.select("*", text.alias("_text")).select(*docs.columns, "_text", again.alias("_time"))
+    out = split.select("*", text.alias("_text")).select(
+        *(F.col(f"`{c}`") for c in docs.columns), "_text", again.alias("_time")
+    )
     out = out.withColumn("text", F.col("_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return whole(out)
