@@ -280,6 +280,26 @@ def permuted_order(spark, sf):
     return events.select("event_id", permuted(F.col("event_id"), events.count()).alias("place"))
 
 
+APPEARANCE = f"""(
+  SELECT output_concept, row_number() OVER (ORDER BY first_input, output_concept) - 1 AS appearance,
+         count(*) OVER () AS n
+  FROM (SELECT output_concept, min(input) AS first_input FROM {PAIRS} p GROUP BY 1))"""
+
+
+@query(f"""
+  WITH RECURSIVE size AS (
+    SELECT *, ceil(sqrt(n))::BIGINT AS aa, ceil(n / ceil(sqrt(n)))::BIGINT AS bb FROM {APPEARANCE} a
+  ), walk AS (
+    SELECT output_concept, {permuted_sql("appearance", "n")} AS rank, n, aa, bb FROM size
+    UNION ALL
+    SELECT output_concept, {permuted_sql("rank", "n")}, n, aa, bb FROM walk WHERE rank >= n
+  )
+  SELECT output_concept, rank, n FROM walk WHERE rank < n""")
+def concept_rank_permuted(spark, sf):
+    """The seeded order of concepts by a permutation of their places, not held in one task."""
+    return splits.concept_rank(pairing.build_pairs(fx.triples(spark, sf)), "permuted")
+
+
 @query("""
   SELECT d.position, d.text, e.label, l.toxic
   FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) d

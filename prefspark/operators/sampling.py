@@ -12,6 +12,9 @@ from prefspark.schema import free_names
 # The number of rows a prefix check looks at.
 PREFIX_ROWS = 20
 
+# Rows of a bucket whose hashes go to the driver.
+FEW_ROWS = 10_000
+
 
 def limit_sample(
     df: DataFrame, count: int | None, seed: int = 42, ids: Sequence[str] = ()
@@ -25,8 +28,10 @@ def limit_sample(
     of any shuffling library.
 
     There is one way for every count. Two small jobs find the hash of the last row, from the
-    sizes of 65,536 buckets and of one bucket's hashes; the result compares rows with it where
-    they are read, and only rows that share it, but are not all wanted, are looked at again.
+    sizes of 65,536 buckets and from the hashes of one bucket; the result compares rows with it
+    where they are read, and only rows that share it, but are not all wanted, are looked at
+    again. The driver sees the sizes, and the hashes of a bucket of at most FEW_ROWS rows; those
+    of a larger one are counted and put in order by Spark.
     """
     if count is None or count <= 0:
         return df
@@ -57,19 +62,28 @@ def _coded(column: str) -> Column:
 def _border(keyed: DataFrame, column: str, target: int) -> tuple[str, int, int] | None:
     """Hash of the ``target``-th row, how many rows with it are wanted, and how many there are.
 
-    None when there are no more than ``target`` rows. Equal hashes are counted before they
+    None when there are fewer than ``target`` rows. Equal hashes are counted before they
     are shuffled, so repeated rows do not crowd a bucket.
     """
-    bucket = hash_bucket(F.col(column))
-    found = _reached(keyed.groupBy(bucket.alias("_place")), target)
-    if found is None:
+    bucket, before = hash_bucket(F.col(column)), 0
+    sizes = keyed.groupBy(bucket.alias("place")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sizes = sizes.sort_by("place").to_pydict()
+    for place, rows in zip(sizes["place"], sizes["n"]):
+        if before + rows >= target:
+            break
+        before += rows
+    else:
         return None
-    inside = keyed.where(bucket == found["_place"]).groupBy(F.col(column).alias("_place"))
-    last = _reached(inside, target - found["_before"])
-    return last["_place"], target - found["_before"] - last["_before"], last["_rows"]
+    inside = keyed.where(bucket == place)
+    if rows <= FEW_ROWS:
+        hashes = sorted(inside.select(column).toArrow().column(0).to_pylist())
+        last = hashes[target - before - 1]
+        return last, target - before - hashes.index(last), hashes.count(last)
+    found = _reached(inside.groupBy(F.col(column).alias("_place")), target - before)
+    return found["_place"], target - before - found["_before"], found["_rows"]
 
 
-def _reached(places: GroupedData, target: int) -> Row | None:
+def _reached(places: GroupedData, target: int) -> Row:
     """The place in which the ``target``-th row lies, with its rows and those before it."""
     counts = places.agg(F.count(F.lit(1)).alias("_rows"))
     placed = counts.withColumn("_before", sum_before(W.orderBy("_place"), "_rows"))
@@ -80,7 +94,8 @@ def _reached(places: GroupedData, target: int) -> Row | None:
 def _repeated(equal: DataFrame, times: int) -> DataFrame:
     """``times`` copies of the one row that all rows of ``equal`` are."""
     one = equal.agg(F.first(F.struct(*equal.columns)).alias("_one"))
-    copies = equal.sparkSession.range(times).select(one.scalar().alias("_one"))
+    # Exploded, since a plain column would be looked up anew for each of its fields.
+    copies = equal.sparkSession.range(times).select(F.explode(F.array(one.scalar())).alias("_one"))
     return copies.select("_one.*")
 
 

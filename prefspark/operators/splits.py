@@ -1,8 +1,9 @@
 """Splits by concept: every concept, with all of its pairs, lies in exactly one split.
 
 Concepts are put in a seeded order, then cut by fractions. The ``hash`` order (the default)
-sorts them by ``md5('seed|concept')``; the ``exact`` order replays a seeded numpy
-permutation over the concepts as they first appear in sorted pairs. Where tables grow,
+sorts them by ``md5('seed|concept')``. The other two permute the concepts as they first appear
+in sorted pairs: ``permuted`` by an expression that maps each place on its own, ``exact`` by a
+seeded numpy permutation, which one task holds. Where tables grow,
 ``extend_assignment`` keeps every concept where it is and deals only new ones.
 """
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.functions.permutation import permuted
 from prefspark.operators.ranking import seeded_hash, with_hash_rank, with_sorted_ordinal
 
 # Fixed values of the split.
@@ -32,9 +34,15 @@ def concept_rank(pairs: DataFrame, mode: str = "hash", seed: int = SPLIT_SEED) -
         concepts = pairs.select("output_concept").distinct()
         ranked = with_hash_rank(concepts, "output_concept", seed)
         return ranked.select("output_concept", "rank", "n")
+    if mode == "permuted":
+        order = ["first_input", "output_concept"]
+        appearing = with_sorted_ordinal(distinct_concepts(pairs), order, "appearance")
+        n = appearing.count()
+        rank = permuted(F.col("appearance"), n, seed)
+        return appearing.select("output_concept", rank.alias("rank"), F.lit(n).cast("long").alias("n"))
     if mode == "exact":
         return _permuted_rank(distinct_concepts(pairs), seed)
-    raise ValueError(f"unknown split mode {mode!r}; choose hash or exact")
+    raise ValueError(f"unknown split mode {mode!r}; choose hash, permuted or exact")
 
 
 def permutation(sizes: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:

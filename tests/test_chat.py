@@ -202,3 +202,36 @@ def test_steered_prompts_need_no_shuffle(spark):
         + f"<|start_header_id|>user<|end_header_id|>\n\n{steering}<|eot_id|>"
         + "<|start_header_id|>assistant<|end_header_id|>\n\n",
     ]
+
+
+def test_reasoning_beside_the_content(spark):
+    rows = [
+        (0, "user", "hi", None), (1, "assistant", "<think>inside</think>plain", "\ngiven\n"),
+        (2, "user", "again", None), (3, "assistant", "\n\nanswer", "why"), (4, "assistant", "<think>x</think>y", ""),
+    ]
+    turns = spark.createDataFrame([(1, *r) for r in rows], "conv_id int, turn int, role string, content string, reasoning_content string")
+    text = conv.render_chatml(conv.assemble(turns)).first()["text"]
+    assert text == (
+        "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<think>inside</think>plain<|im_end|>\n"
+        "<|im_start|>user\nagain<|im_end|>\n<|im_start|>assistant\n<think>\nwhy\n</think>\n\nanswer<|im_end|>\n"
+        "<|im_start|>assistant\n<think>\n\n</think>\n\n<think>x</think>y<|im_end|>\n"
+    )
+    pieces = conv.chatml_turns(turns, generation=True, thinking=F.col("turn") < 4).orderBy("turn").collect()
+    assert "".join(r["piece"] for r in pieces[:-1]) == text
+    assert (pieces[-1]["turn"], pieces[-1]["piece"]) == (5, "<|im_start|>assistant\n<think>\n\n</think>\n\n")
+
+
+def test_generation_pieces_of_every_layout(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f" text {t} ") for c in (1, None) for t in (0, 1, 2)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, content string")
+    messages = conv.assemble(turns)
+    for layout, render, suffix in (
+        (conv.chatml_turns, conv.render_chatml, chat.chatml_suffix()),
+        (conv.turn_tag_turns, conv.render_turn_tags, chat.turn_tag_suffix()),
+        (conv.header_turns, conv.render_header_ids, chat.header_suffix()),
+    ):
+        whole = {r["conv_id"]: r["t"] for r in render(messages).select("conv_id", F.concat("text", suffix).alias("t")).collect()}
+        found = {}
+        for r in layout(turns, generation=True).orderBy("turn").collect():
+            found[r["conv_id"]] = found.get(r["conv_id"], "") + r["piece"]
+        assert found == whole and len(whole) == 2

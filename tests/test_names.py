@@ -1,0 +1,143 @@
+"""No operator loses, replaces or trips over a user column, whatever its name."""
+
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from prefspark.operators import conversations, filters, joins, pairing, quality, ranking, routing, sampling, splits
+from prefspark.operators.preference import reverse_preference
+from prefspark.plans import flows
+from prefspark.schema import free_names
+from prefspark.shared_storage import staged
+
+PACKAGE = Path(__file__).parent.parent / "prefspark"
+
+# Every name that stands for a column of an operator's own, as far as its text shows.
+OWN = sorted(
+    {
+        name
+        for path in [*(PACKAGE / "operators").glob("*.py"), *(PACKAGE / "plans").glob("*.py"), *(PACKAGE / "sources").glob("*.py")]
+        for name in re.findall(r'"(_[a-z]\w*)"', path.read_text())
+    }
+    | {"hash_", "place", "bucket", "n_rows", "pick", "slot", "candidate", "_HASH", "_Row"}
+)
+
+
+def test_names_are_found():
+    assert {"_hash", "_row", "_block", "_key2", "_within", "_first", "_normal", "_rendering"} <= set(OWN)
+
+
+def test_free_names():
+    assert free_names(["_A", "__a", "b"], "_a", "b", "c") == ["___a", "_b", "c"]
+    assert free_names([], "x", "x") == ["x", "_x"]
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    """A table of the given columns and one for each name in OWN, with values that tell it."""
+
+    def build(rows, schema):
+        table = spark.createDataFrame(rows, schema)
+        names, taken = [], {c.lower() for c in table.columns}
+        for name in OWN:
+            if name.lower() not in taken:
+                names.append(name)
+                taken.add(name.lower())
+        key = F.col(table.columns[0]).cast("string")
+        return table.select("*", *(F.concat(F.lit(f"{n}|"), key).alias(n) for n in names)), names
+
+    return build
+
+
+def untouched(df, names, key):
+    """Every column of ``names`` is there once, with its own values."""
+    assert [c for c in df.columns if c in names] == names
+    for row in df.select(F.col(key).cast("string").alias("id"), *names).collect():
+        assert all(row[n] == f"{n}|{row['id']}" for n in names)
+    return df
+
+
+def test_rankings(named):
+    table, names = named([(i, f"k{i % 3}") for i in range(30)], "id long, key string")
+    ranked = untouched(ranking.with_group_ordinal(table, ["key"], "id", "at", "size"), names, "id")
+    assert {(r["key"], r["at"], r["size"]) for r in ranked.collect()} == {(f"k{i}", j, 10) for i in range(3) for j in range(10)}
+    untouched(ranking.with_group_ordinal(table, ["key"], "id", "at"), names, "id")
+    untouched(ranking.with_sorted_ordinal(table, ["id"], "at"), names, "id")
+    distinct = table.withColumn("key", F.col("id").cast("string"))
+    at = untouched(ranking.with_hash_rank(distinct, "key", 1, "at", "size"), names, "id")
+    assert sorted(r["at"] for r in at.collect()) == list(range(30))
+
+
+@pytest.mark.parametrize("few_rows", [0, 10_000])
+@pytest.mark.parametrize("ids", [(), ("id",), ("group",)])
+def test_samples(named, monkeypatch, few_rows, ids):
+    monkeypatch.setattr(sampling, "FEW_ROWS", few_rows)
+    table, names = named([(i, i % 4) for i in range(60)], "id long, group long")
+    table = staged(table, "named")
+    for count in (1, 17):
+        found = untouched(sampling.limit_sample(table, count, 3, ids), names, "id")
+        assert found.count() == count and found.columns == table.columns
+    doubled = table.unionByName(table)
+    assert untouched(sampling.limit_sample(doubled, 31, 3, ids), names, "id").count() == 31
+    assert sampling.limit_sample(table, 60, 3, ids).count() == sampling.limit_sample(table, 61, 3, ids).count() == 60
+
+
+def test_both_ways_to_a_border_agree(named, monkeypatch):
+    table, _ = named([(i, i % 7) for i in range(200)], "id long, group long")
+    for ids in ((), ("id",), ("group",)):
+        chosen = []
+        for few_rows in (0, 10_000):
+            monkeypatch.setattr(sampling, "FEW_ROWS", few_rows)
+            chosen.append(sorted(r["id"] for r in sampling.limit_sample(table, 77, 5, ids).collect()))
+        assert chosen[0] == chosen[1]
+
+
+@pytest.mark.parametrize("null_key", [False, True])
+def test_joins(named, null_key):
+    table, names = named([(i, None if i % 5 == 0 else f"k{i % 3}") for i in range(30)], "id long, key string")
+    grouped = table.groupBy("key").agg(F.count("*").alias("n"))
+    joined = untouched(joins.join_grouped(table, grouped, "key", null_key=null_key), names, "id")
+    assert joined.count() == (30 if null_key else 24) and joined.columns == [*table.columns, "n"]
+    # The grouped side may have such names, too.
+    odd = grouped.withColumnsRenamed({"n": "_hash"}).withColumn("_key2", F.lit(1))
+    plain = table.select("id", "key")
+    assert joins.join_grouped(plain, odd, "key", null_key=null_key).columns == ["id", "key", "_hash", "_key2"]
+
+
+def test_pairing_and_splits(named):
+    rows = [("p", f"a long enough output {i}", f"c{i % 4}", "negative" if i % 3 == 0 else "positive", i) for i in range(40)]
+    table, names = named([(r[4], *r[:4]) for r in rows], "ord long, input string, output string, output_concept string, category string")
+    assert pairing.build_pairs(table).count() == 4
+    untouched(pairing.inputs_with_negative(table), names, "ord")
+    untouched(pairing.negative_ordinals(table), names, "ord")
+    untouched(splits.split_pairs(table), names, "ord")
+    untouched(filters.split_blank(table, "output")[0], names, "ord")
+    untouched(filters.rename_to_canonical(table, {"prompt": "input"}), names, "ord")
+
+
+def test_records_routes_and_prompts(named, tmp_path):
+    message = "array<struct<role: string, content: string>>"
+    rows = [(i, *[[("user", "text")]] * 2, [("user", "text")] if i % 2 else []) for i in range(10)]
+    table, names = named(rows, f"id long, prompt {message}, chosen {message}, rejected {message}")
+    untouched(reverse_preference(table), names, "id")
+    routed = routing.route_pairs(table, str(tmp_path / "pairs"))
+    assert untouched(routed.accepted, names, "id").columns == table.columns
+    assert untouched(routed.refused, names, "id").columns == [*table.columns, "refusals"]
+    untouched(quality.enforce_pairs(table.where("size(rejected) > 0")), names, "id")
+    prompts, names = named([(i, "[]" if i % 2 else f"text {i}") for i in range(10)], "id long, prompt string")
+    routed = routing.route_prompts(prompts, str(tmp_path / "prompts"))
+    assert untouched(routed.accepted, names, "id").columns == [*prompts.columns, "messages"]
+    assert untouched(routed.refused, names, "id").columns == [*prompts.columns, "refusals"]
+
+
+def test_conversations_and_rendering(named):
+    turns, _ = named([(i, "user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(6)], "turn long, role string, content string")
+    turns = turns.withColumn("conv_id", F.lit(1)).withColumn("position", F.lit("p")).withColumn("reason", F.lit("r"))
+    for layout in (conversations.chatml_turns, conversations.turn_tag_turns, conversations.header_turns):
+        assert layout(turns).columns == ["conv_id", "turn", "piece"] and layout(turns, generation=True).count() == 7
+    assert conversations.alternation_violations(turns).count() == 0
+    asked, names = named([("q", "d", "Qwen/Qwen3-4B", False)], "question string, direction string, model string, reverse boolean")
+    rendered = untouched(flows.steered_prompts(asked), names, "question")
+    assert rendered.columns == [*asked.columns, "rendered", "error"]

@@ -134,3 +134,40 @@ def test_prompts_that_are_normalised(one, prompt, expected):
 def test_prompts_that_are_put_aside(one, prompt, error):
     got = one(messages.normalise_prompt(T()), t=prompt)
     assert (got.messages, got.error) == (None, error)
+
+
+PROMPTS = [
+    # (prompt, messages or None, error or None)
+    ('{"role": "user", "content": "a", "content": "b"}', [("user", "b")], None),
+    ('{"role": "x", "content": 1.0, "role": "user"}', [("user", "1.0")], None),
+    ('{"role": "user", "content": null}', [("user", None)], None),
+    ('{"role": "user", "content": true, "other": [1, {"a": 2}]}', [("user", "true")], None),
+    ('[{"role": "user", "content": "a"}, {"content": "b", "role": "x", "role": "assistant"}]',
+     [("user", "a"), ("assistant", "b")], None),
+    ('{"role": "user", "content": "a"} {"role": "user", "content": "b"}', "itself", None),
+    ('{"role": "user", "content": "a"}, {"role": "user", "content": "b"}', "itself", None),
+    ('[{"role": "user", "content": "a"}] and more', "itself", None),
+    ("{not json}", "itself", None),
+    ("] [", "itself", None),
+    ('"text"', "itself", None),
+    ("12", "itself", None),
+    ("", "itself", None),
+    ("{}", None, messages.BAD_OBJECT),
+    ('{"role": "user"}', None, messages.BAD_OBJECT),
+    ('{"role": "user", "role": "x"}', None, messages.BAD_OBJECT),
+    ("[]", None, messages.EMPTY_LIST),
+    ("[1]", None, messages.BAD_ITEM),
+    ("[null]", None, messages.BAD_ITEM),
+    ('[[{"role": "user", "content": "a"}]]', None, messages.BAD_ITEM),
+    ('[{"role": "user", "content": "a"}, {"role": "user"}]', None, messages.BAD_ITEM),
+    (None, None, messages.NULL_PROMPT),
+]
+
+
+def test_prompts_of_every_shape(spark):
+    table = spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(PROMPTS)], "i int, prompt string")
+    found = table.select("i", messages.normalise_prompt(F.col("prompt")).alias("p")).orderBy("i").collect()
+    for row, (prompt, expected, error) in zip(found, PROMPTS):
+        got = None if row.p.messages is None else [(m.role, m.content) for m in row.p.messages]
+        assert got == ([("user", prompt)] if expected == "itself" else expected), prompt
+        assert row.p.error == error, prompt
