@@ -17,6 +17,8 @@ from prefspark.llm.common import staged
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 VIRTUAL_NODES = 64
+# Rows that one task makes out of equal ones.
+SPAN = 1 << 16
 
 
 def cell_of(hashed):
@@ -202,11 +204,26 @@ def shard(docs, shards, virtual_nodes=VIRTUAL_NODES):
     parts = placement(counts, shards, virtual_nodes)
     listed = F.collect_list(F.struct("low", "high", "shard", "slot")).alias("_parts")
     by_cell = staged(parts.groupBy("cell").agg(listed), "ring-parts")
-    order = W.partitionBy("cell").orderBy("_hash", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("_nth", (F.row_number().over(order) - 1).cast("long"))
-    holds = lambda part: (part["low"] <= F.col("_nth")) & (F.col("_nth") < part["high"])
-    placed = ranked.join(by_cell, "cell").withColumn("_part", F.filter("_parts", holds)[0])
-    slot = F.col("_part.slot") + F.col("_nth") - F.col("_part.low")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.col("_part.shard").alias("shard"), slot.alias("slot")
+    # Rows that are equal in these can stand for one another: they are counted, and get numbers
+    # by the range, so that however many there are, a cell puts one row of them in order.
+    same = ["_hash", "doc_id", "size", "text_crc32"]
+    equal = rows.groupBy("cell", *same).agg(F.count("*").alias("_copies"))
+    equal = equal.withColumn("_from", _before("_copies", W.partitionBy("cell").orderBy(*same)))
+    equal = equal.withColumn("_to", F.col("_from") + F.col("_copies"))
+    meets = lambda part: (part["low"] < F.col("_to")) & (part["high"] > F.col("_from"))
+    placed = equal.join(by_cell, "cell").withColumn("_part", F.explode(F.filter("_parts", meets)))
+    placed = placed.select(
+        *same[1:],
+        "_part.shard",
+        (F.col("_part.slot") - F.col("_part.low")).alias("_shift"),
+        F.greatest("_from", "_part.low").alias("_from"),
+        F.least("_to", "_part.high").alias("_to"),
     )
+    few = F.col("_to") - F.col("_from") <= SPAN
+    spans = F.explode(F.sequence(F.col("_from"), F.col("_to") - 1, F.lit(SPAN).cast("long")))
+    many = placed.where(~few).withColumn("_from", spans)
+    many = many.withColumn("_to", F.least("_to", F.col("_from") + SPAN)).repartition("shard", "_shift", "_from")
+    number = F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))
+    every = placed.where(few).unionByName(many).withColumn("_nth", number)
+    slot = (F.col("_shift") + F.col("_nth")).alias("slot")
+    return every.select("doc_id", "size", "text_crc32", "shard", slot)

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from prefspark.llm import sharding as S
 
 
@@ -33,6 +35,13 @@ def test_one_hot_key(docs):
     laws(rows, place(docs, rows, 7), 7)
 
 
+@pytest.mark.parametrize("span", [4, 1 << 16])
+def test_hot_rows_without_an_id_are_dealt_in_spans(docs, monkeypatch, span):
+    monkeypatch.setattr(S, "SPAN", span)
+    rows = [(None, None)] * 150 + [(None, "same")] * 40 + [(5, "same")] * 30 + [(i, "x") for i in range(250)]
+    laws(rows, place(docs, rows, 6), 6)
+
+
 def test_few_rows_and_none(docs):
     rows = [(i, None) for i in range(3)]
     laws(rows, place(docs, rows, 5), 5)
