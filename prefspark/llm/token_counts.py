@@ -100,7 +100,10 @@ class Ledger:
             F.count("*").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")
         )
         new = staged(new, "new-counts")
-        old = self.documents(before=batch).where("doc_id is not null")
+        ids = new.select("doc_id").where("doc_id is not null")
+        if deleted is not None:
+            ids = ids.unionByName(deleted.select(F.col("doc_id").cast("long")).where("doc_id is not null"))
+        old = self.documents(before=batch, ids=ids.distinct())
         revised = new.where("doc_id is not null").select(
             F.col("doc_id").alias("_id"), F.col("tokenizer").alias("_by"), F.lit(True).alias("_revised")
         )
@@ -121,10 +124,16 @@ class Ledger:
         deltas = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         deltas.write.mode("overwrite").parquet(self._folder("deltas", batch))
 
-    def documents(self, before=None):
+    def documents(self, before=None, ids=None):
         """The counts of each document that is there after the batches, or those before one: a
-        row for each doc_id, tokenizer, source and language, ``docs`` telling of how many."""
+        row for each doc_id, tokenizer, source and language, ``docs`` telling of how many.
+
+        With ``ids`` (distinct doc_id) only of those: they are looked up before rows are put in
+        order, so that a batch shuffles and sorts the rows of its own documents alone.
+        """
         rows = self._read("documents", STATE, before)
+        if ids is not None:
+            rows = rows.join(ids, "doc_id", "left_semi")
         # Rows without a doc_id follow one another in no order; each is its own latest.
         apart = F.when(F.col("doc_id").isNull(), F.struct("source", "lang", "batch"))
         latest = F.rank().over(W.partitionBy("doc_id", "tokenizer", apart).orderBy(F.desc("batch")))

@@ -122,3 +122,15 @@ def test_query_counts_rows_with_null_and_repeated_ids(spark, docs, tmp_path):
     found = {tuple(r)[:3]: tuple(r)[3:] for r in op7_token_counts(spark, str(tmp_path)).collect()}
     bytes_only = {k[:2]: v for k, v in found.items() if k[2] == "utf8_bytes"}
     assert bytes_only == {("s", "en"): (3, 7), (None, None): (1, 0), ("revised", "en"): (2, 6)}
+
+
+def test_a_batch_puts_only_its_own_documents_in_order(spark):
+    ledger = C.Ledger(spark, new_table_path(spark, "ledger"))
+    rows = [(i, "s", "en", "a", 1) for i in range(200)]
+    ledger.commit(1, spark.createDataFrame(rows, SHAPE))
+    asked = spark.createDataFrame([(3,), (500,)], "doc_id long")
+    found = ledger.documents(before=2, ids=asked)
+    assert [r["doc_id"] for r in found.collect()] == [3]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The join comes below the window, which is printed first.
+    assert plan.index("Window") < plan.index("LeftSemi")
