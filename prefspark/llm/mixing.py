@@ -128,18 +128,20 @@ def goals(documents, block_words, weights, max_epochs):
 def slots(goal, seed=SEED, shard_slots=SHARD_SLOTS):
     """(shard, slot, _sid, nth): the source of each slot and the number of the slot in it.
 
-    ``goal`` is a written table of ``goals``. Each slot draws on its own; a source's draws
-    beyond its quota fill, in order, the quotas of the sources that drew too few.
+    ``goal`` is a written table of ``goals``. Each slot draws on its own. A source's draws are
+    numbered in a pseudorandom order of the slots; those beyond its quota, spread over all
+    shards by that, fill the quotas of the sources that drew too few.
     """
     total = goal.agg(F.sum("_quota")).first()[0] or 0
     number = goal.sparkSession.range(total).select(
         "id",
-        F.expr(f"id div {1 << 16}").alias("_span"),
+        F.xxhash64(F.lit(seed), F.lit("order"), "id").alias("_hash"),
         (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("_u"),
     )
     parts = goal.select("_sid", "_low", "_high")
-    drawn = _located(number, "_u", parts, 1 / CELLS).select("id", "_span", "_sid")
-    drawn = staged(_numbered(drawn, ["_sid"], "_span", ["id"]), "draws")
+    drawn = _located(number, "_u", parts, 1 / CELLS).select("id", "_hash", "_sid")
+    drawn = drawn.withColumn("_bucket", F.shiftrightunsigned("_hash", 48))
+    drawn = staged(_numbered(drawn, ["_sid"], "_bucket", ["_hash", "id"]), "draws")
     got = drawn.groupBy("_sid").agg(F.count("*").alias("_got"))
     got = goal.select("_sid", "_quota").join(got, "_sid", "left")
     got = got.select("_sid", "_quota", F.coalesce("_got", F.lit(0)).alias("_got"))

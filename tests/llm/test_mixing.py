@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from prefspark.llm import mixing as M
 
 
@@ -107,3 +109,27 @@ def test_nothing_to_mix(docs):
     only_empty = M.taken_words(table(docs, [(1, None, "a"), (2, " ", "b")])).collect()
     assert [r["taken"] for r in only_empty] == [0, 0]
     assert M.mixed_documents(table(docs, [])).count() == 0
+
+
+def test_counts_of_shards_are_those_of_multinomial_draws(spark):
+    """Over many shards the counts of a source spread as its share of each draw says."""
+    shares, slots_each, shards = (0.1, 0.2, 0.3, 0.4), 100, 400
+    total = slots_each * shards
+    rows, low = [], 0.0
+    for sid, share in enumerate(shares):
+        high = 2.0 if sid == 3 else low + share
+        rows.append((sid, (False, f"s{sid}"), total, share * total, total, round(share * total), low, high))
+        low = high
+    shape = "_sid int, _source struct<missing: boolean, name: string>, source_size long, target double, _blocks long, _quota long, _low double, _high double"
+    found = M.slots(M.staged(spark.createDataFrame(rows, shape), "t"), seed=11, shard_slots=slots_each).toPandas()
+    counts = found.groupby(["shard", "_sid"]).size().unstack(fill_value=0).to_numpy()
+    assert counts.shape == (shards, 4) and (counts.sum(axis=1) == slots_each).all()
+    expected = np.array(shares) * slots_each
+    assert np.allclose(counts.sum(axis=0), np.array(shares) * total, atol=1)
+    # Variances n p (1 - p) and covariances -n p q, as far as 400 shards tell.
+    covariance = np.cov(counts.T)
+    exact = slots_each * (np.diag(shares) - np.outer(shares, shares))
+    assert np.allclose(covariance, exact, rtol=0.3, atol=1.5), covariance
+    statistic = ((counts - expected) ** 2 / expected).sum()
+    freedom = 3 * shards
+    assert abs(statistic - freedom) < 5 * (2 * freedom) ** 0.5
