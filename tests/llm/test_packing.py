@@ -147,3 +147,25 @@ def test_other_tokenizer_files_are_refused(tmp_path):
         path.write_text(json.dumps({**content, **change}), encoding="utf-8")
         with pytest.raises(ValueError):
             ByteBpe(str(path))
+
+
+def test_several_groups_share_no_sequence_and_waste_little(spark, monkeypatch):
+    rng = random.Random(8)
+    lengths = [rng.choice([1024, rng.randint(1, 1024), rng.randint(1, 60)]) for _ in range(3000)]
+    table = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    used = {}
+    for pieces in (1 << 16, 300):
+        monkeypatch.setattr(packing, "GROUP_PIECES", pieces)
+        found = packing.pack(table).collect()
+        assert sorted(r["row"] for r in found) == list(range(3000))
+        held = {}
+        for r in sorted(found, key=lambda r: r["offset"]):
+            # Pieces of a sequence follow one another without a gap, in one group only.
+            assert r["offset"] == held.get(r["sequence_id"], 0)
+            held[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(held.values()) <= 1024
+        used[pieces] = len(held), len({i >> 32 for i in held})
+    assert used[1 << 16][1] == 1 and used[300][1] > 5
+    # One more open sequence for each group, and a little for the smaller choice.
+    least = -(-sum(lengths) // 1024)
+    assert used[1 << 16][0] <= 1.02 * least and used[300][0] <= 1.02 * used[1 << 16][0] + used[300][1]
