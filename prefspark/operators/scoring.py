@@ -24,8 +24,7 @@ def score(
     """One row of scores. ``aggregates`` maps names to the user's own aggregate columns.
 
     Built-in aggregates combine on the map side. A pandas aggregate over the whole table
-    would bring it into one task; compute its parts per row with a pandas UDF and combine
-    them with a built-in aggregate instead.
+    would bring it into one task; ``user_aggregates.aggregate`` merges states of parts instead.
     """
     aggregates = aggregates or default_scores(text)
     return df.agg(*[column.alias(name) for name, column in aggregates.items()])
