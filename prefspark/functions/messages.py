@@ -49,6 +49,8 @@ NULL_PROMPT = "prompt is null"
 BAD_OBJECT = "prompt object lacks role or content"
 BAD_ITEM = "prompt list holds an item without role and content"
 EMPTY_LIST = "prompt list is empty"
+# Fixed value: what may stand in front of a JSON value.
+JSON_SPACE = " \t\n\r"
 PROMPT_ERRORS = (NULL_PROMPT, BAD_OBJECT, BAD_ITEM, EMPTY_LIST)
 
 
@@ -77,18 +79,28 @@ def normalise_prompt(prompt: Column) -> Column:
     # JSON is told from plain text by a full parse. That refuses repeated keys, though, so
     # what it does not read may still be an object or a list. The brackets around it make
     # anything that follows a first value visible.
-    shape = F.schema_of_variant(F.try_parse_json(prompt))
-    unread, wrapped = shape.isNull(), F.concat(F.lit("["), prompt, F.lit("]"))
-    values = F.try_parse_json(wrapped)
+    wrapped = F.concat(F.lit("["), prompt, F.lit("]"))
 
-    def only(kind: str, schema: str) -> Column:
-        parsed = F.when(_is(shape, kind) | unread, F.from_json(wrapped, f"array<{schema}>"))
+    def only(parsed: Column) -> Column:
         return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
+    def by_shape(shape: Column) -> Column:
+        unread = shape.isNull() & F.startswith(F.ltrim(prompt, F.lit(JSON_SPACE)), F.lit("{"))
+        unread_list = shape.isNull() & F.startswith(F.ltrim(prompt, F.lit(JSON_SPACE)), F.lit("["))
+        found = F.from_json(wrapped, "array<map<string, string>>")
+        items = F.from_json(wrapped, "array<array<map<string, string>>>")
+        values = F.try_parse_json(wrapped)
+        single = values.isNotNull() & F.try_variant_get(values, "$[1]", "variant").isNull()
+        read = F.struct(
+            only(F.when(_is(shape, "OBJECT") | unread, found)).alias("object"),
+            only(F.when(_is(shape, "ARRAY") | unread_list, items)).alias("items"),
+            F.when(_is(shape, "ARRAY"), single).otherwise(F.lit(False)).alias("single"),
+        )
+        return bind(read, normalise)
+
     def normalise(read: Column) -> Column:
         entries = F.map_entries(read["object"])
-        is_object = entries.isNotNull()
-        is_list = read["items"].isNotNull() | (_is(shape, "ARRAY") & read["single"])
+        is_object, is_list = entries.isNotNull(), read["items"].isNotNull() | read["single"]
         items = F.transform(read["items"], lambda item: F.map_entries(item))
         good_list = F.coalesce(F.forall(items, _has_message_keys), F.lit(False))
         return (
@@ -101,12 +113,7 @@ def normalise_prompt(prompt: Column) -> Column:
             .otherwise(_put_aside(BAD_ITEM))
         )
 
-    read = F.struct(
-        only("OBJECT", "map<string, string>").alias("object"),
-        only("ARRAY", "array<map<string, string>>").alias("items"),
-        (values.isNotNull() & F.try_variant_get(values, "$[1]", "variant").isNull()).alias("single"),
-    )
-    return bind(read, normalise)
+    return bind(F.schema_of_variant(F.try_parse_json(prompt)), by_shape)
 
 
 def _is(shape: Column, kind: str) -> Column:
