@@ -51,28 +51,29 @@ def read_ordered(
     path, then with the row in the file, however the files are split into tasks. Files are
     numbered from ``first_file``, for tables that continue others.
     """
-    parts, numbered_files = [], first_file
+    part, name, row, number = free_names([*columns, "source", "ord"], "_part", "_file", "_row", "_number")
+    parts, numbers = [], []
     for source, path in enumerate(paths):
         table = spark.read.parquet(path)
-        files = sorted(_one_slash(name) for name in table.inputFiles())
-        numbered = spark.createDataFrame(
-            [(name, numbered_files + i) for i, name in enumerate(files)],
-            "file_path string, file_number long",
-        )
-        numbered_files += len(files)
-        file_path = F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/"))
-        rows = table.select(
-            *_as_text(columns),
-            file_path.alias("file_path"),
-            F.col("_metadata.row_index").alias("row_index"),
-        )
-        ordinal = F.shiftleft("file_number", FILE_BITS) + F.col("row_index")
+        for file in sorted(_one_slash(file) for file in table.inputFiles()):
+            numbers.append((source, file, first_file + len(numbers)))
         parts.append(
-            rows.join(numbered, "file_path").select(
-                *columns, F.lit(source).alias("source"), ordinal.alias("ord")
+            table.select(
+                *_as_text(columns),
+                F.lit(source).alias(part),
+                F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias(name),
+                F.col("_metadata.row_index").alias(row),
             )
         )
-    return union_parts(parts)
+    # Sent to all tasks, one row per file. Left to itself Spark may send the rows instead, or
+    # bring those of a file into one task.
+    files = F.broadcast(spark.createDataFrame(numbers, f"{part} int, {name} string, {number} long"))
+    ordinal = F.shiftleft(number, FILE_BITS) + F.col(row)
+    return (
+        union_parts(parts)
+        .join(files, [part, name])
+        .select(*columns, F.col(part).alias("source"), ordinal.alias("ord"))
+    )
 
 
 def read_positions(

@@ -72,6 +72,21 @@ def test_order_of_files_and_rows(spark, conf, tmp_path):
     assert "ReadSchema" in scan and "unread" not in scan
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_only_the_list_of_files_is_sent_around(spark, tmp_path, conf, threshold):
+    """Rows stay in the tasks that read them: neither broadcast nor brought together by file."""
+    conf(autoBroadcastJoinThreshold=threshold)
+    paths = [str(tmp_path / name) for name in ("a", "b", "c")]
+    for path in paths:
+        spark.range(100).withColumn("_file", F.lit("f")).coalesce(1).write.parquet(path)
+    ordered = readers.read_ordered(spark, paths, ["id", "_file"])
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "BuildRight" in plan
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    rows = [(r.id, r._file, r.source, r.ord) for r in ordered.orderBy("ord").collect()]
+    assert rows == [(str(i), "f", n, (n << 40) + i) for n in range(3) for i in range(100)]
+
+
 def test_paths_with_special_characters_and_twice(spark, tmp_path):
     path = str(tmp_path / "a b%c")
     spark.createDataFrame([("x",), ("y",)], "input string").coalesce(1).write.parquet(path)
