@@ -1,10 +1,12 @@
 """Growing tables, versions, routing, permutations, positions, user aggregates and sketches."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.io_queries import FOLDERS, write_filed_triples
 from prefspark.functions.permutation import bases, permuted
 from prefspark.operators import pairing, routing, scoring, sketches, splits, user_aggregates
 from prefspark.operators.preference import pair_records
@@ -309,6 +311,14 @@ def test_positions_follow_files_and_rows(spark, tmp_path, conf):
         scoring.zip_positions([placed, placed])
 
 
+def test_filed_triples_take_one_task_each(spark):
+    """A file's name starts with the number of the task that wrote it."""
+    folders = write_filed_triples(spark, "/root/testdata/sf0.001")
+    files = [[n for n in os.listdir(folder) if n.startswith("part-")] for folder in folders]
+    assert [len(names) for names in files] == [1] * FOLDERS
+    assert len({names[0].split("-")[1] for names in files}) == FOLDERS
+
+
 # ---------------------------------------------------------------- user aggregates and sketches
 
 
