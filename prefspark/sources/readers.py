@@ -96,7 +96,8 @@ def read_positions(
     )
     counts = placed.groupBy(name).agg(F.count(F.lit(1)).alias(rows))
     starts = counts.select(name, sum_before(W.orderBy(name), rows).alias(before))
-    return placed.join(starts, name).select(
+    # Sent to all tasks, one row per file, as in ``read_ordered``.
+    return placed.join(F.broadcast(starts), name).select(
         (F.col(before) + F.col(number)).alias(position), *table.columns
     )
 

@@ -311,6 +311,15 @@ def test_positions_follow_files_and_rows(spark, tmp_path, conf):
         scoring.zip_positions([placed, placed])
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_positions_send_around_only_the_starts_of_files(spark, tmp_path, conf, threshold):
+    conf(autoBroadcastJoinThreshold=threshold)
+    path = str(tmp_path / "rows")
+    spark.range(100).coalesce(1).write.parquet(path)
+    plan = readers.read_positions(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "BuildRight" in plan and "SortMergeJoin" not in plan
+
+
 def test_filed_triples_take_one_task_each(spark):
     """A file's name starts with the number of the task that wrote it."""
     folders = write_filed_triples(spark, "/root/testdata/sf0.001")
