@@ -1,37 +1,46 @@
 """Near-duplicate embeddings by an exact metric range join.
 
 Unit vectors with a cosine of at least c are at most ``sqrt(2 - 2c)`` apart. Pivots taken from
-the vectors part them into cells, each vector going to its nearest pivot. A vector x of cell p
-and a vector y of cell q can only be linked if
-
-* ``d(y, p) <= d(y, q) + 2 r``   (y is not too far into its own cell),
-* ``d(y, p) <= radius(p) + r``   (the cell of p reaches near enough), and
-* ``(y.q - y.p) / |q - p| <= r``   (so near is y to the plane between the cells),
-
-the first two by the triangle inequality, the third as its sharper form for two pivots. Only
-to cells where all three hold is y copied, and of two cells only one gets the vectors of the
-other. Cells are cut into blocks of some BLOCK vectors; each block compares itself and what
-is copied to it on its own, in a stream, so neither a crowded cell nor the copies have to fit
-in memory. Equal vectors are joined once.
-
-A block reports link counts and a spanning forest of its links, never all pairs. How much the
-pivots save hangs on the data: on vectors without clusters nearly all cells are near enough.
+the vectors part them into cells, each vector going to its nearest pivot; a cell is ordered by
+the second nearest one and cut into blocks of at most BLOCK vectors, each one row of a Parquet
+table with a ball around it. Two blocks are compared unless their balls are too far apart, and
+then only the vectors that are near enough to the other ball, by the triangle inequality.
+
+Vectors are not copied to those that they are compared with. The blocks are dealt to as many
+partitions as keep a few megabytes each, and a task reads two of them, as they lie on disk,
+for every pair of partitions: what is written grows with the vectors alone, however few pairs
+the balls spare, and no task grows with a crowded cell. Equal vectors are joined once.
+
+Products are bounded first, in single precision, by half of the dimensions along the axes on
+which the pivots spread most: the rest adds no more than the product of its lengths. What
+reaches the limit is compared whole, in double precision.
+
+A task reports link counts and a spanning forest of its links, never all pairs. How much the
+balls save hangs on the data: on vectors without clusters nearly all blocks are near enough,
+and the time grows with the square of the vectors.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from prefspark.llm.common import staged
 from prefspark.llm.components import components
 
 COSINE = 0.9
-BLOCK = 1024
+BLOCK = 2048
 MAX_PIVOTS = 2048
-# Copied vectors that a block sees in one task, about.
-STREAM = 1 << 17
+# Vectors that a task holds of each of its two partitions, about, and their bytes.
+STREAM, STREAM_BYTES = 1 << 17, 1 << 25
+# Bytes of a block's vectors, about.
+BLOCK_BYTES = 1 << 20
+# Products in a tile, along either side; candidates that are compared at once.
+TILE, PAIRS = 512, 1 << 14
+# The widest vectors that are turned to the axes of the pivots.
+MAX_TURNED = 512
 _SLACK = 1e-6
 # Single precision finds candidates; what is this near to the limit is settled in double.
 _SINGLE = 1e-4
@@ -55,62 +64,40 @@ def _unlinked(vectors):
     )
 
 
-def groups(vectors):
-    """Equal vectors as one row: _gid, vector, least (vec_id), copies; and their members.
+def _numbers(vectors):
+    """The type in which vectors are stored: single precision only if they come in it."""
+    return "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
 
-    Only vectors that can be linked: not null, not zero, of finite numbers, with a vec_id.
+
+def _linkable(vectors):
+    """Vectors that can be linked, with keys that equal ones share: vec_id, _key, _key2, vector.
+
+    That is, those that are not null, not zero, of finite numbers, with a vec_id.
     """
-    vector = F.col("embedding").cast("array<double>")
-    valid = vectors.where(_fit()).select(
-        "vec_id",
+    return vectors.where(_fit()).select(
+        F.col("vec_id").cast("long"),
         F.xxhash64("embedding").alias("_key"),
         F.xxhash64(F.lit(1), "embedding").alias("_key2"),
-        vector.alias("vector"),
-    )
-    grouped = valid.groupBy("_key", "_key2").agg(
-        F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("copies")
-    )
-    grouped = staged(grouped.withColumn("_gid", F.monotonically_increasing_id()), "vectors")
-    members = valid.select("vec_id", "_key", "_key2").join(
-        grouped.select("_key", "_key2", "_gid", "copies"), ["_key", "_key2"]
+        F.col("embedding").cast(f"array<{_numbers(vectors)}>").alias("vector"),
     )
-    return grouped.select("_gid", "vector", "least", "copies"), members.select("vec_id", "_gid", "copies")
 
 
 def _matrix(column, width):
-    """Rows of an Arrow list column as unit vectors of ``width``, zeros after short ones."""
+    """Rows of an Arrow list column as a matrix, zeros after short ones."""
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if (lengths == width).all():
-        rows = flat.reshape(-1, width)
-    else:
-        rows = np.zeros((len(lengths), width))
-        rows[np.arange(width) < lengths[:, None]] = flat
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
-class Cells:
-    """Pivots, the radius of each cell, and the blocks that each cell is cut into."""
+        return flat.reshape(-1, width)
+    rows = np.zeros((len(lengths), width), flat.dtype)
+    rows[np.arange(width) < lengths[:, None]] = flat
+    return rows
 
-    def __init__(self, pivots, radius, rows, limit, streams):
-        self.pivots, self.radius, self.limit, self.streams = pivots, radius, limit, streams
-        blocks = np.maximum(1, -(-rows // BLOCK))
-        self.first_block = np.r_[0, np.cumsum(blocks)]
-        self.cell_of_block = np.repeat(np.arange(len(pivots)), blocks)
-        self.apart = _distance(pivots @ pivots.T)
 
-    def near(self, vectors, home):
-        """Boolean: which cells (columns) may hold a link of each vector."""
-        products = vectors @ self.pivots.T
-        away = _distance(products)
-        row = np.arange(len(home))
-        limit = self.limit + _SLACK
-        near = away <= away[row, home][:, None] + 2 * limit
-        near &= away <= self.radius + limit
-        near &= products[row, home][:, None] - products <= limit * self.apart[home] + _SLACK
-        near[row, home] = True
-        return near
+def _units(rows):
+    """Rows as unit vectors in double precision."""
+    rows = rows.astype(float)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _distance(products):
@@ -122,164 +109,260 @@ def _meets_in(block, other):
     return (block < other) == ((block + other) % 2 == 0)
 
 
+def _pivots(linkable, rows, width, count):
+    """Some ``count`` different vectors, or all if there are fewer, as unit vectors."""
+    shares = 1 << 30
+    share = min(shares, math.ceil((2 * count + 16) / rows * shares))
+    some = linkable.where(F.pmod(F.xxhash64("vec_id", "_key"), F.lit(shares)) < share).limit(4 * count + 64)
+    for table in (some, linkable.limit(1)):
+        column = table.select("vector").toArrow().column("vector")
+        if len(column):
+            break
+    chosen = np.unique(_units(_matrix(pa.concat_arrays(column.chunks), width)), axis=0)
+    return np.random.default_rng(0).permutation(chosen)[:count]
+
+
+_ASSIGNED = "_key long, _key2 long, vector array<{}>, least long, copies long, cell int, second int"
+
+
 def _assign(pivots, width):
+    """Vectors with their nearest two pivots; equal ones of a batch become one row."""
+
     def assign(batches):
+        axes = pivots.value.astype(np.float32).T
+        step = max(1, 4_000_000 // axes.shape[1])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            products = _matrix(batch.column("vector"), width) @ pivots.value.T
-            cell = products.argmax(axis=1)
-            away = _distance(products[np.arange(len(cell)), cell])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)],
-                names=[*batch.schema.names, "cell", "away"],
-            )
+            ids, key, key2 = (batch.column(c).to_numpy() for c in ("vec_id", "_key", "_key2"))
+            order = np.lexsort((ids, key2, key))
+            new = (np.diff(key[order]) != 0) | (np.diff(key2[order]) != 0)
+            first = np.flatnonzero(np.r_[True, new])
+            batch = batch.take(pa.array(order[first]))
+            copies = np.diff(np.r_[first, len(order)])
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                products = _units(_matrix(part.column("vector"), width)).astype(np.float32) @ axes
+                cell = products.argmax(axis=1)
+                products[np.arange(len(cell)), cell] = -2
+                nearest = (pa.array(x.astype(np.int32)) for x in (cell, products.argmax(axis=1)))
+                kept = [part.column(c) for c in ("_key", "_key2", "vector", "vec_id")]
+                columns = [*kept, pa.array(copies[low : low + step]), *nearest]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ASSIGNED.split(", ")])
 
     return assign
 
 
-def _deal(cells, width):
-    """Copies of each vector: role 0 to its own block, 1 to other blocks that it may link to."""
+_BLOCKS = (
+    "block long, keys array<long>, keys2 array<long>, leasts array<long>, copies array<long>, "
+    "vectors binary, weights binary, centre binary, radius double"
+)
+
+
+def _cut(width, size):
+    """Sorted vectors in blocks of one cell each, with the ball around each."""
+
+    def cut(batches):
+        block, cell, held = TaskContext.get().partitionId() << 24, None, []
+
+        def row():
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            rows, copies = _matrix(part.column("vector"), width), part.column("copies").to_numpy()
+            units = _units(rows)
+            centre = units.mean(axis=0)
+            radius = np.linalg.norm(units - centre, axis=1).max()
+            lists = [part.column(c).to_pylist() for c in ("_key", "_key2", "least", "copies")]
+            weights = copies.astype("<i8").tobytes() if (copies > 1).any() else None
+            values = [block, *lists, rows.tobytes(), weights, centre.tobytes(), radius]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3, pa.float64()]
+            names = [c.split()[0] for c in _BLOCKS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
-    def deal(batches):
-        known = cells.value
-        step = max(1, 4_000_000 // len(known.cell_of_block))
         for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                gid = part.column("_gid").to_numpy().astype(np.uint64)
-                hashed = (gid + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
-                home = part.column("cell").to_numpy()
-                start = known.first_block[home]
-                own = start + (hashed % (known.first_block[home + 1] - start).astype(np.uint64)).astype(int)
-                near = known.near(_matrix(part.column("vector"), width), home)[:, known.cell_of_block]
-                blocks = np.arange(len(known.cell_of_block))
-                near &= _meets_in(blocks, own[:, None]) & (blocks != own[:, None])
-                row, block = np.nonzero(near)
-                stream = (hashed // np.uint64(1 << 20) % np.uint64(known.streams)).astype(np.int32)
-                yield _dealt(part, row, block, stream[row], 1)
-                for number in range(known.streams):
-                    every = np.arange(len(own))
-                    yield _dealt(part, every, own, np.full(len(own), number), 0)
-
-    return deal
-
-
-def _dealt(part, row, block, stream, role):
-    rows = part.select(["_gid", "vector", "copies"]).take(pa.array(row))
-    added = [block, stream, np.full(len(row), role)]
-    return pa.RecordBatch.from_arrays(
-        [*rows.columns, *(pa.array(a.astype(np.int32)) for a in added)],
-        names=[*rows.schema.names, "block", "stream", "role"],
-    )
+            cells = batch.column("cell").to_numpy()
+            cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(cells)]):
+                while low < high:
+                    room = size - sum(b.num_rows for b in held)
+                    if held and (not room or cell != cells[low]):
+                        yield row()
+                        block, held, room = block + 1, [], size
+                    cell = cells[low]
+                    held.append(batch.slice(low, min(room, high - low)))
+                    low += held[-1].num_rows
+        if held:
+            yield row()
+
+    return cut
+
+
+class _Turned:
+    """Unit vectors as some coordinates on axes of their own, and the length of the rest.
+
+    The product of two such codes is at least that of the vectors, and the distance of two codes
+    at most that of the vectors.
+    """
+
+    def __init__(self, pivots):
+        width = pivots.shape[1]
+        self.axes = np.linalg.eigh(pivots.T @ pivots)[1][:, ::-1] if width <= MAX_TURNED else None
+        self.kept = width if width <= 16 else width // 2 - 1
+
+    def codes(self, vectors):
+        turned = vectors if self.axes is None else vectors @ self.axes
+        rest = np.linalg.norm(turned[:, self.kept :], axis=1, keepdims=True)
+        return np.concatenate([turned[:, : self.kept], rest], axis=1)
+
+
+class _Block:
+    """The vectors of a block, their codes, and the nodes of a task that they are."""
+
+    def __init__(self, row, turned, width, kind, size, node):
+        self.number, self.radius = row["block"], row["radius"]
+        self.rows = np.frombuffer(row["vectors"], kind).reshape(-1, width)
+        n = len(self.rows)
+        self.copies = np.frombuffer(row["weights"], "<i8") if row["weights"] else np.ones(n, np.int64)
+        self.centre = np.frombuffer(row["centre"])
+        self.middle = turned.codes(self.centre[None]).astype(np.float32)[0]
+        self.codes = turned.codes(_units(self.rows)).astype(np.float32)
+        self.ids, self.nodes = self.number * size + np.arange(n), node + np.arange(n)
+        self.counts = np.zeros(n, np.int64)
+
+    def near(self, other, limit):
+        """Places of the vectors that can be linked with one in the ball of ``other``."""
+        reach = other.radius + limit
+        apart = 1 + other.middle @ other.middle - 2 * (self.codes @ other.middle)
+        return np.flatnonzero(apart <= reach * reach + _SINGLE)
 
 
 class _Links:
-    """Link counts and a spanning forest between a block and vectors that come by."""
-
-    def __init__(self, ids, vectors, copies, cosine):
-        self.ids, self.vectors, self.copies, self.cosine = ids, vectors, copies, cosine
-        self.single = vectors.astype(np.float32)
-        self.roots, self.counts = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-
-    def among(self):
-        """Links within the block itself; yields what joins its parts."""
-        return self._compare(self.ids, self.vectors, self.single, self.copies, own=True)
-
-    def with_others(self, ids, vectors, copies):
-        """Links with other vectors; yields what is known of these."""
-        return self._compare(ids, vectors, vectors.astype(np.float32), copies, own=False)
-
-    def _compare(self, ids, vectors, single, copies, own):
-        near = self.single @ single.T >= self.cosine - _SINGLE
-        if own:
-            near |= near.T
-        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if not len(rows):
-            return None
-        linked = self.vectors[rows] @ vectors[columns].T >= self.cosine
-        self.counts[rows] += linked @ copies[columns]
-        if own:  # each row is its own column, too
-            self.counts[rows] -= copies[columns]
-            np.fill_diagonal(linked, True)
-        none = len(self.ids)
-        roots = self.roots[rows]
+    """Link counts of blocks and a spanning forest of their links."""
+
+    def __init__(self, cosine, nodes):
+        self.cosine, self.limit, self.parents = cosine, math.sqrt(2 - 2 * cosine), np.arange(nodes)
+        self.products = np.empty(TILE * TILE, np.float32)
+
+    def tops(self, nodes):
+        while (self.parents[nodes] != nodes).any():
+            nodes = self.parents[nodes]
+        return nodes
+
+    def _unite(self, nodes, others):
+        tops, across = self.tops(nodes), self.tops(others)
+        apart = tops != across
+        for a, b in set(zip(tops[apart].tolist(), across[apart].tolist())):
+            while self.parents[a] != a:
+                a = self.parents[a]
+            while self.parents[b] != b:
+                b = self.parents[b]
+            self.parents[max(a, b)] = min(a, b)
+
+    def _candidates(self, a, b, own):
+        """Tiles of rows of two codes with what may be linked in each: (low, low, rows, columns)."""
+        for low in range(0, len(a), TILE):
+            part = a[low : low + TILE]
+            for at in range(low if own else 0, len(b), TILE):
+                other = b[at : at + TILE]
+                tile = self.products[: len(part) * len(other)].reshape(len(part), len(other))
+                np.matmul(part, other.T, out=tile)
+                if tile.max() >= self.cosine - _SINGLE:
+                    hits = tile >= self.cosine - _SINGLE
+                    yield low, at, np.triu(hits, 1) if own and low == at else hits
+
+    def compare(self, a, b):
+        """Add the links of two blocks, or of one with itself, each pair once."""
+        own = a is b
+        rows, columns = (np.arange(len(a.rows)),) * 2 if own else (a.near(b, self.limit), b.near(a, self.limit))
+        if not len(rows) or not len(columns):
+            return
+        whole = len(rows) == len(a.rows), len(columns) == len(b.rows)
+        codes = (x.codes if all_ else x.codes[some] for x, all_, some in zip((a, b), whole, (rows, columns)))
+        for low, at, hits in self._candidates(*codes, own):
+            found = np.count_nonzero(hits)
+            if found * 64 < hits.size:
+                self._few(a, b, *(x[i] for x, i in zip((rows[low:], columns[at:]), np.nonzero(hits))))
+            else:
+                some = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+                self._many(a, b, rows[low:][some[0]], columns[at:][some[1]], hits[np.ix_(*some)])
+
+    def _few(self, a, b, rows, columns):
+        products = np.einsum("ij,ij->i", _units(a.rows[rows]), _units(b.rows[columns]))
+        rows, columns = (x[products >= self.cosine] for x in (rows, columns))
+        np.add.at(a.counts, rows, b.copies[columns])
+        np.add.at(b.counts, columns, a.copies[rows])
+        self._unite(a.nodes[rows], b.nodes[columns])
+
+    def _many(self, a, b, rows, columns, hits):
+        linked = hits & (_units(a.rows[rows]) @ _units(b.rows[columns]).T >= self.cosine)
+        a.counts[rows] += linked @ b.copies[columns]
+        b.counts[columns] += a.copies[rows] @ linked
+        none = len(rows)
+        roots = np.arange(none)
         while True:
-            across = np.where(linked, roots[:, None], none).min(axis=0)
-            found = np.minimum(roots, np.where(linked, across, none).min(axis=1))
+            across = np.where(linked, roots[:, None], none).min(axis=0, initial=none)
+            found = np.minimum(roots, np.where(linked, across, none).min(axis=1, initial=none))
             if (found == roots).all():
                 break
             roots = found
-        # A root that has moved takes along what hung on it before.
-        moved = np.arange(none)
-        np.minimum.at(moved, self.roots[rows], roots)
-        pairs = {(r, t) for r, t in zip(self.roots[rows].tolist(), roots.tolist()) if r != t}
-        joined = [(self.ids[r], self.ids[t]) for r, t in pairs]
-        self.roots = moved[self.roots]
         has = across < none
-        if own:
-            return None if not joined else _table([], [], joined)
-        joined += list(zip(ids[columns[has]], self.ids[across[has]]))
-        return _table(ids[columns[has]], (self.copies[rows] @ linked)[has], joined)
-
-    def finish(self):
-        some = np.flatnonzero(self.counts)
-        hung = np.flatnonzero(self.roots != np.arange(len(self.ids)))
-        return _table(self.ids[some], self.counts[some], list(zip(self.ids[hung], self.ids[self.roots[hung]])))
+        self._unite(a.nodes[rows], a.nodes[rows[roots]])
+        self._unite(b.nodes[columns[has]], a.nodes[rows[across[has]]])
 
 
-def _table(ids, counts, joined):
+def _table(ids, counts, ends, others):
     """Rows (a, b, links): a count of links where b is null, else a link of the forest."""
-    a = [*map(int, ids), *(int(x) for x, _ in joined)]
-    b = [*[None] * len(ids), *(int(y) for _, y in joined)]
-    links = [*map(int, counts), *[0] * len(joined)]
-    columns = [pa.array(c, pa.int64()) for c in (a, b, links)]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
+    a = pa.array(np.r_[ids, ends])
+    b = pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(others)])
+    links = pa.array(np.r_[counts, np.zeros(len(ends), np.int64)])
+    return pa.RecordBatch.from_arrays([a, b, links], names=["a", "b", "links"])
 
 
-def _join(width, cosine):
-    """Streams sorted copies: of each (block, stream) first the block's own, then the others."""
+def _join(turned, width, kind, size, cosine):
+    """Compares the blocks on the left of a task with those on its right."""
 
     def join(batches):
-        key, own, links = None, [], None
-
-        def started():
-            ids, vectors, copies = (np.concatenate(x) for x in zip(*own))
-            return _Links(ids, vectors, copies, cosine)
-
-        def ended():
-            done = links or started()
-            among = done.among() if key[1] == 0 else None
-            return [t for t in (among, done.finish()) if t is not None]
-
+        known, sides, nodes = {}, {"left": [], "right": []}, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch.column(c).to_numpy() for c in ("block", "stream", "role")])
-            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-            for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
-                part, (block, stream, role) = batch.slice(low, high - low), marks[:, low]
-                if key != (block, stream):
-                    if own:
-                        yield from ended()
-                    key, own, links = (block, stream), [], None
-                ids, copies = part.column("_gid").to_numpy(), part.column("copies").to_numpy()
-                vectors = _matrix(part.column("vector"), width)
-                if role == 0:
-                    own.append((ids, vectors, copies))
-                elif own:
-                    links = links or started()
-                    for at in range(0, len(ids), 4 * BLOCK):
-                        cut = slice(at, at + 4 * BLOCK)
-                        found = links.with_others(ids[cut], vectors[cut], copies[cut])
-                        if found is not None:
-                            yield found
-        if own:
-            yield from ended()
+            for side, blocks in sides.items():
+                for row in batch.column(side).to_pylist():
+                    if row is None:
+                        continue
+                    number = row["block"]
+                    if number not in known:
+                        known[number] = _Block(row, turned.value, width, kind, size, nodes)
+                        nodes += len(known[number].rows)
+                    blocks.append(known[number])
+        left, right = sides.values()
+        if not left or not right:
+            return
+        links = _Links(cosine, nodes)
+        numbers, radius, centres = ([np.array([getattr(b, x) for b in s]) for s in (left, right)]
+                                    for x in ("number", "radius", "centre"))
+        pairs = _meets_in(numbers[0][:, None], numbers[1]) | (numbers[0][:, None] == numbers[1])
+        for i, block in enumerate(left):
+            apart = np.linalg.norm(centres[1] - centres[0][i], axis=1)
+            for j in np.flatnonzero(pairs[i] & (apart <= radius[0][i] + radius[1] + links.limit + _SLACK)):
+                links.compare(block, right[j])
+        ids, counts = (np.concatenate([getattr(b, x) for b in known.values()]) for x in ("ids", "counts"))
+        hung = np.flatnonzero(links.parents != np.arange(nodes))
+        yield _table(ids[counts > 0], counts[counts > 0], ids[hung], ids[links.tops(hung)])
 
     return join
 
 
+def _pairs(blocks, parts):
+    """(left, right): every pair of ``parts`` partitions of blocks as a task, which gets each of
+    their blocks once, read where the shuffle wrote it."""
+    dealt = blocks.select("block", "vectors", "weights", "centre", "radius").repartition(parts)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    left, right = (
+        dealt.select(F.struct(*dealt.columns).alias(side), first.alias(f"{side}_first")) for side in ("left", "right")
+    )
+    every = left.hint("shuffle_replicate_nl").join(right, F.col("left_first") | F.col("right_first"))
+    return every.select(F.when(F.col("right_first"), F.col("left")).alias("left"),
+                        F.when(F.col("left_first"), F.col("right")).alias("right"))
+
+
 def near_duplicates(vectors, cosine=COSINE):
     """Links of ``vectors`` (vec_id, embedding) with a cosine of at least ``cosine``.
 
@@ -289,42 +372,47 @@ def near_duplicates(vectors, cosine=COSINE):
     are kept. Shorter vectors count as filled up with zeros. Rows with the same
     vec_id are different vectors; other columns are not read; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    grouped, members = groups(vectors)
-    rows, width = grouped.agg(F.count("*"), F.max(F.size("vector"))).first()
+    context = vectors.sparkSession.sparkContext
+    linkable, numbers = _linkable(vectors), _numbers(vectors)
+    rows, width = linkable.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not rows:
         return _unlinked(vectors)
-    count = min(MAX_PIVOTS, math.ceil(rows / BLOCK))
-    chosen = grouped.orderBy(F.xxhash64("_gid")).limit(count).select("vector").collect()
-    pivots = np.zeros((len(chosen), width))
-    for row, (vector,) in zip(pivots, chosen):
-        row[: len(vector)] = vector
-    pivots /= np.abs(pivots).max(axis=1, keepdims=True)
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    shape = "_gid long, vector array<double>, least long, copies long, cell int, away double"
-    assign = _assign(spark.sparkContext.broadcast(pivots), width)
-    homes = staged(grouped.mapInArrow(assign, shape), "vector-cells")
-    stats = homes.groupBy("cell").agg(F.count("*").alias("rows"), F.max("away").alias("radius"))
-    sizes, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -1.0)
-    for cell, n, away in stats.collect():
-        sizes[cell], radius[cell] = n, away
-    cells = Cells(pivots, radius, sizes, math.sqrt(2 - 2 * cosine), math.ceil(rows / STREAM))
-    shape = "_gid long, vector array<double>, copies long, block int, stream int, role int"
-    dealt = homes.mapInArrow(_deal(spark.sparkContext.broadcast(cells), width), shape)
-    together = dealt.repartition("block", "stream").sortWithinPartitions("block", "stream", "role")
-    found = together.mapInArrow(_join(width, cosine), "a long, b long, links long")
-    found = staged(found, "vector-links")
+    kind = np.dtype("<f4" if numbers == "float" else "<f8")
+    size = min(BLOCK, max(64, BLOCK_BYTES // (width * kind.itemsize)))
+    pivots = _pivots(linkable, rows, width, min(MAX_PIVOTS, math.ceil(rows / size)))
+    assigned = linkable.mapInArrow(_assign(context.broadcast(pivots), width), _ASSIGNED.format(numbers))
+    order = ("cell", "second", "_key", "_key2")
+    # Ranges of the order are whole groups, too: vectors move once.
+    ranged = assigned.repartitionByRange(math.ceil(rows / size / 8), *order)
+    grouped = ranged.groupBy(*order).agg(
+        F.first("vector").alias("vector"), F.min("least").alias("least"), F.sum("copies").alias("copies")
+    )
+    blocks = staged(grouped.sortWithinPartitions(*order).mapInArrow(_cut(width, size), _BLOCKS), "vector-blocks")
+    count, distinct = blocks.agg(F.count("*"), F.sum(F.size("copies"))).first()
+    most = max(size, min(STREAM, STREAM_BYTES // (width * kind.itemsize)))
+    parts = max(math.ceil(distinct / most), min(count, math.ceil(math.sqrt(count) / 2) + 3))
+    join = _join(context.broadcast(_Turned(pivots)), width, kind, size, cosine)
+    found = staged(_pairs(blocks, parts).mapInArrow(join, "a long, b long, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("_gid")).agg(F.sum("links").alias("_links"))
     roots = components(found.where("b is not null").select("a", "b"))
     roots = roots.select(F.col("id").alias("_gid"), "root")
-    least = grouped.select("_gid", "least").join(roots, "_gid", "left")
-    least = least.withColumn("root", F.coalesce("root", "_gid"))
-    first = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = least.join(first, "root").select("_gid", "component_id").join(counts, "_gid", "left")
-    linked = members.join(whole, "_gid").select(
-        "vec_id",
+    listed = F.arrays_zip("keys", "keys2", "leasts", "copies")
+    groups = blocks.select("block", F.posexplode(listed)).select(
+        (F.col("block") * size + F.col("pos")).alias("_gid"),
+        F.col("col.keys").alias("_key"),
+        F.col("col.keys2").alias("_key2"),
+        F.col("col.leasts").alias("least"),
+        F.col("col.copies").alias("copies"),
+    )
+    first = groups.join(roots, "_gid").groupBy("root").agg(F.min("least").alias("_first"))
+    first = roots.join(first, "root").select("_gid", "_first")
+    whole = groups.join(first, "_gid", "left").join(counts, "_gid", "left").select(
+        "_key",
+        "_key2",
         (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        "component_id",
-        (F.col("vec_id") == F.col("component_id")).alias("kept"),
+        F.coalesce("_first", "least").alias("component_id"),
+    )
+    linked = linkable.select("vec_id", "_key", "_key2").join(whole, ["_key", "_key2"]).select(
+        "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
     )
     return linked.unionByName(_unlinked(vectors.where(~_fit())))

@@ -62,6 +62,41 @@ def test_vectors_that_link_with_nothing(spark):
     assert found == sorted(linked + alone, key=repr)
 
 
+@pytest.mark.parametrize("kind, tile, turned", [("float", 512, 512), ("double", 8, 512), ("double", 5, 0)])
+def test_more_dimensions_than_are_bounded_first(spark, monkeypatch, kind, tile, turned):
+    for name, value in (("BLOCK", 40), ("TILE", tile), ("MAX_TURNED", turned)):
+        monkeypatch.setattr(E, name, value)
+    rng = np.random.default_rng(tile)
+    centres = rng.normal(size=(60, 40)) * np.linspace(3, 0.1, 40)
+    vectors = [c + rng.normal(size=40) * s for c in centres for s in (0, 0.1, 0.2, 0.3)]
+    vectors += [centres[0] + rng.normal(size=40) * 0.01 for _ in range(90)]
+    vectors = [v.astype(np.float32) if kind == "float" else v * 1e200 for v in vectors]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = E.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    expected = brute(list(range(len(rows))), [v.astype(float) / np.abs(v).max() for v in vectors], 0.9)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == expected
+
+
+def test_vectors_without_clusters_are_not_copied_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 64)
+    vectors = np.random.default_rng(5).normal(size=(4000, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+
+    def written():
+        context = spark.sparkContext
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        no_quantiles = context._gateway.new_array(context._jvm.double, 0)
+        every = context._jvm.java.util.ArrayList()
+        found = context._jsc.sc().statusStore().stageList(None, False, False, no_quantiles, every)
+        stages = [found.apply(i) for i in range(found.size())]
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in stages}
+
+    before = written()
+    assert E.near_duplicates(table).count() == len(vectors)
+    moved = sum(n for stage, n in written().items() if stage not in before)
+    assert moved < 6 * vectors.nbytes
+
+
 def test_no_vectors(spark):
     assert E.near_duplicates(spark.createDataFrame([], SHAPE)).count() == 0
 
