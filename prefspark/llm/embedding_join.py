@@ -3,13 +3,14 @@
 Unit vectors with a cosine of at least c are at most ``sqrt(2 - 2c)`` apart. Pivots taken from
 the vectors part them into cells, each vector going to its nearest pivot; a cell is ordered by
 the second nearest one and cut into blocks of at most BLOCK vectors, each one row of a Parquet
-table with a ball around it. Two blocks are compared unless their balls are too far apart, and
-then only the vectors that are near enough to the other ball, by the triangle inequality.
+table with a ball around it. Vectors that are far from their pivot would blow up the ball of
+its cell, so they make blocks of their own. Of two blocks only the vectors that are near enough
+to the other one's ball are compared, by the triangle inequality.
 
 Vectors are not copied to those that they are compared with. The blocks are dealt to as many
 partitions as keep a few megabytes each, and a task reads two of them, as they lie on disk,
 for every pair of partitions: what is written grows with the vectors alone, however few pairs
-the balls spare, and no task grows with a crowded cell. Equal vectors are joined once.
+the balls spare, and a crowded cell is just more blocks. Equal vectors are joined once.
 
 Products are bounded first, in single precision, by half of the dimensions along the axes on
 which the pivots spread most: the rest adds no more than the product of its lengths. What
@@ -37,11 +38,12 @@ MAX_PIVOTS = 2048
 STREAM, STREAM_BYTES = 1 << 17, 1 << 25
 # Bytes of a block's vectors, about.
 BLOCK_BYTES = 1 << 20
+# Vectors with a smaller cosine with their pivot are not near enough to one another to make a cell.
+TIGHT = 0.7
 # Products in a tile, along either side; candidates that are compared at once.
-TILE, PAIRS = 512, 1 << 14
+TILE, PAIRS = 256, 1 << 14
 # The widest vectors that are turned to the axes of the pivots.
 MAX_TURNED = 512
-_SLACK = 1e-6
 # Single precision finds candidates; what is this near to the limit is settled in double.
 _SINGLE = 1e-4
 
@@ -49,9 +51,9 @@ _SINGLE = 1e-4
 def _fit():
     """Column: whether a vector can be linked."""
     vector = F.col("embedding").cast("array<double>")
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    numbers = F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
-    return F.coalesce(F.col("vec_id").isNotNull() & numbers, F.lit(False))
+    least, most = F.array_min(vector), F.array_max(vector)  # no number counts as the largest
+    finite = ~F.exists(vector, lambda x: x.isNull()) & (least > -float("inf")) & (most < float("inf"))
+    return F.coalesce(F.col("vec_id").isNotNull() & finite & ((least < 0) | (most > 0)), F.lit(False))
 
 
 def _unlinked(vectors):
@@ -100,10 +102,6 @@ def _units(rows):
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _distance(products):
-    return np.sqrt(np.maximum(2 - 2 * products, 0))
-
-
 def _meets_in(block, other):
     """Whether the pair of blocks is compared in ``block``: in half of its pairs, evenly."""
     return (block < other) == ((block + other) % 2 == 0)
@@ -122,7 +120,7 @@ def _pivots(linkable, rows, width, count):
     return np.random.default_rng(0).permutation(chosen)[:count]
 
 
-_ASSIGNED = "_key long, _key2 long, vector array<{}>, least long, copies long, cell int, second int"
+_ASSIGNED = "_key long, _key2 long, vector array<{}>, least long, copies long, loose boolean, cell int, second int"
 
 
 def _assign(pivots, width):
@@ -144,10 +142,11 @@ def _assign(pivots, width):
                 part = batch.slice(low, step)
                 products = _units(_matrix(part.column("vector"), width)).astype(np.float32) @ axes
                 cell = products.argmax(axis=1)
+                loose = products.max(axis=1) < TIGHT
                 products[np.arange(len(cell)), cell] = -2
                 nearest = (pa.array(x.astype(np.int32)) for x in (cell, products.argmax(axis=1)))
                 kept = [part.column(c) for c in ("_key", "_key2", "vector", "vec_id")]
-                columns = [*kept, pa.array(copies[low : low + step]), *nearest]
+                columns = [*kept, pa.array(copies[low : low + step]), pa.array(loose), *nearest]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ASSIGNED.split(", ")])
 
     return assign
@@ -160,7 +159,7 @@ _BLOCKS = (
 
 
 def _cut(width, size):
-    """Sorted vectors in blocks of one cell each, with the ball around each."""
+    """Sorted vectors in blocks, with the ball around each; loose vectors are of one cell."""
 
     def cut(batches):
         block, cell, held = TaskContext.get().partitionId() << 24, None, []
@@ -179,7 +178,8 @@ def _cut(width, size):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
-            cells = batch.column("cell").to_numpy()
+            loose = batch.column("loose").to_numpy(zero_copy_only=False)
+            cells = np.where(loose, -1, batch.column("cell").to_numpy())
             cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
             for low, high in zip([0, *cuts], [*cuts, len(cells)]):
                 while low < high:
@@ -199,8 +199,7 @@ def _cut(width, size):
 class _Turned:
     """Unit vectors as some coordinates on axes of their own, and the length of the rest.
 
-    The product of two such codes is at least that of the vectors, and the distance of two codes
-    at most that of the vectors.
+    The product of two such codes is at least that of the vectors.
     """
 
     def __init__(self, pivots):
@@ -217,22 +216,24 @@ class _Turned:
 class _Block:
     """The vectors of a block, their codes, and the nodes of a task that they are."""
 
-    def __init__(self, row, turned, width, kind, size, node):
+    def __init__(self, row, width, kind, size, node):
         self.number, self.radius = row["block"], row["radius"]
         self.rows = np.frombuffer(row["vectors"], kind).reshape(-1, width)
         n = len(self.rows)
         self.copies = np.frombuffer(row["weights"], "<i8") if row["weights"] else np.ones(n, np.int64)
         self.centre = np.frombuffer(row["centre"])
-        self.middle = turned.codes(self.centre[None]).astype(np.float32)[0]
-        self.codes = turned.codes(_units(self.rows)).astype(np.float32)
         self.ids, self.nodes = self.number * size + np.arange(n), node + np.arange(n)
         self.counts = np.zeros(n, np.int64)
 
-    def near(self, other, limit):
-        """Places of the vectors that can be linked with one in the ball of ``other``."""
-        reach = other.radius + limit
-        apart = 1 + other.middle @ other.middle - 2 * (self.codes @ other.middle)
-        return np.flatnonzero(apart <= reach * reach + _SINGLE)
+    def measure(self, turned, others, limit):
+        """Sets codes and near: which vectors (rows) can be linked with one in the balls of
+        ``others`` (columns)."""
+        units = _units(self.rows)
+        self.codes = turned.codes(units).astype(np.float32)
+        centres = np.array([b.centre for b in others])
+        reach = np.array([b.radius for b in others]) + limit
+        least = (1 + (centres**2).sum(axis=1) - reach * reach - _SINGLE) / 2
+        self.near = units.astype(np.float32) @ centres.astype(np.float32).T >= least.astype(np.float32)
 
 
 class _Links:
@@ -258,7 +259,7 @@ class _Links:
             self.parents[max(a, b)] = min(a, b)
 
     def _candidates(self, a, b, own):
-        """Tiles of rows of two codes with what may be linked in each: (low, low, rows, columns)."""
+        """Tiles of two tables of codes with what may be linked in each: (row, column, hits)."""
         for low in range(0, len(a), TILE):
             part = a[low : low + TILE]
             for at in range(low if own else 0, len(b), TILE):
@@ -269,21 +270,28 @@ class _Links:
                     hits = tile >= self.cosine - _SINGLE
                     yield low, at, np.triu(hits, 1) if own and low == at else hits
 
-    def compare(self, a, b):
-        """Add the links of two blocks, or of one with itself, each pair once."""
+    def compare(self, a, b, near, near_too):
+        """Add the links of two blocks, or of one with itself, each pair once.
+
+        ``near`` and ``near_too`` are which vectors of either one can have any.
+        """
         own = a is b
-        rows, columns = (np.arange(len(a.rows)),) * 2 if own else (a.near(b, self.limit), b.near(a, self.limit))
-        if not len(rows) or not len(columns):
-            return
-        whole = len(rows) == len(a.rows), len(columns) == len(b.rows)
-        codes = (x.codes if all_ else x.codes[some] for x, all_, some in zip((a, b), whole, (rows, columns)))
+        if own:
+            near = near_too = near | True
+        rows, columns = np.flatnonzero(near), np.flatnonzero(near_too)
+        few = []
+        codes = (x.codes if len(some) == len(x.codes) else x.codes[some] for x, some in ((a, rows), (b, columns)))
         for low, at, hits in self._candidates(*codes, own):
-            found = np.count_nonzero(hits)
-            if found * 64 < hits.size:
-                self._few(a, b, *(x[i] for x, i in zip((rows[low:], columns[at:]), np.nonzero(hits))))
+            some = np.flatnonzero(hits.any(axis=1))
+            hits = hits[some]
+            if np.count_nonzero(hits) * 64 < self.products.size:
+                row, column = np.nonzero(hits)
+                few.append((rows[low + some[row]], columns[at + column]))
             else:
-                some = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
-                self._many(a, b, rows[low:][some[0]], columns[at:][some[1]], hits[np.ix_(*some)])
+                self._many(a, b, rows[low + some], columns[at : at + TILE], hits)
+        found = [np.concatenate(x) for x in zip(*few)]
+        for at in range(0, len(found[0]) if few else 0, PAIRS):
+            self._few(a, b, *(x[at : at + PAIRS] for x in found))
 
     def _few(self, a, b, rows, columns):
         products = np.einsum("ij,ij->i", _units(a.rows[rows]), _units(b.rows[columns]))
@@ -329,20 +337,22 @@ def _join(turned, width, kind, size, cosine):
                         continue
                     number = row["block"]
                     if number not in known:
-                        known[number] = _Block(row, turned.value, width, kind, size, nodes)
+                        known[number] = _Block(row, width, kind, size, nodes)
                         nodes += len(known[number].rows)
                     blocks.append(known[number])
-        left, right = sides.values()
+        left, right = (sorted(s, key=lambda b: b.number) for s in sides.values())
         if not left or not right:
             return
         links = _Links(cosine, nodes)
-        numbers, radius, centres = ([np.array([getattr(b, x) for b in s]) for s in (left, right)]
-                                    for x in ("number", "radius", "centre"))
+        # Both sides are either the same blocks or have none in common.
+        for block in known.values():
+            block.measure(turned.value, left if block in right else right, links.limit)
+        numbers = [np.array([b.number for b in s]) for s in (left, right)]
         pairs = _meets_in(numbers[0][:, None], numbers[1]) | (numbers[0][:, None] == numbers[1])
-        for i, block in enumerate(left):
-            apart = np.linalg.norm(centres[1] - centres[0][i], axis=1)
-            for j in np.flatnonzero(pairs[i] & (apart <= radius[0][i] + radius[1] + links.limit + _SLACK)):
-                links.compare(block, right[j])
+        pairs &= np.array([b.near.any(axis=0) for b in left])
+        pairs &= np.array([b.near.any(axis=0) for b in right]).T
+        for i, j in np.argwhere(pairs):
+            links.compare(left[i], right[j], left[i].near[:, j], right[j].near[:, i])
         ids, counts = (np.concatenate([getattr(b, x) for b in known.values()]) for x in ("ids", "counts"))
         hung = np.flatnonzero(links.parents != np.arange(nodes))
         yield _table(ids[counts > 0], counts[counts > 0], ids[hung], ids[links.tops(hung)])
@@ -379,9 +389,9 @@ def near_duplicates(vectors, cosine=COSINE):
         return _unlinked(vectors)
     kind = np.dtype("<f4" if numbers == "float" else "<f8")
     size = min(BLOCK, max(64, BLOCK_BYTES // (width * kind.itemsize)))
-    pivots = _pivots(linkable, rows, width, min(MAX_PIVOTS, math.ceil(rows / size)))
+    pivots = _pivots(linkable, rows, width, min(MAX_PIVOTS, math.ceil(2 * rows / size)))
     assigned = linkable.mapInArrow(_assign(context.broadcast(pivots), width), _ASSIGNED.format(numbers))
-    order = ("cell", "second", "_key", "_key2")
+    order = ("loose", "cell", "second", "_key", "_key2")
     # Ranges of the order are whole groups, too: vectors move once.
     ranged = assigned.repartitionByRange(math.ceil(rows / size / 8), *order)
     grouped = ranged.groupBy(*order).agg(
@@ -406,11 +416,10 @@ def near_duplicates(vectors, cosine=COSINE):
     )
     first = groups.join(roots, "_gid").groupBy("root").agg(F.min("least").alias("_first"))
     first = roots.join(first, "root").select("_gid", "_first")
-    whole = groups.join(first, "_gid", "left").join(counts, "_gid", "left").select(
-        "_key",
-        "_key2",
-        (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("_first", "least").alias("component_id"),
+    # Where two pivots are as near, equal vectors may be of two groups, which say the same.
+    n_links, component = F.coalesce("_links", F.lit(0)) + F.col("copies") - 1, F.coalesce("_first", "least")
+    whole = groups.join(first, "_gid", "left").join(counts, "_gid", "left").groupBy("_key", "_key2").agg(
+        F.max(n_links).alias("n_links"), F.min(component).alias("component_id")
     )
     linked = linkable.select("vec_id", "_key", "_key2").join(whole, ["_key", "_key2"]).select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")

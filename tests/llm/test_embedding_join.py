@@ -1,6 +1,7 @@
 """The range join and its components against all pairs, in cells of every size."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefspark.llm import embedding_join as E
@@ -77,6 +78,30 @@ def test_more_dimensions_than_are_bounded_first(spark, monkeypatch, kind, tile,
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == expected
 
 
+def test_equal_vectors_of_different_cells(spark, monkeypatch, conf):
+    conf(execution__arrow__maxRecordsPerBatch="5")
+    steady = E._assign
+
+    def unsteady(pivots, width):
+        assign = steady(pivots, width)
+
+        def other(batches):
+            for number, batch in enumerate(assign(batches)):
+                place = batch.schema.get_field_index("second")
+                second = pa.array([number % 3] * len(batch), pa.int32())
+                yield batch.set_column(place, "second", second)
+
+        return other
+
+    monkeypatch.setattr(E, "_assign", unsteady)
+    vectors = [np.array(v) for v in np.eye(6)] * 20 + [3 * v for v in np.eye(6)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    found = E.near_duplicates(spark.createDataFrame(rows, SHAPE)).collect()
+    assert len(found) == len(rows)
+    expected = brute(list(range(len(rows))), vectors, 0.9)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == expected
+
+
 def test_vectors_without_clusters_are_not_copied_for_each_block(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 64)
     vectors = np.random.default_rng(5).normal(size=(4000, 32)).astype(np.float32)
